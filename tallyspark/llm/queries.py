@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .chat import op10_chat_formatting
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
+from .sharding import op1_sharding
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": op1_sharding,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op10_chat_formatting": op10_chat_formatting,
     }
 
 
