@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .chat import op10_chat_formatting
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
+from .html import op3_html_extraction
 from .sharding import op1_sharding
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op3_html_extraction": op3_html_extraction,
+        "op5_toxicity": op5_toxicity,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op10_chat_formatting": op10_chat_formatting,
     }
