@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op10_chat_formatting
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .html import op3_html_extraction
+from .minhash import op7_minhash_near_dedup
 from .sharding import op1_sharding
 from .toxicity import op5_toxicity
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op3_html_extraction": op3_html_extraction,
         "op5_toxicity": op5_toxicity,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
