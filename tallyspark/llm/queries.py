@@ -7,6 +7,7 @@ from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .html import op3_html_extraction
 from .minhash import op7_minhash_near_dedup
 from .sharding import op1_sharding
+from .suffixarray import op4_suffix_array_dedup
 from .toxicity import op5_toxicity
 
 
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op3_html_extraction": op3_html_extraction,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
