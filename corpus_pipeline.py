@@ -1,15 +1,64 @@
-"""Corpus pipeline over documents: see STAGES."""
+"""Corpus pipeline over documents, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and gives documents' columns again;
+the last gives the encoded corpus. run() writes each stage's rows as Parquet in the shared folder and reads them for
+the next one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm.common import spill
+from tallyspark.llm.decontaminate import decontaminate
+from tallyspark.llm.minhash import near_duplicates
+from tallyspark.llm.sentencepiece import decode_column, digests, encode_column
+from tallyspark.llm.suffixarray import remove
+from tallyspark.llm.toxicity import score, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, rejects go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of the least doc_id."""
+    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    a, b = docs.alias("a"), kept.alias("b")
+    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes within strings of 400 bytes that also start elsewhere leave the texts; n_chars follows."""
+    left = remove(docs, keep_text=True)
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("not contaminated").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digests of each document's encoding and of what decoding gives back."""
+    return digests(decode_column(encode_column(docs.select("doc_id", "text"))))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
+ORACLE_SQL = None
 
-def run(spark, sf_dir: str):
-    """Applies the stages to documents, each written as Parquet and read again."""
-    from tallyspark.llm.common import spill
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = spill(stage(spark, docs, sf_dir))

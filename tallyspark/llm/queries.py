@@ -6,19 +6,23 @@ from .chat import op10_chat_formatting
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .html import op3_html_extraction
 from .minhash import op7_minhash_near_dedup
+from .sentencepiece import op8_sentencepiece
 from .sharding import op1_sharding
 from .suffixarray import op4_suffix_array_dedup
+from .tokencount import op2_token_counts
 from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_token_counts": op2_token_counts,
         "op3_html_extraction": op3_html_extraction,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_sentencepiece": op8_sentencepiece,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
