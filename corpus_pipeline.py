@@ -26,9 +26,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the least doc_id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = spill(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     a, b = docs.alias("a"), kept.alias("b")
-    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select("a.*", "b.n")
+    if not kept.filter("n > 1").isEmpty():  # rows that repeat: one of them
+        left = left.filter("n = 1").unionByName(left.filter("n > 1").dropDuplicates(["doc_id", "text"]))
+    return left.select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op10_chat_formatting
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .html import op3_html_extraction
+from .media import op9_media_columns
 from .minhash import op7_minhash_near_dedup
 from .sentencepiece import op8_sentencepiece
 from .sharding import op1_sharding
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_media_columns": op9_media_columns,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
