@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -94,7 +95,8 @@ def word_table(letters_only: bool = False) -> np.ndarray:
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each data[start:end], from one running sum."""
+    """A 64-bit hash of each data[start:end]: a polynomial one, from one running sum, up to 512 bytes; longer spans,
+    for which such hashes have known collisions, are hashed one by one."""
     step = np.uint64(0x9E3779B97F4A7C15)
     back = np.uint64(pow(int(step), -1, 1 << 64))
     n = len(data)
@@ -105,7 +107,11 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+    h = mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(54)))
+    long, view = np.flatnonzero(ends - starts > 512), memoryview(np.ascontiguousarray(data))
+    if len(long):
+        h[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
 
 
 def mix(h: np.ndarray) -> np.ndarray:

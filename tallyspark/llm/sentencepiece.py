@@ -31,6 +31,8 @@ from .common import append_columns, span_hash, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 STOP = 0xFF
+#: Segments whose encoding a task remembers.
+MEMO = 1_000_000
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
@@ -66,6 +68,7 @@ class Pieces:
         ids = sorted(plain, key=lambda i: self.bytes_[i])
         self.ids = np.array(ids, np.int32)
         self.sizes = np.array([len(self.bytes_[i]) for i in ids])
+        self.by_id = np.argsort(self.ids)
         self.depth = -(-int(self.sizes.max()) // 8) * 8
         heads = lambda fill: np.array([int.from_bytes(self.bytes_[i][:8].ljust(8, fill), "big") for i in ids], np.uint64)
         self.low, self.high = heads(b"\0"), heads(b"\xff")
@@ -103,6 +106,12 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
+def radix_order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of keys below 2^32, by two counting passes of 16 bits."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((keys >> 16).astype(np.uint16)[order], kind="stable")]
+
+
 def encode_segments(a: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all segments one after another, number of ids of each); a holds the segments with a STOP after each."""
     buf = a.tobytes() + bytes([STOP]) * (pieces.depth + 8)
@@ -118,17 +127,20 @@ def encode_segments(a: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: P
             cut = lambda i, view=view, n=n: buf[view[i] : view[i] + n]
             low[k] = x + bisect_left(range(y - x), p, key=cut)
             high[k] = x + bisect_left(range(y - x), p + b"\0", key=cut)
-    n = high - low
-    piece = np.repeat(np.arange(len(n)), n)
+    low, n = low[pieces.by_id], (high - low)[pieces.by_id]  # edges of one place then are in the order of their ids
+    piece = np.repeat(pieces.by_id, n)
     left = sa[ragged(low, n)]
     right, ids = left + pieces.sizes[piece], pieces.ids[piece]
     odd = places[pieces.single[a[places]]]
     left, right, ids = np.append(left, odd), np.append(right, odd + 1), np.append(ids, pieces.byte_ids[a[odd]])
     # edges in the order in which they can be relaxed: by the distance of their end from the segment's start
     owner = np.repeat(np.arange(len(start)), end - start + 1)  # of every byte, stops included
-    step = right - start[owner[left]]
-    order = np.lexsort((ids, right, step))
-    left, right, ids, step = left[order], right[order], ids[order], step[order]
+    ahead = np.arange(len(a)) - start[owner]  # of every byte, from its segment's start
+    rank = np.empty(len(a), np.int64)
+    rank[np.argsort(np.minimum(ahead, 0xFFFF).astype(np.uint16), kind="stable") if ahead.max() < 0xFFFF else np.argsort(ahead, kind="stable")] = np.arange(len(a))
+    order = radix_order(rank[right])
+    left, right, ids = left[order], right[order], ids[order]
+    step = ahead[right]
     cost = pieces.costs[ids]
     best = np.full(len(a) + 1, np.inf)
     best[start] = 0
@@ -163,28 +175,57 @@ def encode_segments(a: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: P
     return out, counts
 
 
+class Encoder:
+    """Encodes batches; segments that were met before, up to MEMO of them, aren't encoded again."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.first, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each)."""
+        full = [b" " + t if t else b"" for t in texts]
+        a = np.frombuffer(b"".join(full), np.uint8)
+        ends = np.cumsum([len(t) for t in full])
+        if not len(a):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        new = (a == 32) & np.append(True, a[:-1] != 32)
+        new[(ends - [len(t) for t in full])[[len(t) > 0 for t in full]]] = True
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(a))
+        hashes, one, where = np.unique(span_hash(a, start, end), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(hashes) > MEMO:
+            self.clear()
+        self.learn(a, start[one], end[one], hashes)
+        at = np.searchsorted(self.hashes, hashes)[where]
+        n = self.counts[at]
+        sums = np.append(0, np.cumsum(n))
+        cut = np.searchsorted(start, np.append(0, ends))
+        return self.ids[ragged(self.first[at], n)], np.diff(sums[cut])
+
+    def learn(self, a: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        fresh = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        start, size, hashes = start[fresh], (end - start)[fresh], hashes[fresh]
+        if not len(size):
+            return
+        own = np.cumsum(size + 1) - size - 1
+        index = np.full(int((size + 1).sum()), STOP, np.uint8)
+        index[ragged(own, size)] = a[ragged(start, size)]
+        ids, counts = encode_segments(index, own, own + size, self.pieces)
+        first = np.cumsum(counts) - counts + len(self.ids)
+        to = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.first, self.counts = np.insert(self.hashes, to, hashes), np.insert(self.first, to, first), np.insert(self.counts, to, counts)
+        self.ids = np.append(self.ids, ids)
+
+
 def encode(texts: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, number of ids of each)."""
-    full = [b" " + t if t else b"" for t in texts]
-    a = np.frombuffer(b"".join(full), np.uint8)
-    ends = np.cumsum([len(t) for t in full])
-    if not len(a):
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    new = (a == 32) & np.append(True, a[:-1] != 32)
-    new[(ends - [len(t) for t in full])[[len(t) > 0 for t in full]]] = True
-    start = np.flatnonzero(new)
-    end = np.append(start[1:], len(a))
-    _, one, where = np.unique(span_hash(a, start, end), return_index=True, return_inverse=True)
-    size = (end - start)[one]
-    own = np.cumsum(size + 1) - size - 1
-    index = np.full(int((size + 1).sum()), STOP, np.uint8)
-    index[ragged(own, size)] = a[ragged(start[one], size)]
-    ids, counts = encode_segments(index, own, own + size, pieces)
-    first = np.cumsum(counts) - counts
-    n = counts[where]
-    sums = np.append(0, np.cumsum(n))
-    cut = np.searchsorted(start, np.append(0, ends))
-    return ids[ragged(first[where], n)], np.diff(sums[cut])
+    return Encoder(pieces).encode(texts)
 
 
 def decode(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> list[bytes]:
@@ -201,9 +242,12 @@ def _share(df: DataFrame, model: str):
 def encode_column(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """docs with ids, in one narrow pass."""
     shared = _share(docs, model)
+    task: list[Encoder] = []
 
     def make(batch: pa.RecordBatch) -> list:
-        ids, counts = encode(utf8(batch.column(text)), shared.value)
+        if not task:
+            task.append(Encoder(shared.value))
+        ids, counts = task[0].encode(utf8(batch.column(text)))
         return [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))]
 
     return append_columns(docs, IDS, text, make)
