@@ -1,11 +1,415 @@
-"""Every registered statement query and its SQL."""
+"""Every registered statement query and its SQL. Doubles that are sums or means are rounded."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..config import Settings
+from ..functions import text as X
+from ..operators import overlay, results, roles, rows, tokens, transactions, validate
+from ..operators.cluster import density_1d
+from ..operators.columns import assign, zones
+from ..sources import raw_ocr
+from . import oracle as O
+from . import statements
+from .engine import Relations, StatementEngine
+from .oracle import sql
 
-def oracle_sql() -> dict:
-    return {}
+S = Settings()
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str]] = {}
+
+
+def query(name: str, select: str, whole: bool = False) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _ALL[name] = (f, select if whole else sql(select))
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _ALL.items()}
+
+
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.build_tokens(statements.raw_tokens(spark, sf_dir), S)
+
+
+def staged(spark: SparkSession, sf_dir: str, settings: Settings = S) -> Relations:
+    return StatementEngine(settings).relations(built(spark, sf_dir))
+
+
+def rounded(df: DataFrame, *names: str, to: int = 9) -> DataFrame:
+    return df.withColumns({n: F.round(n, to) for n in names})
+
+
+TXN = ["doc_id", "page_num", "row_id", "txn_date", "description", "reference_no", "debit", "credit", "balance", "confidence_score", "validation_status", "raw_text"]
+TXN_SQL = "doc_id, page_num, row_id, txn_date, description, reference_no, debit, credit, balance, round(confidence_score, 6) AS confidence_score, validation_status, raw_text"
+
+# texts of many shapes, for the functions of texts
+
+SAMPLES_SQL = f"""SELECT k, slot, [{O.printed('cents')}, 'INR ' || {O.printed('cents')}, 'Rs. ' || k % 1000, '-' || {O.printed('cents')}, {O.printed('cents')} || ' CR', {O.printed('cents')} || ' DR ',
+ strftime(day, '%Y-%m-%d'), 'on ' || strftime(day, '%-d %b %Y'), strftime(day, '%b %-d, %Y'), strftime(day, '%d-%m-%y'), strftime(day, '%d%m%Y'), 'UTR: NEFT' || lpad(CAST(k AS VARCHAR), 14, '0'),
+ 'ABCD' || lpad(CAST(k AS VARCHAR), 12, '0') || ' paid ' || {O.printed('cents')}, '₹' || k % 100000, 'order by ' || k, '   '][slot] AS text
+ FROM (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderdate AS day FROM orders), unnest(range(1, 17)) AS t(slot)"""
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, slot, text: the texts that each order gives."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, day = F.col("o_orderkey"), lambda form: F.date_format("o_orderdate", form)
+    money = statements.printed(F.round(F.col("o_totalprice") * 100).cast("long"))
+    word = lambda n: F.lpad(k.cast("string"), n, "0")
+    texts = [
+        money, F.concat(F.lit("INR "), money), F.concat(F.lit("Rs. "), (k % 1000).cast("string")), F.concat(F.lit("-"), money), F.concat(money, F.lit(" CR")), F.concat(money, F.lit(" DR ")),
+        day("yyyy-MM-dd"), F.concat(F.lit("on "), day("d MMM yyyy")), day("MMM d, yyyy"), day("dd-MM-yy"), day("ddMMyyyy"), F.concat(F.lit("UTR: NEFT"), word(14)),
+        F.concat(F.lit("ABCD"), word(12), F.lit(" paid "), money), F.concat(F.lit("₹"), (k % 100000).cast("string")), F.concat(F.lit("order by "), k.cast("string")), F.lit("   "),
+    ]
+    return orders.select(k.alias("k"), F.posexplode(F.array(*texts)).alias("slot", "text")).select("k", (F.col("slot") + 1).cast("long").alias("slot"), "text")
+
+
+def _text(name: str, make: Callable[[Column], Column], select: str) -> None:
+    @query(name, f"SELECT k, slot, {select} AS result FROM ({SAMPLES_SQL})", whole=True)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return samples(spark, sf_dir).select("k", "slot", make(F.col("text")).alias("result"))
+
+
+_text("is_amount", X.is_amount, O.is_amount("text"))
+_text("clean_amount", X.clean_amount, O.value("text"))
+_text("amount_sign", lambda t: X.parse_amount(t)["sign"], O.sign("text"))
+_text("is_date", X.is_date, O.is_date("text"))
+_text("extract_date", X.extract_date, O.first_of("text", X.DATES))
+_text("extract_reference", X.extract_reference, O.first_of("text", X.REFERENCES))
+_text("is_reference", X.is_reference, O.is_reference("text"))
+_text(
+    "extract_amounts", lambda t: F.array_join(F.transform(X.extract_amounts(t), results.plain), ";"),
+    f"coalesce(list_aggregate(list_transform(list_filter(list_transform(regexp_extract_all(text, {O.text(X.NUMBERS)}), lambda x: TRY_CAST(regexp_replace(x, '[^\\d.]', '', 'g') AS DOUBLE)), lambda v: v >= 0.01), lambda v: {O.plain('v')}), 'string_agg', ';'), '')",
+)
+_text("strip_text", X.stripped, O.strip("text"))
+_text("noise_text", lambda t: X.is_noise(t, X.is_amount(t)), O.noise("text", O.is_amount("text")))
+
+# sources
+
+
+@query("poly_to_box", "SELECT doc_id, page_num, token_ord, x1, y1, x2, y2 FROM raw")
+def poly_to_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = statements.raw_tokens(spark, sf_dir).groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list("token_ord")).alias("ords"))
+    pages = statements.ocr_pages_v3(spark, sf_dir).join(keyed, ["doc_id", "page_num"])
+    lines = pages.select("doc_id", "page_num", F.explode(F.arrays_zip("ords", "rec_polys")).alias("l")).select("doc_id", "page_num", F.col("l.ords").alias("token_ord"), raw_ocr.poly_to_box(F.col("l.rec_polys")).alias("b"))
+    return lines.select("doc_id", "page_num", "token_ord", "b.x1", "b.y1", "b.x2", "b.y2")
+
+
+PLACE = "CAST(row_number() OVER (PARTITION BY doc_id, page_num ORDER BY token_ord, text) - 1 AS INTEGER)"
+
+
+@query("raw_ocr_v3", f"SELECT doc_id, page_num, n AS token_ord, text, confidence, x1, y1, x2, y2 FROM (SELECT *, {PLACE} AS n, count(*) OVER (PARTITION BY doc_id, page_num) AS c FROM raw) WHERE doc_id % 5 <> 0 OR n < c - 1")
+def raw_ocr_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_ocr.lines_v3(statements.ocr_pages_v3(spark, sf_dir)).drop("width", "height")
+
+
+@query("raw_ocr_v2", f"SELECT doc_id, page_num, n AS token_ord, text, CASE WHEN token_ord % 37 = 11 THEN 1.0 ELSE confidence END AS confidence, x1, y1, x2, y2 FROM (SELECT *, {PLACE} AS n FROM raw) WHERE token_ord % 31 <> 5")
+def raw_ocr_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_ocr.lines_v2(statements.ocr_pages_v2(spark, sf_dir)).drop("width", "height")
+
+
+# tokens
+
+
+@query("confidence_filter", "SELECT doc_id, page_num, token_ord, text, confidence FROM raw WHERE confidence >= 0.3")
+def confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.confident(statements.raw_tokens(spark, sf_dir), S).select("doc_id", "page_num", "token_ord", "text", "confidence")
+
+
+@query("token_build", "SELECT * FROM tokens")
+def token_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir)
+
+
+@query("token_extent", "SELECT doc_id, page_num, token_ord, x2 - x1 AS width, y2 - y1 AS height FROM tokens")
+def token_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.with_extent(built(spark, sf_dir)).select("doc_id", "page_num", "token_ord", "width", "height")
+
+
+@query("page_limit", "SELECT doc_id, page_num, token_ord, text FROM tokens WHERE page_num < 1")
+def page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.page_limit(built(spark, sf_dir), Settings(max_pages=1)).select("doc_id", "page_num", "token_ord", "text")
+
+
+# rows
+
+
+@query("row_cluster", "SELECT doc_id, page_num, token_ord, part_id FROM placed")
+def row_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).placed.select("doc_id", "page_num", "token_ord", "part_id")
+
+
+@query("row_ids", "SELECT doc_id, page_num, part_id, round(y_center, 9) AS y_center, n_tokens FROM parts")
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(staged(spark, sf_dir).parts.select("doc_id", "page_num", "part_id", "y_center", "n_tokens"), "y_center")
+
+
+@query("header_flag", "SELECT doc_id, page_num, part_id, is_header FROM parts")
+def header_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).parts.select("doc_id", "page_num", "part_id", "is_header")
+
+
+@query("continuation_flag", "SELECT doc_id, page_num, part_id, is_continuation FROM parts")
+def continuation_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).parts.select("doc_id", "page_num", "part_id", "is_continuation")
+
+
+@query("merge_continuations", "SELECT doc_id, page_num, row_id, token_ord, pos, is_header FROM merged")
+def merge_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).merged.select("doc_id", "page_num", "row_id", "token_ord", "pos", "is_header")
+
+
+@query("full_text", "SELECT * FROM full_texts")
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.full_texts(staged(spark, sf_dir).merged)
+
+
+@query("noise_rows", f"SELECT doc_id, page_num, row_id, full_text FROM full_texts WHERE {O.noise('full_text', 'has_numeric')}")
+def noise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.full_texts(staged(spark, sf_dir).merged).filter(X.is_noise(F.col("full_text"), F.col("has_numeric"))).select("doc_id", "page_num", "row_id", "full_text")
+
+
+@query("data_rows", f"SELECT doc_id, page_num, row_id, full_text FROM full_texts WHERE NOT is_header AND NOT {O.noise('full_text', 'has_numeric')}")
+def data_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.full_texts(staged(spark, sf_dir).merged).filter(~F.col("is_header") & ~X.is_noise(F.col("full_text"), F.col("has_numeric"))).select("doc_id", "page_num", "row_id", "full_text")
+
+
+# columns
+
+
+def _bands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rel = staged(spark, sf_dir)
+    return rel.merged, zones(rel.merged, S)
+
+
+ZONE_SQL = "doc_id, column_id, round(x_center, 9) AS x_center, round(left_boundary, 9) AS left_boundary, round(right_boundary, 9) AS right_boundary, support"
+
+
+@query("column_zones", f"SELECT {ZONE_SQL} FROM zones")
+def column_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_bands(spark, sf_dir)[1].drop("semantic_role"), "x_center", "left_boundary", "right_boundary")
+
+
+@query("nearest_zone", f"SELECT doc_id, page_num, token_ord, coalesce(arg_min(column_id, (d, column_id)) FILTER (WHERE near), -1) AS column_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, token_ord ORDER BY d, column_id) = 1 AND (normalized_x BETWEEN left_boundary AND right_boundary OR d <= {S.near_zone}) AS near FROM (SELECT m.doc_id, m.page_num, m.token_ord, m.normalized_x, z.column_id, left_boundary, right_boundary, abs(normalized_x - x_center) AS d FROM merged m LEFT JOIN zones z ON m.doc_id = z.doc_id)) GROUP BY ALL")
+def nearest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged, found = _bands(spark, sf_dir)
+    return assign(merged, found, S).select("doc_id", "page_num", "token_ord", "column_id")
+
+
+DENSITY_SQL = """WITH p AS (SELECT c_nationkey AS nation, c_custkey AS id, floor(c_acctbal)::DOUBLE AS x FROM customer),
+c AS (SELECT *, count(*) OVER (PARTITION BY nation ORDER BY x RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) >= 4 AS core FROM p),
+n AS (SELECT nation, id, x, CASE WHEN x - lag(x) OVER (PARTITION BY nation ORDER BY x, id) > 5 THEN 1 ELSE 0 END AS new FROM c WHERE core),
+g AS (SELECT nation, id, x, sum(new) OVER (PARTITION BY nation ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS label FROM n),
+f AS (SELECT nation, label, min(x) AS a, max(x) AS b, min(id) AS first FROM g GROUP BY ALL),
+e AS (SELECT c.nation, c.id, arg_min(f.label, f.first) AS label FROM c JOIN g ON g.nation = c.nation AND abs(g.x - c.x) <= 5 JOIN f ON f.nation = g.nation AND f.label = g.label WHERE NOT core GROUP BY ALL)
+SELECT c.nation, c.id, CAST(coalesce(g.label, e.label, -1) AS INTEGER) AS cluster FROM c LEFT JOIN g USING (nation, id) LEFT JOIN e USING (nation, id)"""
+
+
+@query("dbscan_general", DENSITY_SQL, whole=True)
+def dbscan_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.floor("c_acctbal").cast("double").alias("x"))
+    return density_1d(points, ["nation"], "x", "id", 5.0, 4, "cluster").select("nation", "id", "cluster")
+
+
+@query("dbscan_pairs", """SELECT nation, id, CAST(CASE WHEN n > 1 THEN dense_rank() OVER (PARTITION BY nation ORDER BY CASE WHEN n > 1 THEN label END) - 1 ELSE -1 END AS INTEGER) AS cluster FROM (SELECT *, count(*) OVER (PARTITION BY nation, label) AS n FROM (
+SELECT nation, id, x, sum(new) OVER (PARTITION BY nation ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS label FROM (SELECT c_nationkey AS nation, c_custkey AS id, floor(c_acctbal) AS x, CASE WHEN floor(c_acctbal) - lag(floor(c_acctbal)) OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal), c_custkey) > 2 THEN 1 ELSE 0 END AS new FROM customer)))""", whole=True)
+def dbscan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.floor("c_acctbal").cast("double").alias("x"))
+    return density_1d(points, ["nation"], "x", "id", 2.0, 2, "cluster").select("nation", "id", "cluster")
+
+
+# roles
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    merged, found = _bands(spark, sf_dir)
+    return found, roles.zone_texts(roles.heading_tokens(merged, found))
+
+
+ROLE = ["doc_id", "column_id", "semantic_role"]
+
+
+@query("header_zone_range_join", "SELECT doc_id, page_num, row_id, pos, text, column_id FROM headed")
+def header_zone_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.heading_tokens(*_bands(spark, sf_dir)).select("doc_id", "page_num", "row_id", "pos", "text", "column_id")
+
+
+@query("zone_text", "SELECT * FROM zone_texts")
+def zone_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir)[1]
+
+
+@query("simple_role_match", "SELECT doc_id, column_id, semantic_role FROM simple")
+def simple_role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.simple_roles(*_texts(spark, sf_dir), S).select(*ROLE)
+
+
+@query("fuzzy_role_match", "SELECT doc_id, column_id, semantic_role FROM fuzzy")
+def fuzzy_role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.fuzzy_roles(*_texts(spark, sf_dir), S).select(*ROLE)
+
+
+@query("positional_fallback", "SELECT doc_id, column_id, semantic_role FROM fallback")
+def positional_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.positional_roles(_bands(spark, sf_dir)[1], S).select(*ROLE)
+
+
+@query("debit_credit_swap", "SELECT doc_id, column_id, semantic_role FROM roles")
+def debit_credit_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).zones.select(*ROLE)
+
+
+def _mapping(c: str = "column_mapping") -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+@query("column_mapping", "SELECT doc_id, column_mapping FROM mapping WHERE column_mapping IS NOT NULL")
+def column_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.column_mapping(staged(spark, sf_dir).zones).select("doc_id", _mapping().alias("column_mapping")).filter("column_mapping != ''")
+
+
+# transactions
+
+
+@query("role_buckets", "SELECT doc_id, page_num, token_ord, column_id, bucket FROM routed")
+def role_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).routed.select("doc_id", "page_num", "token_ord", "column_id", "bucket")
+
+
+ROWS_SQL = "doc_id, page_num, row_id"
+
+
+@query("row_confidence", f"SELECT {ROWS_SQL}, round(mean_confidence, 4) AS mean_confidence, has_date, has_amount FROM assembled")
+def row_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_assembled(spark, sf_dir).select(*rows.ROW, "mean_confidence", "has_date", "has_amount"), "mean_confidence", to=4)
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.assembled(staged(spark, sf_dir).routed.filter(~F.col("is_header")))
+
+
+@query("role_amounts", f"SELECT {ROWS_SQL}, debit_0 AS debit, credit_0 AS credit, balance_0 AS balance FROM assembled")
+def role_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assembled(spark, sf_dir).select(*rows.ROW, *[F.col(f"{c}_0").alias(c) for c in ("debit", "credit", "balance")])
+
+
+@query("unknown_distribution", f"SELECT {ROWS_SQL}, n_loose, debit, credit, balance FROM distributed")
+def unknown_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.distributed(_assembled(spark, sf_dir)).select(*rows.ROW, "n_loose", "debit", "credit", "balance")
+
+
+@query("resolve_texts", f"SELECT {ROWS_SQL}, txn_date, reference_no, description FROM described")
+def resolve_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.described(transactions.distributed(_assembled(spark, sf_dir))).select(*rows.ROW, "txn_date", "reference_no", "description")
+
+
+@query("reconstruct", f"SELECT {TXN_SQL} FROM raw_txns")
+def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(staged(spark, sf_dir).raw_transactions.select(*TXN), "confidence_score", to=6)
+
+
+@query("statements", f"SELECT {TXN_SQL} FROM txns")
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens to validated transactions, all stages."""
+    return rounded(staged(spark, sf_dir).transactions.select(*TXN), "confidence_score", to=6)
+
+
+# validation, on the ledger
+
+
+@query("opening_balance", "SELECT DISTINCT doc_id, round(opening, 2) AS opening FROM checked_expected")
+def opening_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.ledger(spark, sf_dir).select("doc_id", F.round(validate.opening(), 2).alias("opening")).distinct()
+
+
+@query("carry_forward_balance", f"SELECT {ROWS_SQL}, round(prev_balance, 2) AS prev_balance, round(expected, 2) AS expected FROM checked_expected")
+def carry_forward_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validate.expectations(statements.ledger(spark, sf_dir)).select(*rows.ROW, "prev_balance", "expected"), "prev_balance", "expected", to=2)
+
+
+@query("validate", f"SELECT {TXN_SQL} FROM checked")
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validate.validate(statements.ledger(spark, sf_dir), S).select(*TXN), "confidence_score", to=6)
+
+
+@query("confidence_adjust", f"SELECT {ROWS_SQL}, round(c.confidence_score - l.confidence_score, 6) AS moved FROM checked c JOIN ledger l USING (doc_id, page_num, row_id)")
+def confidence_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = statements.ledger(spark, sf_dir).withColumn("raw_text", F.col("confidence_score").cast("string"))
+    return validate.validate(before, S).select(*rows.ROW, F.round(F.col("confidence_score") - F.col("raw_text").cast("double"), 6).alias("moved"))
+
+
+@query("status_summary", "SELECT validation_status, count(*) AS n FROM checked GROUP BY validation_status")
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.status_summary(validate.validate(statements.ledger(spark, sf_dir), S))
+
+
+# output
+
+MONEY_SQL = ", ".join(f"coalesce({O.plain(c)}, '') AS {c}" for c in ("debit", "credit", "balance"))
+
+
+@query("csv_projection", f"SELECT doc_id, row_id, coalesce(txn_date, '') AS txn_date, coalesce(description, '') AS description, coalesce(reference_no, '') AS reference_no, {MONEY_SQL}, {O.plain('round(confidence_score, 4)')} AS confidence_score, validation_status, CAST(page_num AS VARCHAR) AS page_num FROM txns")
+def csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.csv_rows(staged(spark, sf_dir).transactions)
+
+
+def _quoted(c: str) -> str:
+    return f"CAST(to_json(coalesce({c}, '')) AS VARCHAR)"
+
+
+@query("json_projection", f"""SELECT {ROWS_SQL}, '{{"txn_date":' || {_quoted('txn_date')} || ',"description":' || {_quoted('description')} || ',"reference_no":' || {_quoted('reference_no')}
+ || ',"debit":' || coalesce({O.plain('debit')}, '""') || ',"credit":' || coalesce({O.plain('credit')}, '""') || ',"balance":' || coalesce({O.plain('balance')}, '""') || ',"confidence_score":' || {O.plain('round(confidence_score, 4)')}
+ || ',"validation_status":' || {_quoted('validation_status')} || ',"page_num":' || page_num || ',"raw_text":' || {_quoted('raw_text')} || '}}' AS json FROM txns""")
+def json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.json_rows(staged(spark, sf_dir).transactions)
+
+
+@query("cli_summary", f"SELECT {ROWS_SQL}, txn_date, substring(coalesce(description, ''), 1, 60) AS description, debit, credit, balance, validation_status AS status, round(confidence_score, 3) AS confidence FROM txns")
+def cli_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.summary_rows(staged(spark, sf_dir).transactions)
+
+
+@query("warnings", "SELECT doc_id, warning FROM (SELECT doc_id, unnest(warnings) AS warning FROM said)")
+def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).results.select("doc_id", F.explode("extraction_warnings").alias("warning"))
+
+
+@query("result_document", "SELECT doc_id, CAST(total_pages AS INTEGER) AS total_pages, column_mapping, n_transactions, len(warnings) AS n_warnings FROM said")
+def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = staged(spark, sf_dir).results
+    return found.select("doc_id", "total_pages", _mapping().alias("column_mapping"), F.size("transactions").cast("long").alias("n_transactions"), F.size("extraction_warnings").cast("long").alias("n_warnings"))
+
+
+# overlay
+
+
+def _page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).select("doc_id", "page_num").distinct().withColumns({"width": F.lit(1000.0), "height": F.lit(1000.0)})
+
+
+@query("overlay_zones", "SELECT doc_id, page_num, column_id, CAST(floor(left_boundary * 1000) AS INTEGER) AS x1, 0 AS y1, CAST(floor(right_boundary * 1000) AS INTEGER) AS x2, 1000 AS y2, coalesce(semantic_role, 'col' || column_id) AS label FROM (SELECT DISTINCT doc_id, page_num FROM tokens) JOIN roles USING (doc_id)")
+def overlay_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.zone_bands(staged(spark, sf_dir).zones, _page_sizes(spark, sf_dir))
+
+
+@query("overlay_rows", "SELECT m.doc_id, m.page_num, m.row_id, CAST(min(y1) AS INTEGER) AS y1, CAST(max(y2) AS INTEGER) AS y2, CASE WHEN any_value(p.is_header) THEN 'header' WHEN any_value(p.is_continuation) THEN 'continuation' ELSE 'normal' END AS kind FROM merged m JOIN parts p ON m.doc_id = p.doc_id AND m.page_num = p.page_num AND m.row_id = p.part_id GROUP BY ALL")
+def overlay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = staged(spark, sf_dir)
+    return overlay.row_bands(rel.merged, rel.parts)
+
+
+@query("overlay_tokens", "SELECT doc_id, page_num, token_ord, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2, CASE WHEN is_numeric THEN 'yellow' ELSE 'green' END AS colour, substring(text, 1, 12) || ' (' || format('{:.2f}', confidence) || ')' AS label, CAST(greatest(y1 - 3, 10) AS INTEGER) AS label_y FROM tokens")
+def overlay_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.token_boxes(built(spark, sf_dir))
