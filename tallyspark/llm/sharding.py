@@ -17,10 +17,11 @@ each with a slot of its own. An empty table gives an empty result. Further colum
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,23 +29,48 @@ from .common import spill
 
 SHARDS = 40
 #: Bins of one histogram pass, and the part of a leaf's bytes that a cut may be off by.
-BINS = 1024
+BINS = 4096
 SLACK = 0.002
 #: Rows that one task numbers.
 BLOCK_ROWS = 200_000
 DIMENSIONS = ("size", "source", "lang")
+KEYS = tuple(f"k{i}" for i in range(len(DIMENSIONS)))
 
 
-@dataclass
-class Node:
-    """A node of the tree: the shares it makes, its first leaf, and its cut once known."""
+class Tree:
+    """Nodes by number: the shares they make, their first leaf, the dimension and place of their cut, their sides."""
 
-    number: int
-    shares: int
-    first: int
-    dimension: int = -1
-    cut: int = 0
-    sides: list[int] = field(default_factory=list)
+    def __init__(self, shards: int):
+        self.shares, self.first, self.dimension, self.cut, self.left, self.right = ([x] for x in (shards, 0, -1, 0, -1, -1))
+
+    def open(self) -> list[int]:
+        return [n for n, k in enumerate(self.shares) if k > 1 and self.left[n] < 0]
+
+    def split(self, n: int, dimension: int, cut: int) -> None:
+        half = self.shares[n] // 2
+        self.dimension[n], self.cut[n] = dimension, cut
+        self.left[n], self.right[n] = len(self.shares), len(self.shares) + 1
+        for shares, first in ((half, self.first[n]), (self.shares[n] - half, self.first[n] + half)):
+            for column, x in zip((self.shares, self.first, self.dimension, self.cut, self.left, self.right), (shares, first, -1, 0, -1, -1), strict=True):
+                column.append(x)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {k: np.array(v, np.int64) for k, v in vars(self).items()}
+
+
+def descend(tree: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The node that each point (a column of keys) comes to by the cuts so far."""
+    at, every = np.zeros(keys.shape[1], np.int64), np.arange(keys.shape[1])
+    while True:
+        inner = tree["left"][at] >= 0
+        if not inner.any():
+            return at
+        low = keys[np.maximum(tree["dimension"][at], 0), every] < tree["cut"][at]
+        at = np.where(inner, np.where(low, tree["left"][at], tree["right"][at]), at)
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in KEYS]).astype(np.int64)
 
 
 def points(docs: DataFrame, doc_id: str, text: str, source: str, lang: str) -> DataFrame:
@@ -70,78 +96,114 @@ def keyed(pts: DataFrame) -> DataFrame:
     return pts
 
 
-def place(nodes: list[Node], give: Callable[[Node], Column]) -> Column:
-    """What give says of the node that a point has come to by the cuts so far."""
-
-    def walk(n: Node) -> Column:
-        if n.sides:
-            return F.when(F.col(f"k{n.dimension}") < F.lit(n.cut), walk(nodes[n.sides[0]])).otherwise(walk(nodes[n.sides[1]]))
-        return give(n)
-
-    return walk(nodes[0])
-
-
-def grow(pts: DataFrame, shards: int) -> list[Node]:
+def spreads(pts: DataFrame, tree: Tree) -> dict[int, dict]:
+    """Bytes, least and greatest keys of each open node; a task sends one row for each."""
+    shared = pts.sparkSession.sparkContext.broadcast((tree.arrays(), tree.open()))
+    names = ["node", "w", *[f"{a}{i}" for i in range(len(KEYS)) for a in "ab"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, open_ = shared.value
+        weight, low, high = np.zeros(len(open_), np.int64), np.full((len(KEYS), len(open_)), 1 << 62), np.full((len(KEYS), len(open_)), -1)
+        place = np.full(len(nodes["left"]), -1)
+        place[open_] = np.arange(len(open_))
+        for batch in batches:
+            keys = _keys(batch)
+            at = place[descend(nodes, keys)]
+            on = at >= 0
+            np.add.at(weight, at[on], batch.column("size").to_numpy(zero_copy_only=False)[on])
+            for i, k in enumerate(keys):
+                np.minimum.at(low[i], at[on], k[on])
+                np.maximum.at(high[i], at[on], k[on])
+        some = np.flatnonzero(high[0] >= 0)
+        columns = [np.array(open_, np.int64)[some], weight[some], *[x[i][some] for i in range(len(KEYS)) for x in (low, high)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    rows = pts.mapInArrow(run, ", ".join(f"{n} long" for n in names)).groupBy("node")
+    rows = rows.agg(F.sum("w").alias("w"), *[f(n).alias(n) for n in names[2:] for f in ((F.min if n[0] == "a" else F.max),)])
+    return {r["node"]: r.asDict() for r in rows.collect()}
+
+
+def histogram(pts: DataFrame, tree: Tree, ranges: dict[int, tuple[int, int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+    """(bin, bytes, count) of the points of each node in its range; ranges: node to dimension, start, end, width of a bin."""
+    shared = pts.sparkSession.sparkContext.broadcast((tree.arrays(), list(ranges), np.array(list(ranges.values()), np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, numbers, table = shared.value
+        held, count = np.zeros((2, len(numbers) * BINS), np.int64)
+        place = np.full(len(nodes["left"]), -1)
+        place[numbers] = np.arange(len(numbers))
+        for batch in batches:
+            keys = _keys(batch)
+            at = place[descend(nodes, keys)]
+            on = np.flatnonzero(at >= 0)
+            dimension, start, end, width = table[at[on]].T
+            k = keys[dimension, on]
+            inside = (k >= start) & (k < end)
+            on, bins = on[inside], ((k - start) // width)[inside]
+            np.add.at(held, at[on] * BINS + bins, batch.column("size").to_numpy(zero_copy_only=False)[on])
+            np.add.at(count, at[on] * BINS + bins, 1)
+        cell = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(numbers, np.int64)[cell // BINS]), pa.array(cell % BINS), pa.array(held[cell]), pa.array(count[cell])], names=["node", "bin", "w", "n"])
+
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for r in pts.mapInArrow(run, "node long, bin long, w long, n long").groupBy("node", "bin").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
+        out.setdefault(r["node"], []).append((r["bin"], r["w"], r["n"]))
+    return {n: sorted(x) for n, x in out.items()}
+
+
+def grow(pts: DataFrame, shards: int) -> Tree:
     """The tree. Each level takes one pass for the spreads and a few for the cuts."""
-    nodes = [Node(0, shards, 0)]
-    while open_ := [n for n in nodes if n.shares > 1 and not n.sides]:
-        node = place(nodes, lambda n: F.lit(n.number if n.shares > 1 else None).cast("int"))
-        stats = pts.withColumn("node", node).filter("node is not null").groupBy("node").agg(F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{a}{i}") for i in range(len(DIMENSIONS)) for f, a in ((F.min, "a"), (F.max, "b"))]).collect()
-        by = {r["node"]: r for r in stats}
-        goals, ranges = {}, {}
-        for n in open_:
-            if r := by.get(n.number):
-                n.dimension = max(range(len(DIMENSIONS)), key=lambda i: ((r[f"b{i}"] >> 40) - (r[f"a{i}"] >> 40), -i))
-                goals[n.number] = [r["w"] * (n.shares // 2) / n.shares, r["w"] / n.shares]
-                ranges[n.number] = (r[f"a{n.dimension}"], r[f"b{n.dimension}"] + 1)
-            else:
-                n.dimension, n.cut = 0, 0
+    tree = Tree(shards)
+    while open_ := tree.open():
+        found = spreads(pts, tree)
+        cuts, ranges, goals = {n: (0, 0) for n in open_}, {}, {}
+        for n, r in found.items():
+            d = max(range(len(KEYS)), key=lambda i: ((r[f"b{i}"] >> 40) - (r[f"a{i}"] >> 40), -i))
+            goals[n] = (r["w"] * (tree.shares[n] // 2) / tree.shares[n], SLACK * r["w"] / tree.shares[n])
+            ranges[n] = _binned(d, r[f"a{d}"], r[f"b{d}"] + 1)
         while ranges:
-            _refine(pts, nodes, goals, ranges)
-        for n in open_:
-            left = n.shares // 2
-            for shares, first in ((left, n.first), (n.shares - left, n.first + left)):
-                n.sides.append(len(nodes))
-                nodes.append(Node(len(nodes), shares, first))
-    return nodes
-
-
-def _refine(pts: DataFrame, nodes: list[Node], goals: dict, ranges: dict) -> None:
-    """One histogram of every range still open: fixes a node's cut or narrows its range to the bin that holds it."""
-    wide = {k: max(1, -(-(b - a) // BINS)) for k, (a, b) in ranges.items()}
-    def give(n: Node) -> Column:
-        if n.number not in ranges:
-            return F.lit(None).cast("struct<node:int,bin:bigint>")
-        key, (low, high) = F.col(f"k{n.dimension}"), ranges[n.number]
-        bin_ = F.expr(f"(k{n.dimension} - {low}L) div {wide[n.number]}L")
-        return F.when((key >= low) & (key < high), F.struct(F.lit(n.number).alias("node"), bin_.alias("bin")))
-
-    rows = pts.select("size", place(nodes, give).alias("at")).filter("at is not null").select("size", "at.node", "at.bin")
-    bins: dict[int, list] = {}
-    for r in rows.groupBy("node", "bin").agg(F.sum("size").alias("w")).collect():
-        bins.setdefault(r["node"], []).append((r["bin"], r["w"]))
-    for k, (a, b) in list(ranges.items()):
-        goal, leaf = goals[k]
-        done = 0
-        for i, w in sorted(bins.get(k, [])):
-            if done + w >= goal:
-                break
-            done += w
-        start = a + i * wide[k]
-        if w <= SLACK * leaf or wide[k] == 1:  # the nearer edge of the bin
-            nodes[k].cut = start if goal - done < done + w - goal else start + wide[k]
-            del ranges[k]
-        else:
-            goals[k][0] = goal - done
-            ranges[k] = (start, min(b, start + wide[k]))
+            bins = histogram(pts, tree, ranges)
+            for n, (d, start, end, width) in list(ranges.items()):
+                goal, slack = goals[n]
+                done = 0
+                for i, w, k in bins[n]:
+                    if done + w >= goal:
+                        break
+                    done += w
+                first = start + i * width
+                if w <= slack or width == 1 or k == 1:  # the nearer edge of the bin
+                    cuts[n] = (d, first if goal - done < done + w - goal else first + width)
+                    del ranges[n]
+                else:
+                    goals[n] = (goal - done, slack)
+                    ranges[n] = _binned(d, first, min(end, first + width))
+        for n, (d, cut) in cuts.items():
+            tree.split(n, d, cut)
+    return tree
+
+
+def _binned(dimension: int, start: int, end: int) -> tuple[int, int, int, int]:
+    return dimension, start, end, max(1, -(-(end - start) // BINS))
+
+
+def leaves(pts: DataFrame, tree: Tree) -> DataFrame:
+    """pts with shard, the first leaf of the node that a point comes to."""
+    shared = pts.sparkSession.sparkContext.broadcast(tree.arrays())
+    fields = ", ".join(f"{n} {t}" for n, t in pts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = shared.value["first"][descend(shared.value, _keys(batch))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], names=[*batch.schema.names, "shard"])
+
+    return pts.mapInArrow(run, f"{fields}, shard int")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     pts = keyed(points(docs, doc_id, text, source, lang))
     n = pts.count()
-    nodes = grow(pts, shards)
-    placed = pts.withColumn("shard", place(nodes, lambda x: F.lit(x.first)))
+    placed = leaves(pts, grow(pts.select("size", *KEYS), shards))
     blocks = max(1, -(-n // (shards * BLOCK_ROWS)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rh", "th", "doc_id"), F.lit(blocks)))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
