@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import spill
 from tallyspark.llm.decontaminate import decontaminate
 from tallyspark.llm.minhash import near_duplicates
-from tallyspark.llm.sentencepiece import decode_column, digests, encode_column
+from tallyspark.llm.sentencepiece import round_trip
 from tallyspark.llm.suffixarray import remove
 from tallyspark.llm.toxicity import score, train
 
@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The digests of each document's encoding and of what decoding gives back."""
-    return digests(decode_column(encode_column(docs.select("doc_id", "text"))))
+    return round_trip(docs)
 
 
 STAGES = [

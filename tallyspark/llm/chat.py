@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded
+
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 2048
 HISTORY = 256
@@ -163,6 +165,8 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 4 << 20) -> I
 def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per window, in order within a conversation; the rows of a conversation are in one partition."""
 
+    bounded(turns.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now: Cutter | None = None
         for batch in batches:

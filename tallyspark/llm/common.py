@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes of one Arrow batch between Spark and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: rows of these operators may hold whole texts or sets of hashes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def spill(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here, and losing an
     executor costs nothing that was written. The folder's owner clears it."""
@@ -64,6 +72,7 @@ def joined(texts: list[bytes], mark: bytes = b"\x01") -> tuple[np.ndarray, np.nd
 def append_columns(df: DataFrame, fields: T.StructType, column: str, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """One narrow pass that adds the columns of make(batch) to every row, in slices bounded by the bytes of
     column. An input column with the name of a result column is replaced by it."""
+    bounded(df.sparkSession)
     names = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in names]
     if column in names:

@@ -6,7 +6,7 @@ linked if 100 * intersection >= SIMILAR * union; the result is the connected com
 
 1. One pass over the texts gives each document's set size, a 128-bit sum of its set and its MinHash signature.
    Documents of equal sets become one class before anything else, so exact copies cost one row.
-2. Classes meet in LSH bands of ROWS minima. A bucket of several classes links each member to its least one (a star,
+2. Classes meet in LSH bands of minima. A bucket of several classes links each member to its least one (a star,
    not all pairs). The pairs go through the sequential test: signature batches are compared one after another, and a
    pair is dropped as soon as the posterior chance that it is similar enough, given the matches so far, is below
    MISS. Survivors are verified on the full sets.
@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined, mix, slices, span_hash, spill, utf8
+from .common import bounded, joined, mix, slices, span_hash, spill, utf8
 
 SHINGLE = 5
 SIMILAR = 80
-BANDS, ROWS = 32, 8
-MINIMA = BANDS * ROWS
+MINIMA = 256
+#: The chance at which a pair of just the wanted similarity may share no band.
+LOST = 1e-4
 #: Signature values that one step of the sequential test compares, and the chance at which it gives a pair up.
 STEP = 32
 MISS = 1e-9
@@ -107,6 +108,12 @@ def sign(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return docs.select(doc_id, text, F.xxhash64(text).alias("th")).mapInArrow(run, SIGNED)
 
 
+def banding(similar: int) -> tuple[int, int]:
+    """(bands, rows of each): the most rows at which a pair that is just similar enough is lost with LOST at most."""
+    rows = max(r for r in range(1, 17) if (1 - (similar / 100) ** r) ** (MINIMA // r) <= LOST or r == 1)
+    return MINIMA // rows, rows
+
+
 def floors(similar: int) -> list[int]:
     """For each step: the least number of matches at which P(J >= similar / 100 | matches) is MISS or more, by a
     uniform prior on J, whose posterior is Beta(1 + matches, 1 + misses)."""
@@ -193,12 +200,14 @@ def block_links(rows, similar: int, least: list[int]):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    bounded(docs.sparkSession)
     signed = spill(sign(docs, doc_id, text, size))
     # a class: the documents of one set; its node: their least doc_id, or a hash where none has one
     filled = signed.filter("n_shingles > 0")
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("signature").alias("signature"))
     classes = spill(classes.withColumn("node", F.coalesce("first_id", F.xxhash64("s1", "s2"))))
-    bands = classes.select("node", "n_shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("signature"), b * (ROWS * 4) + 1, F.lit(ROWS * 4))))).alias("band", "key"))
+    n_bands, n_rows = banding(similar)
+    bands = classes.select("node", "n_shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.xxhash64(F.substring(F.col("signature"), b * (n_rows * 4) + 1, F.lit(n_rows * 4))))).alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
     members = spill(bands.join(buckets, ["band", "key"]))
     pairs = members.filter("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()

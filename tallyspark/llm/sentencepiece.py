@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, span_hash, utf8
+from .common import append_columns, bounded, slices, span_hash, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 STOP = 0xFF
 #: Segments whose encoding a task remembers.
-MEMO = 1_000_000
+MEMO = 300_000
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
@@ -274,29 +274,34 @@ def decode_column(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> Data
     return docs.mapInArrow(run, out)
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, ids_sha256 (of the ids as 32-bit little-endian), decoded_sha256, same."""
-    fields = "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean"
+def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, ids_sha256 (of the ids as 32-bit little-endian), decoded_sha256, same: each text is
+    encoded and its ids are decoded, in one worker, so that the ids needn't travel."""
+    bounded(docs.sparkSession)
+    shared = _share(docs, model)
 
     def run(batches):
-        for batch in batches:
-            texts, back = utf8(batch.column("text")), utf8(batch.column("decoded"))
-            ids = [np.asarray(x.values if x.values is not None else [], np.int32) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array(map(len, texts), pa.int64()),
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in back]),
-                    pa.array([a == b for a, b in zip(texts, back, strict=True)]),
-                ],
-                names=["doc_id", "n_bytes", "n_tokens", "ids_sha256", "decoded_sha256", "same"],
-            )
-
-    return coded.mapInArrow(run, fields)
+        encoder = Encoder(shared.value)
+        for whole in batches:
+            for batch in slices(whole, text):
+                texts = utf8(batch.column(text))
+                ids, counts = encoder.encode(texts)
+                back = decode(ids, counts, shared.value)
+                ends = np.append(0, np.cumsum(counts)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(doc_id).cast(pa.int64()),
+                        pa.array(map(len, texts), pa.int64()),
+                        pa.array(counts, pa.int64()),
+                        pa.array([hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+                        pa.array([x == y for x, y in zip(texts, back, strict=True)]),
+                    ],
+                    names=["doc_id", "n_bytes", "n_tokens", "ids_sha256", "decoded_sha256", "same"],
+                )
+
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(decode_column(encode_column(docs)))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

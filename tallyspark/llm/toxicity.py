@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, joined, slices, span_hash, spill, utf8, word_table
+from .common import append_columns, bounded, joined, slices, span_hash, spill, utf8, word_table
 
 SAMPLE = 6000
 FEATURES = 2048
@@ -159,6 +159,7 @@ def counts(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, held_in: Column | None = None, size: int = SAMPLE, width: int = FEATURES, identity: tuple = IDENTITY, counterfactual: float = 10.0) -> Model:
     """Fits the model on a bounded sample of the rows that labels covers and held_in, a condition on doc_id, allows."""
+    bounded(docs.sparkSession)
     rows, prior = sample(docs, labels, size, held_in)
     n = {r["y"] > 0: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
