@@ -105,7 +105,7 @@ class Model:
         return 1 / (1 + np.exp(-(np.bincount(t, self.weights[k], len(texts)) + self.bias)))
 
 
-def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, prior: float, swapped: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, ridge: float = 2e-4, counterfactual: float = 10.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, prior: float, swapped: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, ridge: float = 1e-5, counterfactual: float = 10.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the weighted loss. x: (row, column) pairs; swapped: (pair, column, +1 or -1), by which the
     logit of a text differs from that of its counterfactual."""
     rows, cols = x
