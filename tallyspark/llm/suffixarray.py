@@ -324,8 +324,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeat:
     bounded(docs.sparkSession)
     names = [c for c in docs.columns if c not in {f.name for f in RESULT} and (keep_text or c != text)]
     found = spill(spans(docs, doc_id, text, repeat, hot)).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "s": "_s"})
-    keyed = docs.select(*dict.fromkeys([*names, text]), *_keys(text)).withColumnsRenamed({"k1": "_j1", "k2": "_j2"})
-    both = keyed.join(found, (F.col("_j1") == F.col("_k1")) & (F.col("_j2") == F.col("_k2")), "left").select(*dict.fromkeys([*names, text]), "_s")
+    both = docs.select(*dict.fromkeys([*names, text]), *[k.alias(f"_k{i}") for i, k in enumerate(_keys(text), 1)]).join(found, ["_k1", "_k2"], "left").select(*dict.fromkeys([*names, text]), "_s")
     fields = [docs.schema[c] for c in names]
     out = T.StructType([*fields, *RESULT.fields])
 
