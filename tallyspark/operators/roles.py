@@ -9,7 +9,6 @@ from ..config import ROLE_PRIORITY, Settings
 from ..functions.fuzzy import role_scores
 
 
-
 def heading_tokens(merged: DataFrame, found: DataFrame) -> DataFrame:
     """Heading tokens with each band that they stand in; bands may overlap, so a token may be in two."""
     heads = merged.filter("is_header").select("doc_id", "page_num", "row_id", "pos", "text", "normalized_x")
@@ -17,25 +16,29 @@ def heading_tokens(merged: DataFrame, found: DataFrame) -> DataFrame:
     return heads.join(bands, "doc_id").filter("normalized_x between left_boundary and right_boundary")
 
 
-def zone_texts(headed: DataFrame) -> DataFrame:
-    """doc_id, column_id, zone_text: the headings of a band in reading order, in lower case."""
+def zone_texts(merged: DataFrame, found: DataFrame) -> DataFrame:
+    """found with zone_text: the headings of a band in reading order, in lower case; null without any."""
     texts = F.array_sort(F.collect_list(F.struct("page_num", "row_id", "pos", "text")))
-    joined = F.array_join(F.transform(texts, lambda t: t["text"]), " ")
-    return headed.groupBy("doc_id", "column_id").agg(F.trim(F.lower(joined)).alias("zone_text"))
+    joined = F.trim(F.lower(F.array_join(F.transform(texts, lambda t: t["text"]), " ")))
+    said = heading_tokens(merged, found).groupBy("doc_id", "column_id").agg(joined.alias("zone_text"))
+    return found.join(said, ["doc_id", "column_id"], "left")
 
 
-def fuzzy_roles(found: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """found with the roles won by fuzzy matching. Each role goes to the band that scores best, the lesser id of
+def fuzzy_roles(texts: DataFrame, settings: Settings) -> DataFrame:
+    """Bands with the roles won by fuzzy matching. Each role goes to the band that scores best, the lesser id of
     equals; in order of priority, a role whose band is taken is lost."""
-    scored = texts.filter("zone_text != ''").withColumn("s", role_scores(F.col("zone_text"), settings.vocabulary, ROLE_PRIORITY))
-    long = scored.select("doc_id", "column_id", F.posexplode("s").alias("priority", "score")).filter(F.col("score") >= settings.fuzzy_threshold)
-    best = Window.partitionBy("doc_id", "priority").orderBy(F.desc("score"), "column_id")
-    winners = long.withColumn("rn", F.row_number().over(best)).filter("rn = 1")
-    return _given(found, winners.groupBy("doc_id", "column_id").agg(F.min("priority").alias("priority")))
+    scored = texts.withColumn("_s", F.when(F.col("zone_text") != "", role_scores(F.col("zone_text"), settings.vocabulary, ROLE_PRIORITY)))
+    doc = Window.partitionBy("doc_id")
+    won = F.lit(None).cast("int")
+    for i in reversed(range(len(ROLE_PRIORITY))):
+        score = F.get("_s", F.lit(i))
+        best = F.max(F.when(score >= settings.fuzzy_threshold, F.struct(score.alias("score"), (-F.col("column_id")).alias("id")))).over(doc)
+        won = F.when(best["id"] == -F.col("column_id"), i).otherwise(won)
+    return _given(scored.withColumn("priority", won), texts)
 
 
-def simple_roles(found: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """found with the roles whose keywords are in the headings; a band takes the first such role in order of priority,
+def simple_roles(texts: DataFrame, settings: Settings) -> DataFrame:
+    """Bands with the roles whose keywords are in the headings; a band takes the first such role in order of priority,
     so a role may be given to several."""
     hit = F.lit(None).cast("int")
     for i, role in reversed(list(enumerate(ROLE_PRIORITY))):
@@ -43,13 +46,12 @@ def simple_roles(found: DataFrame, texts: DataFrame, settings: Settings) -> Data
         for k in settings.vocabulary[role]:
             inside = inside | F.col("zone_text").contains(k.lower())
         hit = F.when(inside, i).otherwise(hit)
-    return _given(found, texts.select("doc_id", "column_id", hit.alias("priority")))
+    return _given(texts.withColumn("priority", hit), texts)
 
 
-def _given(found: DataFrame, won: DataFrame) -> DataFrame:
+def _given(won: DataFrame, texts: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(r) for r in ROLE_PRIORITY])
-    both = found.drop("semantic_role").join(won, ["doc_id", "column_id"], "left")
-    return both.select(*[c for c in found.columns if c != "semantic_role"], F.get(names, F.col("priority")).alias("semantic_role"))
+    return won.select(*[c for c in texts.columns if c not in ("semantic_role", "zone_text")], F.get(names, F.col("priority")).alias("semantic_role"))
 
 
 def positional_roles(found: DataFrame, settings: Settings) -> DataFrame:
@@ -88,8 +90,8 @@ def debit_left_of_credit(found: DataFrame) -> DataFrame:
 
 def infer_roles(found: DataFrame, merged: DataFrame, settings: Settings) -> DataFrame:
     """found with roles from headings, position and the debit-credit order."""
-    texts = zone_texts(heading_tokens(merged, found))
-    named = fuzzy_roles(found, texts, settings) if settings.fuzzy else simple_roles(found, texts, settings)
+    texts = zone_texts(merged, found)
+    named = fuzzy_roles(texts, settings) if settings.fuzzy else simple_roles(texts, settings)
     return debit_left_of_credit(positional_roles(named, settings))
 
 

@@ -17,16 +17,16 @@ def row_tokens(tokens: DataFrame, settings: Settings) -> DataFrame:
     return density_1d(tokens, PAGE, "normalized_y", "token_ord", settings.row_eps, 1, "part_id")
 
 
-def parts(placed: DataFrame, settings: Settings) -> DataFrame:
-    """A row per row as clustered, with its flags: doc_id, page_num, part_id, y_center, is_header, is_continuation,
-    row_id (the row that it's merged into), n_tokens."""
+def gathered(placed: DataFrame, settings: Settings) -> DataFrame:
+    """A row per row as clustered, with its flags and its tokens; a row's tokens are few."""
     digits = F.regexp_replace("text", "[,.]", "").rlike(r"^\d+$")
-    rows = placed.groupBy(*PAGE, "part_id").agg(
+    keys = [*PAGE, "part_id"]
+    rows = placed.groupBy(*keys).agg(
         F.avg("normalized_y").alias("y_center"),
         F.bool_or("is_numeric").alias("has_amount"),
         F.bool_or(F.col("is_numeric") | F.col("is_date")).alias("has_number"),
         F.bool_or((F.char_length("text") > 2) & ~digits).alias("has_word"),
-        F.count(F.lit(1)).alias("n_tokens"),
+        F.collect_list(F.struct(*[c for c in placed.columns if c not in keys])).alias("tokens"),
     )
     line = Window.partitionBy(*PAGE).orderBy("part_id")
     rows = rows.withColumn("is_header", (F.col("part_id") < settings.header_rows) & ~F.col("has_amount") & F.col("has_word"))
@@ -37,15 +37,21 @@ def parts(placed: DataFrame, settings: Settings) -> DataFrame:
     return rows.withColumn("row_id", parent).drop("has_amount", "has_number", "has_word")
 
 
-def merged_tokens(placed: DataFrame, flags: DataFrame) -> DataFrame:
-    """tokens with row_id, is_header and pos, their place in the merged row: by height, then from the left, where rows
-    were merged; else from the left."""
-    rows = flags.select(*PAGE, "part_id", "row_id", "is_header", "is_continuation")
+def parts(rows: DataFrame) -> DataFrame:
+    """The gathered rows without their tokens: doc_id, page_num, part_id, y_center, is_header, is_continuation, row_id
+    (the row that it's merged into), n_tokens."""
+    return rows.withColumn("n_tokens", F.size("tokens").cast("long")).drop("tokens")
+
+
+def merged_tokens(rows: DataFrame) -> DataFrame:
+    """The tokens of gathered rows with row_id, is_header and pos, their place in the merged row: by height, then from
+    the left, where rows were merged; else from the left."""
     one = F.max("is_continuation").over(Window.partitionBy(*ROW))
-    both = placed.join(rows, [*PAGE, "part_id"]).withColumn("is_merged", one)
+    each = rows.withColumn("is_merged", one).select(*PAGE, "part_id", "row_id", "is_header", "is_merged", F.explode("tokens").alias("t"))
+    both = each.select(*PAGE, "part_id", "t.*", "row_id", "is_header", "is_merged")
     height = F.when(F.col("is_merged"), F.col("normalized_y"))
     line = Window.partitionBy(*ROW).orderBy(height, "normalized_x", "part_id", "token_ord")
-    return both.withColumn("pos", F.row_number().over(line)).drop("is_continuation", "is_merged")
+    return both.withColumn("pos", F.row_number().over(line)).drop("is_merged")
 
 
 def full_texts(merged: DataFrame) -> DataFrame:

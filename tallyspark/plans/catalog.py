@@ -233,9 +233,8 @@ def dbscan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # roles
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    merged, found = _bands(spark, sf_dir)
-    return found, roles.zone_texts(roles.heading_tokens(merged, found))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.zone_texts(*_bands(spark, sf_dir))
 
 
 ROLE = ["doc_id", "column_id", "semantic_role"]
@@ -248,17 +247,17 @@ def header_zone_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("zone_text", "SELECT * FROM zone_texts")
 def zone_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir)[1]
+    return _texts(spark, sf_dir).filter("zone_text is not null").select("doc_id", "column_id", "zone_text")
 
 
 @query("simple_role_match", "SELECT doc_id, column_id, semantic_role FROM simple")
 def simple_role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles.simple_roles(*_texts(spark, sf_dir), S).select(*ROLE)
+    return roles.simple_roles(_texts(spark, sf_dir), S).select(*ROLE)
 
 
 @query("fuzzy_role_match", "SELECT doc_id, column_id, semantic_role FROM fuzzy")
 def fuzzy_role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles.fuzzy_roles(*_texts(spark, sf_dir), S).select(*ROLE)
+    return roles.fuzzy_roles(_texts(spark, sf_dir), S).select(*ROLE)
 
 
 @query("positional_fallback", "SELECT doc_id, column_id, semantic_role FROM fallback")

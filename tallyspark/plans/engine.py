@@ -11,7 +11,7 @@ from ..config import Settings
 from ..operators.columns import assign, zones
 from ..operators.results import results
 from ..operators.roles import infer_roles
-from ..operators.rows import merged_tokens, parts, row_tokens
+from ..operators.rows import gathered, merged_tokens, parts, row_tokens
 from ..operators.tokens import build_tokens, page_limit
 from ..operators.transactions import reconstruct, routed
 from ..operators.validate import validate
@@ -45,15 +45,15 @@ class StatementEngine:
         s = self.settings
         if files is None:
             files = tokens.groupBy("doc_id").agg(F.lit(None).cast("string").alias("source_file"), (F.max("page_num") + 1).alias("total_pages"), F.lit(None).cast("string").alias("error"))
-        tokens = page_limit(tokens, s)
+        tokens = page_limit(tokens, s).repartition("doc_id")  # the one deal of tokens: every window and group holds doc_id
         placed = row_tokens(tokens, s)
-        flags = parts(placed, s)
-        merged = merged_tokens(placed, flags)
+        rows = gathered(placed, s)
+        merged = merged_tokens(rows)
         found = infer_roles(zones(merged, s), merged, s)
         to = routed(assign(merged, found, s))
         raw = reconstruct(to)
         done = validate(raw, s)
-        return Relations(tokens, placed, flags, merged, found, to, raw, done, results(files, merged, found, done))
+        return Relations(tokens, placed, parts(rows), merged, found, to, raw, done, results(files, merged, found, done))
 
     def extract(self, raw: DataFrame, files: DataFrame | None = None) -> DataFrame:
         """One row per document from recognised texts."""

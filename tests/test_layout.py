@@ -6,7 +6,7 @@ from tallyspark.config import Settings
 from tallyspark.operators.cluster import density_1d
 from tallyspark.operators.columns import assign, zones
 from tallyspark.operators.roles import debit_left_of_credit, heading_tokens, infer_roles, zone_texts
-from tallyspark.operators.rows import full_texts, merged_tokens, parts, row_tokens
+from tallyspark.operators.rows import full_texts, gathered, merged_tokens, parts, row_tokens
 from tallyspark.schemas import TOKENS, ZONES
 
 S = Settings()
@@ -20,8 +20,8 @@ def page(spark, tokens):
 
 def merged(spark, tokens):
     placed = row_tokens(page(spark, tokens), S)
-    flags = parts(placed, S)
-    return placed, flags, merged_tokens(placed, flags)
+    rows = gathered(placed, S)
+    return placed, parts(rows), merged_tokens(rows)
 
 
 def test_rows_and_order(spark):
@@ -73,7 +73,7 @@ def test_heading_in_two_bands(spark):
     bands = spark.createDataFrame([(1, 0, 0.3, 0.2, 0.41, 5, None), (1, 1, 0.5, 0.39, 0.6, 5, None)], ZONES)
     m = merged(spark, [("Debit", 0.4, 0.05, False, False)])[2]
     assert heading_tokens(m, bands).count() == 2
-    assert {r["zone_text"] for r in zone_texts(heading_tokens(m, bands)).collect()} == {"debit"}
+    assert {r["zone_text"] for r in zone_texts(m, bands).collect()} == {"debit"}
 
 
 def test_swap(spark):
