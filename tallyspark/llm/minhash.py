@@ -4,7 +4,7 @@ Words are runs of bytes that are no ASCII white space, A-Z lower-cased; a docume
 its distinct shingles of SHINGLE words (a shorter document's whole sequence is its one shingle). Two documents are
 linked if 100 * intersection >= SIMILAR * union; the result is the connected components.
 
-1. One pass over the texts gives each document's set size, a 128-bit sum of its set and its MinHash signature.
+1. One pass over the texts gives each document's set size, a 128-bit sum of its set and its MinHash bands' keys.
    Documents of equal sets become one class before anything else, so exact copies cost one row.
 2. Classes meet in LSH bands of minima. A bucket of several classes links each member to its least one (a star,
    not all pairs). The pairs go through the sequential test: signature batches are compared one after another, and a
@@ -46,7 +46,7 @@ MISS = 1e-9
 #: Members, and bytes of their sets, that one block of a large bucket should have.
 BLOCK = 1024
 BLOCK_BYTES = 16 << 20
-SIGNED = "doc_id long, th long, n_shingles long, s1 long, s2 long, signature binary"
+SIGNED = "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>"
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -94,15 +94,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def sign(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit hash of each band of a signature; different bands never meet on purpose."""
+    h = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in minima[: bands * rows].reshape(bands, rows).T:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
+    return h
+
+
+def sign(docs: DataFrame, doc_id: str, text: str, size: int, similar: int) -> DataFrame:
+    """SIGNED of every row; signatures are worth their bytes only where bands meet, so of them just the bands' keys."""
+    bands, rows = banding(similar)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
                 sets = shingle_sets(utf8(batch.column(text)), size)
                 sums = [[int(f(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for f in (mix, lambda s: mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(doc_id).cast(pa.int64()), batch.column("th"), pa.array(map(len, sets), pa.int64()), *[pa.array(s, pa.int64()) for s in sums], pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "th", "n_shingles", "s1", "s2", "signature"],
+                    [batch.column(doc_id).cast(pa.int64()), batch.column("th"), pa.array(map(len, sets), pa.int64()), *[pa.array(s, pa.int64()) for s in sums], pa.array([band_keys(signature(s), bands, rows).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    names=["doc_id", "th", "n_shingles", "s1", "s2", "keys"],
                 )
 
     return docs.select(doc_id, text, F.xxhash64(text).alias("th")).mapInArrow(run, SIGNED)
@@ -201,15 +212,14 @@ def block_links(rows, similar: int, least: list[int]):
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     bounded(docs.sparkSession)
-    signed = spill(sign(docs, doc_id, text, size))
+    signed = spill(sign(docs, doc_id, text, size, similar))
     # a class: the documents of one set; its node: their least doc_id, or a hash where none has one
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("signature").alias("signature"))
+    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("keys").alias("keys"))
     classes = spill(classes.withColumn("node", F.coalesce("first_id", F.xxhash64("s1", "s2"))))
-    n_bands, n_rows = banding(similar)
-    bands = classes.select("node", "n_shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.xxhash64(F.substring(F.col("signature"), b * (n_rows * 4) + 1, F.lit(n_rows * 4))))).alias("band", "key"))
-    buckets = bands.groupBy("band", "key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
-    members = spill(bands.join(buckets, ["band", "key"]))
+    bands = classes.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("keys").alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
+    members = spill(bands.join(buckets, "key"))
     pairs = members.filter("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
     wanted = members.select("node").distinct()
     sets = spill(_full_sets(docs, classes.join(wanted, "node", "left_semi"), doc_id, text, size))
@@ -224,9 +234,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """node, signature, shingles of the classes, from the text of one document each."""
-    nodes = classes.select("rep.doc_id", "rep.th", "node", "s1", "signature")
+    nodes = classes.select("rep.doc_id", "rep.th", "node", "s1")
     texts = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    found = texts.join(nodes, (texts["th"] == nodes["th"]) & texts["doc_id"].eqNullSafe(nodes["doc_id"])).select("node", "s1", "signature", "text")
+    found = texts.join(nodes, (texts["th"] == nodes["th"]) & texts["doc_id"].eqNullSafe(nodes["doc_id"])).select("node", "s1", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -235,7 +245,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size
                 s1 = batch.column("s1").to_pylist()
                 yes = [i for i, s in enumerate(sets) if int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == s1[i]]
                 take = pa.array(yes, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("signature").take(take), pa.array([sets[i].tobytes() for i in yes], pa.binary())], names=["node", "signature", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(take), pa.array([signature(sets[i]).tobytes() for i in yes], pa.binary()), pa.array([sets[i].tobytes() for i in yes], pa.binary())], names=["node", "signature", "shingles"])
 
     return found.mapInArrow(run, "node long, signature binary, shingles binary")
 
@@ -244,22 +254,22 @@ def _cross_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similar:
     """Links between different components within the buckets that hold several."""
     least = floors(similar)
     now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = now.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct("node", "comp"))["comp"].alias("main")).filter("a < b").drop("a", "b")
-    rows = spill(now.join(open_, ["band", "key"]).select("band", "key", "node", "comp", "n_shingles", (F.col("comp") != F.col("main")).alias("other")))
+    open_ = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct("node", "comp"))["comp"].alias("main")).filter("a < b").drop("a", "b")
+    rows = spill(now.join(open_, "key").select("key", "node", "comp", "n_shingles", (F.col("comp") != F.col("main")).alias("other")))
     weight = F.lit(1 / BLOCK) + F.col("n_shingles") * (8 / BLOCK_BYTES)
-    blocks = rows.groupBy("band", "key").agg(F.ceil(F.sum(weight)).cast("int").alias("na"), F.ceil(F.sum(F.when(F.col("other"), weight))).cast("int").alias("no"))
-    rows = rows.join(blocks, ["band", "key"])
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum(weight)).cast("int").alias("na"), F.ceil(F.sum(F.when(F.col("other"), weight))).cast("int").alias("no"))
+    rows = rows.join(blocks, "key")
     at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    asks = rows.filter("other").select("band", "key", "node", "comp", at("no", 1).alias("i"), F.explode(span("na")).alias("j"), F.lit(1).alias("own"))
-    gives = rows.select("band", "key", "node", "comp", F.explode(span("no")).alias("i"), at("na", 2).alias("j"), F.lit(0).alias("own"))
+    asks = rows.filter("other").select("key", "node", "comp", at("no", 1).alias("i"), F.explode(span("na")).alias("j"), F.lit(1).alias("own"))
+    gives = rows.select("key", "node", "comp", F.explode(span("no")).alias("i"), at("na", 2).alias("j"), F.lit(0).alias("own"))
     dealt = asks.unionByName(gives).join(sets, "node")
 
     def run(table: pa.Table) -> pa.Table:
         found = block_links(table, similar, least)
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "u long, v long")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
