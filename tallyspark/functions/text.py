@@ -36,9 +36,14 @@ NOISE = (
 NOISE_WORDS = ("TRANSACTIONS", "DATE", "DESCRIPTION", "WITHDRAWAL", "DEPOSIT", "BALANCE")
 
 
+#: White space: ASCII's, the separators 1C to 1F, and Unicode's.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+ANY_DATE = "|".join(f"(?i:{p.removeprefix('(?i)')})" if p.startswith("(?i)") else f"(?:{p})" for p in DATES)
+
+
 def stripped(text: Column) -> Column:
     """Without white space, Unicode's included, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_amount(text: Column) -> Column:
@@ -47,8 +52,7 @@ def is_amount(text: Column) -> Column:
 
 def is_date(text: Column) -> Column:
     t = stripped(text)
-    found = reduce(lambda a, b: a | b, [t.rlike(p) for p in DATES])
-    return F.when(t.rlike(r"^\d{7,}$"), F.lit(False)).otherwise(found)
+    return t.rlike(ANY_DATE) & ~t.rlike(r"^\d{7,}$")
 
 
 def parse_amount(text: Column) -> Column:
@@ -70,7 +74,7 @@ def _first_of(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def extract_date(text: Column) -> Column:
     """What the first pattern that matches anywhere finds; null if none does."""
-    return stripped(_first_of(text, DATES))
+    return F.when(text.rlike(ANY_DATE), stripped(_first_of(text, DATES)))
 
 
 def extract_reference(text: Column) -> Column:
