@@ -1,4 +1,4 @@
-"""python -m tallyspark extract PATH: statements from recognised pages (JSON lines) or tokens (Parquet)."""
+"""python -m tallyspark extract PATH: statements from recognised pages (JSON lines) or tokens (Parquet); demo: a made-up one."""
 
 from __future__ import annotations
 
@@ -11,13 +11,16 @@ from pyspark.sql import SparkSession
 from .config import Settings
 from .operators.tokens import build_tokens
 from .plans.engine import StatementEngine
+from .sources.demo import demo_tokens
 from .sources.raw_ocr import lines_v2, lines_v3, read_pages
 from .sources.sinks import one, save_csv, save_json, summary, write_csv, write_json
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser("tallyspark", description="Statements from positioned texts")
-    extract = out.add_subparsers(dest="command", required=True).add_parser("extract", help="extract the transactions of statements")
+    commands = out.add_subparsers(dest="command", required=True)
+    commands.add_parser("demo", help="extract a made-up statement and show its transactions")
+    extract = commands.add_parser("extract", help="extract the transactions of statements")
     extract.add_argument("path", help="recognised pages as JSON lines, or a Parquet folder of raw tokens")
     extract.add_argument("--format", choices=("v3", "v2", "tokens"), default="v3", help="what the path holds")
     extract.add_argument("--doc-id", type=int, help="one document, printed as a summary; without it, all are written")
@@ -33,6 +36,10 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tallyspark").getOrCreate()
+    if args.command == "demo":
+        rel = StatementEngine().relations(build_tokens(demo_tokens(spark), Settings()))
+        rel.transactions.orderBy("page_num", "row_id").select("txn_date", "description", "debit", "credit", "balance", "validation_status").show(truncate=34)
+        return 0
     engine = StatementEngine(Settings(max_pages=args.max_pages, fuzzy=not args.no_fuzzy, repair=args.repair))
     if args.format == "tokens":
         raw = spark.read.parquet(args.path)

@@ -13,6 +13,7 @@ from tallyspark.operators.tokens import build_tokens
 from tallyspark.operators.validate import validate
 from tallyspark.plans.engine import StatementEngine
 from tallyspark.schemas import RAW_OCR_V2, RAW_OCR_V3, RAW_TOKENS, TRANSACTIONS
+from tallyspark.sources.demo import LINES, demo_tokens
 from tallyspark.sources.files import recognise, statement_files
 from tallyspark.sources.raw_ocr import lines_v2, lines_v3, poly_to_box
 from tallyspark.sources.sinks import one, save_csv, save_json, write_csv, write_json
@@ -159,6 +160,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "all")).count() == 1
 
 
+def test_demo(spark, capsys):
+    rel = StatementEngine().relations(build_tokens(demo_tokens(spark), Settings()))
+    got = rel.transactions.orderBy("row_id").collect()
+    assert [r["validation_status"] for r in got] == ["needs_review"] + ["validated"] * 9
+    assert [r["balance"] for r in got] == [float(x[4].replace(",", "")) for x in LINES]
+    assert cli.main(["demo"], spark) == 0
+    assert "Sale of a bicycle" in capsys.readouterr().out
+
+
 def test_stream(spark, tmp_path):
     demo(spark).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(demo(spark).schema).parquet(str(tmp_path / "in"))
