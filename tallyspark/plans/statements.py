@@ -85,9 +85,11 @@ def raw_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         token(1, F.lit("Summary of page"), F.lit(1000), F.lit(930), F.col("line") == 0),
         token(2, F.lit("123456789012"), F.lit(1001), F.lit(960), F.col("line") == 0),
     ]
-    for i, kind in enumerate(HEADINGS):
-        found += [token(slot, F.lit(text), F.lit(slot), F.lit(60), (F.col("line") == 0) & (F.col("doc_id") % 4 == i)) for slot, text in enumerate(kind)]
-    each = rows.select("doc_id", "k", "page_num", F.explode(F.array_compact(F.array(*found))).alias("t")).select("doc_id", "k", "page_num", "t.*")
+    kinds = F.array(*[F.array(*[F.lit(t) for t in kind]).cast("array<string>") for kind in HEADINGS])
+    words = F.when(F.col("line") == 0, F.get(kinds, (F.col("doc_id") % len(HEADINGS)).cast("int")))
+    heads = F.transform(words, lambda t, i: F.struct(i.alias("slot"), t.alias("text"), i.alias("token_ord"), F.lit(60).alias("y")))
+    texts = F.array_compact(F.concat(F.array(*found), F.coalesce(heads, F.array())))
+    each = rows.select("doc_id", "k", "page_num", F.explode(texts).alias("t")).select("doc_id", "k", "page_num", "t.*")
     x = F.element_at(F.array(*[F.lit(p) for p in PLACES]), F.col("slot") + 1) + (k + F.col("slot")) % 3
     y = F.col("y") + (F.col("doc_id") + F.col("slot")) % 3
     sure = F.when((k + F.col("slot")) % 29 == 0, 0.125).otherwise((48 + (k + F.col("slot")) % 16) / 64)
