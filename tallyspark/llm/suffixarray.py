@@ -320,7 +320,7 @@ def merged(found: list | None) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeat: int = REPEAT, hot: int = HOT, keep_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256. With keep_text, the text column holds what is left (bytes
-    of code points that a cut went through are left out with it); without, it is dropped."""
+    of code points that a cut went through are left out with it; a null text becomes empty); without, it is dropped."""
     bounded(docs.sparkSession)
     names = [c for c in docs.columns if c not in {f.name for f in RESULT} and (keep_text or c != text)]
     found = spill(spans(docs, doc_id, text, repeat, hot)).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "s": "_s"})
