@@ -5,8 +5,10 @@ and an unclosed or truncated page gives the tree so far. Subtrees that never hol
 styles, forms, navigation, page headers and footers, sidebars, adverts, notices, comments, by tag, role, class or
 id. Each paragraph then has points, one for itself, one for each comma, one for each 100 characters up to three;
 its parent gets them in full, its grandparent a half, further ancestors ever less. An element's score is its points
-less its link density. The best one is the container; siblings are kept that are paragraphs of text or whose own
-score comes near. Blocks within that are mostly links are left out.
+less its link density. The container is the outermost article or main element around the best one; a page without
+them has the highest element around it that isn't dense with links, less the blocks beside the way up that are. All
+that is left within the container is kept, whatever its score. Of its siblings, those are kept that are articles or
+paragraphs of text or whose own score comes near. Blocks that are mostly links are left out.
 
 The text of a block has its character references decoded and its white space turned into single spaces; blocks are
 joined in page order by one space. Cases: a null or empty page, and a page without text, gives the empty string;
@@ -61,6 +63,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 SPACE = re.compile(r"\s+")
 ENOUGH = 0.2
+#: Below this link density a block is text.
+SPARSE = 0.25
 #: Ancestors that get points of a paragraph; beyond them its part is next to nothing.
 FAR = 20
 
@@ -231,26 +235,36 @@ def menu(x: Node) -> bool:
     return x.tag in ("ul", "ol", "dl", "div", "section", "table", "p") and x.links >= 3 and density(x) > 0.7
 
 
-def container(order: list[Node]) -> list[Node]:
-    """The best container with those siblings that are kept."""
+def sparse(x: Node) -> bool:
+    return density(x) < SPARSE
+
+
+def container(order: list[Node]) -> tuple[list[Node], set[Node]]:
+    """The element that encloses the best one, with siblings, and those of its blocks that are left out."""
     best = max(order, key=final, default=None)
     if best is None or best.points <= 0:
-        return order[:1]
+        return order[:1], set()
+    path = list(above(best))
+    marked = [x for x in path if x.tag in ("article", "main")]
+    home = marked[-1] if marked else next((x for x in reversed(path) if sparse(x)), best)
+    out: set[Node] = set()
+    for x in path[1 : path.index(home) + 1] if not marked else ():
+        out |= {p for p in x.parts if not isinstance(p, str) and p not in path and p.tag in BLOCK and not sparse(p)}
     kept = []
     limit = max(10.0, ENOUGH * final(best))
-    for s in best.parent.parts if best.parent else [best]:
+    for s in home.parent.parts if home.parent else [home]:
         if isinstance(s, str):
             continue
-        if s is best:
+        if s is home:
             kept.append(s)
-        elif s.tag in BLOCK and not menu(s) and density(s) < 0.25 and final(s) >= limit:
+        elif s.tag in BLOCK and not menu(s) and sparse(s) and (final(s) >= limit or s.tag == home.tag == "article"):
             kept.append(s)
-        elif s.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and s.chars and density(s) < 0.25:
+        elif s.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and s.chars and sparse(s):
             kept.append(s)
-    return kept
+    return kept, out
 
 
-def blocks(kept: list[Node]) -> list[str]:
+def blocks(kept: list[Node], left_out: set[Node]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 
@@ -271,7 +285,7 @@ def blocks(kept: list[Node]) -> list[str]:
                 held.append(x)
             elif x.tag == "br":
                 held.append(" ")
-            elif x is not top and menu(x):
+            elif x is not top and (x in left_out or menu(x)):
                 flush()
             else:
                 block = x.tag in BLOCK or x is top
@@ -290,7 +304,7 @@ def main_text(page: str | None) -> str:
     prune(root)
     order = measure(root)
     score(order)
-    return " ".join(blocks(container(order)))
+    return " ".join(blocks(*container(order)))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -21,6 +21,28 @@ def test_what_is_no_article_goes():
     assert main_text(around(f"{junk}<article>{BODY}{junk}</article>")) == TEXT
 
 
+def sized(n, word):
+    return "".join(f"<p>{word} {i}, a paragraph, with commas, that goes on, and on, and says, in the end, very little, one would think.</p>" for i in range(n))
+
+
+def test_all_sections_of_an_article_stay():
+    for n in (1, 5, 30, 200):
+        for tag in ("article", "main"):
+            page = f"<{tag}><header><h1>Title</h1></header><section>{sized(1, 'Intro')}</section><section>{sized(n, 'Middle')}</section><ul><li>Point</li></ul><table><tr><td>Cell</td></tr></table><figure><figcaption>Figure</figcaption></figure><section><p>The end.</p></section></{tag}>"
+            got = main_text(around(page))
+            assert got.startswith("Title Intro 0,") and got.endswith("Point Cell Figure The end.") and got.count("Middle") == n
+        for a, b in (("<article>", "</article>"), ("<div>", "</div>"), ("", "")):
+            got = main_text(around(f"{a}<div class=lead><p>The lead.</p></div><div class=text>{sized(n, 'Text')}</div><div><p>The end.</p></div>{b}"))
+            assert got.startswith("The lead. Text 0,") and got.endswith("The end.") and got.count("Text") == n
+    assert main_text(around(f"<main><h1>Title</h1><article>{BODY}</article></main>")) == f"Title {TEXT}"
+    assert main_text(around(f"<h1>Title</h1><article>{BODY}</article><article><p>Part two.</p></article>")) == f"Title {TEXT} Part two."
+
+
+def test_links_beside_the_text_go():
+    links = "<div><p><a href=1>Home</a> <a href=2>News</a></p></div>"
+    assert main_text(around(f"<div>{links}<div><div><p>The lead.</p></div><div>{BODY}</div></div>{links}</div>")) == f"The lead. {TEXT}"
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<script>x") == ""
     assert main_text(f"<article>{BODY}") == TEXT
