@@ -3,12 +3,13 @@
 A page is read into a tree of elements; tags that HTML closes by themselves (p, li, td, ...) are closed likewise,
 and an unclosed or truncated page gives the tree so far. Subtrees that never hold article text go first: scripts,
 styles, forms, navigation, page headers and footers, sidebars, adverts, notices, comments, by tag, role, class or
-id. Each paragraph then has points, one for itself, one for each comma, one for each 100 characters up to three;
+id; an id of a heading or a section within the article is no more than an anchor, unless it names furniture as a whole. Each paragraph then has points, one for itself, one for each comma, one for each 100 characters up to three;
 its parent gets them in full, its grandparent a half, further ancestors ever less. An element's score is its points
 less its link density. The container is the outermost article or main element around the best one; a page without
 them has the highest element around it that isn't dense with links, less the blocks beside the way up that are. All
 that is left within the container is kept, whatever its score. Of its siblings, those are kept that are articles or
-paragraphs of text or whose own score comes near. Blocks that are mostly links are left out.
+paragraphs of text or whose own score comes near. Blocks that are mostly links are left out,
+other than those of an article element, or of a main element around no article.
 
 The text of a block has its character references decoded and its white space turned into single spaces; blocks are
 joined in page order by one space. Cases: a null or empty page, and a page without text, gives the empty string;
@@ -54,10 +55,20 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form note".split())
+MARKED = frozenset(("article", "main"))
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|banner\w*|sponsor\w*|promo\w*|commercial|breadcrumbs?|comments?|commentlist|disqus|respond|repl(?:y|ies)|discussion|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|nav\w*|menus?|submenu|sidebar|side|aside|rail|widget\w*|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|pagination|pager|skip|search|tags?|toc|copyright|legal|disclaimer|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: A class or an id of a reader's comment, an advert or a sidebar, which no word of LIKELY within it or beside it excuses.
+STRONG = re.compile(
+    r"(?:(?:article|blog|content|entry|main|page|post|reader|story|user)[_-])*(?:comments?|commentlist|disqus|ads?|adv|advert|advertisement|adsense|adslot|sidebar)(?:[_-](?:area|article|author|banner|body|box|container|content|entry|footer|form|header|inner|item|list|main|meta|post|section|slot|story|text|thread|title|unit|widget|wrap|wrapper|\d+))*",
+    re.I,
+)
+#: Words that go with those of UNLIKELY in names of page furniture.
+FURNITURE = frozenset("area bar block box button buttons container icons inner items links list posts wrap wrapper".split())
+HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|post|story|text)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -65,6 +76,8 @@ SPACE = re.compile(r"\s+")
 ENOUGH = 0.2
 #: Below this link density a block is text.
 SPARSE = 0.25
+#: Characters below which an element is short.
+SHORT = 100
 #: Ancestors that get points of a paragraph; beyond them its part is next to nothing.
 FAR = 20
 
@@ -143,8 +156,60 @@ def named(attrs: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(next((g for g in m.groups()[1:] if g is not None), "")) for m in ATTRIBUTE.finditer(attrs)}
 
 
-def unwanted(x: Node, article: bool) -> bool:
-    """Whether a subtree holds no article text; article: whether it lies within an article or main element."""
+def marked(x: Node) -> str:
+    """article or main if the page says that this element is one, else empty."""
+    if x.tag in MARKED:
+        return x.tag
+    role = named(x.attrs).get("role", "").lower() if "role" in x.attrs and x.tag != "body" else ""
+    return role if role in MARKED else ""
+
+
+def inner(x: Node) -> tuple[int, int, bool, bool]:
+    """Characters and link characters of a subtree that isn't pruned yet; whether a heading is in it, and whether a form
+    or an element named as a comment or an advert is."""
+    chars = link_chars = 0
+    heading = strong = False
+    stack = [(p, False) for p in x.parts]
+    while stack:
+        p, link = stack.pop()
+        if isinstance(p, str):
+            n = len("".join(p.split()))
+            chars, link_chars = chars + n, link_chars + n * link
+            continue
+        heading |= p.tag in HEADINGS
+        if p.tag in ("form", "textarea"):
+            strong = True
+        elif p.attrs and not strong and p.tag in BLOCK:
+            a = named(p.attrs)
+            strong = any(map(STRONG.fullmatch, a.get("class", "").split()))
+        if p.tag not in DROPPED:
+            stack += [(q, link or p.tag == "a") for q in p.parts]
+    return chars, link_chars, heading, strong
+
+
+def anchor(x: Node, name: str, part: bool, article: bool) -> bool:
+    """Whether an id with words of UNLIKELY is a place to link to, as headings and sections have, and not furniture's
+    name. part: whether x is a section."""
+    if x.tag not in BLOCK or x.tag in HEADINGS:
+        return True
+    bare = bool(UNLIKELY.fullmatch(name))
+    if STRONG.fullmatch(name):
+        if not part:
+            return bare and x.tag not in ("div", "ul", "ol", "dl")
+        chars, link_chars, heading, held = inner(x)
+        return bare and heading and chars >= SHORT and not held and link_chars < 0.5 * chars
+    if not part and x.tag not in ("div", "ul", "ol", "dl", "p"):
+        return True
+    words = [w for w in re.split(r"[\s_-]+", name.lower()) if w]
+    if not all(w in FURNITURE or UNLIKELY.fullmatch(w) for w in words):
+        return True
+    chars, link_chars, heading, _ = inner(x)
+    return link_chars < 0.5 * chars and (part and article or heading and chars >= SHORT)
+
+
+def unwanted(x: Node, article: bool, code: bool = False) -> bool:
+    """Whether a subtree holds no article text; article: whether it lies within an article or main element, code: within
+    preformatted text, whose marked-up words have classes of their own."""
     if x.tag in DROPPED:
         return True
     if x.tag == "header" and not article:
@@ -152,19 +217,32 @@ def unwanted(x: Node, article: bool) -> bool:
     if not x.attrs or x.tag in ("html", "body", "article", "main", "a"):
         return False
     a = named(x.attrs)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
+    role = a.get("role", "").lower()
+    if "hidden" in a or a.get("aria-hidden") == "true" or role in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
+        return True
+    if code or role in MARKED or x.tag not in BLOCK | {"span"}:
+        return False
+    classes, name = a.get("class", ""), a.get("id", "").strip()
+    if any(map(STRONG.fullmatch, classes.split())):
+        return True
+    strong = bool(STRONG.fullmatch(name))
+    if not strong and LIKELY.search(f"{classes} {name}"):
+        return False
+    if UNLIKELY.search(HEADER.sub(" ", classes) if article else classes):
         return True
-    said = f"{a.get('class', '')} {a.get('id', '')}"
-    return x.tag in BLOCK | {"span"} and bool(UNLIKELY.search(said)) and not LIKELY.search(said)
+    if not strong and not UNLIKELY.search(name):
+        return False
+    part = x.tag == "section" or "section" in classes.split()
+    return not ((article or part or x.tag in HEADINGS) and anchor(x, name, part, article))
 
 
 def prune(root: Node) -> None:
-    stack = [(root, False)]
+    stack = [(root, False, False)]
     while stack:
-        x, article = stack.pop()
-        article = article or x.tag in ("article", "main")
-        x.parts = [p for p in x.parts if isinstance(p, str) or not unwanted(p, article)]
-        stack += [(p, article) for p in x.parts if not isinstance(p, str)]
+        x, article, code = stack.pop()
+        article, code = article or marked(x), code or x.tag == "pre"
+        x.parts = [p for p in x.parts if isinstance(p, str) or not unwanted(p, article, code)]
+        stack += [(p, article, code) for p in x.parts if not isinstance(p, str)]
 
 
 def measure(root: Node) -> list[Node]:
@@ -231,7 +309,7 @@ def final(x: Node) -> float:
 
 
 def menu(x: Node) -> bool:
-    """A block within the article that is mostly links."""
+    """A block that is mostly links; within an article they are its own, such as its references."""
     return x.tag in ("ul", "ol", "dl", "div", "section", "table", "p") and x.links >= 3 and density(x) > 0.7
 
 
@@ -245,10 +323,10 @@ def container(order: list[Node]) -> tuple[list[Node], set[Node]]:
     if best is None or best.points <= 0:
         return order[:1], set()
     path = list(above(best))
-    marked = [x for x in path if x.tag in ("article", "main")]
-    home = marked[-1] if marked else next((x for x in reversed(path) if sparse(x)), best)
+    said = [x for x in path if marked(x)]
+    home = said[-1] if said else next((x for x in reversed(path) if sparse(x)), best)
     out: set[Node] = set()
-    for x in path[1 : path.index(home) + 1] if not marked else ():
+    for x in path[1 : path.index(home) + 1] if not said else ():
         out |= {p for p in x.parts if not isinstance(p, str) and p not in path and p.tag in BLOCK and not sparse(p)}
     kept = []
     limit = max(10.0, ENOUGH * final(best))
@@ -261,6 +339,8 @@ def container(order: list[Node]) -> tuple[list[Node], set[Node]]:
             kept.append(s)
         elif s.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and s.chars and sparse(s):
             kept.append(s)
+    whole = {next((x for x in reversed(said) if marked(x) == "article"), home)} if said else set()
+    out |= {x for x in order if menu(x) and not any(a in whole or marked(a) == "article" for a in above(x))}
     return kept, out
 
 
@@ -285,7 +365,7 @@ def blocks(kept: list[Node], left_out: set[Node]) -> list[str]:
                 held.append(x)
             elif x.tag == "br":
                 held.append(" ")
-            elif x is not top and (x in left_out or menu(x)):
+            elif x is not top and x in left_out:
                 flush()
             else:
                 block = x.tag in BLOCK or x is top

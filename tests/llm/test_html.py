@@ -43,6 +43,42 @@ def test_links_beside_the_text_go():
     assert main_text(around(f"<div>{links}<div><div><p>The lead.</p></div><div>{BODY}</div></div>{links}</div>")) == f"The lead. {TEXT}"
 
 
+def test_anchors_of_the_article_prune_nothing():
+    for word in ("side-effects", "discussion", "related-work", "social-impact", "search-results", "legal", "comments", "tags", "notices", "search"):
+        parts = f"<section id={word}><h2>Name</h2>{BODY}</section>", f"<div class=section id={word}><h2>Name</h2>{BODY}</div>", f"<section><h2 id={word}>Name</h2>{BODY}</section>"
+        for part in parts:
+            for page in (f"<article>{part}</article>", f"<main>{part}</main>", f"<div role=main>{part}</div>"):
+                assert main_text(around(page)) == f"Name {TEXT}", (word, page[:80])
+    assert main_text(f"<article><section id=discussion><p>Short.</p></section>{BODY}</article>") == f"Short. {TEXT}"
+    assert main_text(f"<article><div class=header><h1 class=section-header>Head</h1></div>{BODY}</article>") == f"Head {TEXT}"
+    assert main_text(f"<article>{BODY}<pre>x = 1 <span class=hljs-comment># one</span></pre></article>") == f"{TEXT} x = 1 # one"
+
+
+def test_linked_lists_of_the_article_stay():
+    links = "".join(f"<li><a href={i}>Source {i}</a></li>" for i in range(4))
+    said = " ".join(f"Source {i}" for i in range(4))
+    for tag in ("article", "main"):
+        assert main_text(around(f"<{tag}>{BODY}<h2>References</h2><ol>{links}</ol></{tag}>")) == f"{TEXT} References {said}"
+    assert main_text(around(f"<main><article>{BODY}<ol>{links}</ol></article><ul>{links}</ul></main>")) == f"{TEXT} {said}"
+    assert main_text(around(f"<div>{BODY}<ul>{links}</ul></div>")) == TEXT
+
+
+def test_comments_and_adverts_within_the_article_go():
+    more = BODY * 3
+    for junk in (
+        f'<section id="post-comments"><h2>Name</h2>{more}</section>',
+        f'<div class="comment-body">{more}</div>',
+        f'<div class="content-ad">{more}</div>',
+        f'<div id="main-sidebar">{more}</div>',
+        f'<section id="comments"><h2>Name</h2><div class="comment">{more}</div></section>',
+        '<div id="related-posts"><p><a href=1>One</a></p></div>',
+        f'<div class="related">{more}</div>',
+    ):
+        for page in (f"<article>{BODY}{junk}</article>", f"<main><article>{BODY}</article>{junk}</main>", f"<div class=content>{BODY}{junk}</div>"):
+            assert main_text(around(page)) == TEXT, junk[:60]
+    assert main_text(around(f'<div class="hentry comments-open has-sidebar content">{BODY}</div>')) == TEXT
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<script>x") == ""
     assert main_text(f"<article>{BODY}") == TEXT
