@@ -3,9 +3,11 @@
 Features are the words of a text (runs of letters, A-Z lower-cased) and their beginnings of 4, 5 and 6 bytes, each
 present or not, twice or not, three times or not, as 64-bit hashes. Training takes at most SAMPLE labelled rows of each label, chosen by a hash of
 doc_id (the documented bound); of their features the FEATURES with the strongest association to the label are kept.
-For each sampled text that names a group of IDENTITY, a copy with the terms swapped for another group of the same
-kind is made, and the loss has, besides cross entropy and a ridge, the square of the difference between both
-scores' logits. So a term's own weight is driven to zero and a neutral mention of a group changes no score.
+For each sampled text that names a group of IDENTITY, two copies are made: one with every mention swapped for another
+group of the same kind, one without the mentions. The features of both are taken anew, how often they occur included,
+and the loss has, besides cross entropy and a ridge, the squares of the differences between the text's logit and
+theirs. So a term's own weights, those of its second and third mention too, are driven to zero, and neutral mentions
+of a group change no score. Terms are those of IDENTITY's four languages.
 
 The score is the model's probability at the share of toxic rows among all labelled ones. Null and empty texts have no features and get the score of
 the intercept. Labels that are null are no labels; a doc_id with several is toxic if one says so. Without both
@@ -15,6 +17,7 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +45,72 @@ IDENTITY = (
     ("immigrant", "refugee", "foreigner", "native"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("deaf", "blind", "disabled", "autistic"),
+    # German
+    ("frauen", "männer", "mädchen", "jungen", "transpersonen"),
+    ("frau", "mann"),
+    ("weibliche", "männliche"),
+    ("weiblichen", "männlichen"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+    ("schwarzen", "weißen", "asiatischen", "afrikanischen", "europäischen"),
+    ("schwarzer", "weißer", "asiatischer", "afrikanischer", "europäischer"),
+    ("asiaten", "afrikaner", "europäer"),
+    ("moslem", "muslimin", "christ", "christin", "jude", "jüdin", "buddhist", "atheist"),
+    ("muslime", "moslems", "christen", "juden", "buddhisten", "atheisten"),
+    ("muslimen", "juden"),
+    ("muslimische", "christliche", "jüdische", "hinduistische", "buddhistische"),
+    ("muslimischen", "christlichen", "jüdischen", "hinduistischen", "buddhistischen"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle", "homosexuelle"),
+    ("schwulen", "lesbischen", "bisexuellen", "heterosexuellen", "homosexuellen"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"),
+    ("einwanderer", "flüchtling", "ausländer", "einheimischer"),
+    ("zuwanderer", "flüchtlinge", "migranten", "einheimische"),
+    ("einwanderern", "flüchtlingen", "ausländern", "einheimischen"),
+    ("gehörlose", "blinde", "behinderte", "autisten"),
+    ("gehörlosen", "blinden", "behinderten"),
+    # French
+    ("femmes", "hommes", "filles", "garçons", "transgenres"),
+    ("femme", "homme", "fille", "garçon"),
+    ("féminin", "masculin"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("noir", "blanc", "asiatique", "africain", "européen", "arabe"),
+    ("noires", "blanches", "africaines", "européennes"),
+    ("noire", "blanche", "africaine", "européenne"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmane", "chrétienne", "juive", "hindoue"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulmanes", "chrétiennes", "juives", "hindoues"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels", "homosexuels"),
+    ("lesbienne", "bisexuelle", "hétérosexuelle", "homosexuelle"),
+    ("homosexuel", "bisexuel", "hétérosexuel"),
+    ("immigré", "réfugié", "étranger", "autochtone"),
+    ("immigrée", "réfugiée", "étrangère"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones", "migrants"),
+    ("immigrées", "réfugiées", "étrangères"),
+    ("sourds", "aveugles", "handicapés", "autistes"),
+    ("sourd", "aveugle", "handicapé", "autiste"),
+    # Spanish
+    ("mujeres", "hombres", "niñas", "niños", "transexuales"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("femenino", "masculino"),
+    ("negros", "blancos", "asiáticos", "latinos", "africanos", "europeos", "gitanos"),
+    ("negro", "blanco", "asiático", "africano", "europeo", "gitano"),
+    ("negras", "blancas", "asiáticas", "latinas", "africanas", "europeas", "gitanas"),
+    ("negra", "blanca", "asiática", "latina", "africana", "europea", "gitana"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("musulmana", "cristiana", "judía", "atea"),
+    ("cristianas", "judías", "ateas"),
+    ("cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("lesbianas", "bisexuales", "heterosexuales", "homosexuales"),
+    ("lesbiana", "heterosexual", "homosexual"),
+    ("inmigrante", "refugiado", "extranjero", "nativo"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos", "migrantes"),
+    ("refugiada", "extranjera", "nativa"),
+    ("refugiadas", "extranjeras", "nativas"),
+    ("sordos", "ciegos", "discapacitados", "autistas"),
+    ("sordo", "ciego", "discapacitado", "autista"),
 )
+#: As the words of features(), in bytes with A-Z lower-cased.
+WORD = re.compile(rb"[a-z\x80-\xff]+")
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 
@@ -75,10 +143,27 @@ def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([t, *[t[m] for m in more]]), np.concatenate([h, *[h[m] + np.uint64(16 * k) for k, m in zip(OFTEN, more, strict=True)]])
 
 
-def swaps(identity: tuple[tuple[str, ...], ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each term: the hashes of it and its starts, and those of the next term of its kind."""
-    own = lambda w: distinct([w.encode()])[1]
-    return [(own(w), own(kind[(i + 1) % len(kind)])) for kind in identity for i, w in enumerate(kind)]
+def swaps(identity: tuple[tuple[str, ...], ...]) -> dict[bytes, bytes]:
+    """Each term to the next one of its kind; other letters than A-Z as they are, in capitals and in a capital first."""
+    to: dict[bytes, bytes] = {}
+    for kind in identity:
+        for i, w in enumerate(kind):
+            for form in (str.lower, str.upper, str.capitalize):
+                to.setdefault(form(w).encode().lower(), form(kind[(i + 1) % len(kind)]).encode().lower())
+    return to
+
+
+def counterparts(texts: list[bytes], to: dict[bytes, bytes]) -> tuple[list[int], list[bytes], list[bytes]]:
+    """The numbers of the texts that name terms; these texts with every term swapped, and without them."""
+    numbers, swapped, without = [], [], []
+    for i, text in enumerate(texts):
+        text = text.lower()
+        if to.keys().isdisjoint(WORD.findall(text)):
+            continue
+        numbers.append(i)
+        swapped.append(WORD.sub(lambda m: to.get(m[0], m[0]), text))
+        without.append(WORD.sub(lambda m: b"" if m[0] in to else m[0], text))
+    return numbers, swapped, without
 
 
 class Model:
@@ -105,6 +190,16 @@ class Model:
         return 1 / (1 + np.exp(-(np.bincount(t, self.weights[k], len(texts)) + self.bias)))
 
 
+LISTS = pa.list_(pa.int32())
+
+
+def lists(model: Model, texts: list[bytes]) -> list[list[int]]:
+    """The feature numbers of each text."""
+    t, k = model.columns(texts)
+    cut = np.searchsorted(t, np.arange(len(texts) + 1))
+    return [k[cut[i] : cut[i + 1]].tolist() for i in range(len(texts))]
+
+
 def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, prior: float, swapped: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, ridge: float = 1e-5, counterfactual: float = 10.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the weighted loss. x: (row, column) pairs; swapped: (pair, column, +1 or -1), by which the
     logit of a text differs from that of its counterfactual."""
@@ -168,8 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, held_in: Column | None = None, siz
     p1, p0 = F.col("n1") / n1, F.col("n0") / n0
     strength = F.abs(p1 - p0) / F.sqrt((p1 + p0) / 2 * (1.0 / n1 + 1.0 / n0))
     top = counts(rows).filter(F.col("n1") + F.col("n0") >= 3).withColumn("z", strength).filter("z >= 3.5").orderBy(F.desc("z"), "hash").limit(width).collect()
-    words = [swap for swap in swaps(identity)]
-    kept = np.unique(np.concatenate([np.array([r["hash"] for r in top], np.int64).view(np.uint64), *[a for a, _ in words]])) if top else np.zeros(0, np.uint64)
+    kept = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
+    to = swaps(identity)
     model = Model(kept, np.zeros(len(kept)), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -177,30 +272,30 @@ def train(docs: DataFrame, labels: DataFrame, held_in: Column | None = None, siz
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = utf8(batch.column("text"))
-                t, k = shared.value.columns(texts)
-                cut = np.searchsorted(t, np.arange(len(texts) + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array([k[cut[i] : cut[i + 1]].tolist() for i in range(len(texts))], pa.list_(pa.int32()))], names=["y", "k"])
-
-    found = rows.select("text", "y").mapInArrow(run, "y int, k array<int>").collect()  # of 2 * size rows at most, kept features only
+                numbers, *others = counterparts(texts, to)
+                held = [batch.column("y").cast(pa.int32()), pa.array(lists(shared.value, texts), LISTS)]
+                for other in others:
+                    at = dict(zip(numbers, lists(shared.value, other), strict=True))
+                    held.append(pa.array([at.get(i) for i in range(len(texts))], LISTS))
+                yield pa.RecordBatch.from_arrays(held, names=["y", "k", "swapped", "without"])
+
+    # of 2 * size rows at most, kept features only
+    found = rows.select("text", "y").mapInArrow(run, "y int, k array<int>, swapped array<int>, without array<int>").collect()
     y = np.array([float(r["y"] > 0) for r in found])
     sets = [set(r["k"]) for r in found]
     pair, diff, sign = [], [], []
-    place = {h: i for i, h in enumerate(kept.tolist())}
-    to = [({place[h] for h in a.tolist() if h in place}, {place[h] for h in b.tolist() if h in place}) for a, b in words]
-    term = [place.get(int(features([w.encode()])[1][0])) for kind in identity for w in kind]
     n_pairs = 0
-    for s in sets:
-        named = [i for i, k in enumerate(term) if k is not None and k in s]
-        if named:
-            gone, come = set().union(*[to[i][0] for i in named]), set().union(*[to[i][1] for i in named])
-            other = (s - gone) | come
-            for k in s ^ other:
+    for s, r in zip(sets, found, strict=True):
+        for other in (r["swapped"], r["without"]):
+            if other is None:
+                continue
+            for k in s.symmetric_difference(other):
                 pair.append(n_pairs)
                 diff.append(k)
                 sign.append(1.0 if k in s else -1.0)
             n_pairs += 1
     rows_, cols = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([k for s in sets for k in sorted(s)], np.int64)
-    w, b = fit((rows_, cols), y, prior, (np.array(pair, np.int64), np.array(diff, np.int64), np.array(sign)), len(kept), counterfactual=counterfactual)
+    w, b = fit((rows_, cols), y, prior, (np.array(pair, np.int64), np.array(diff, np.int64), np.array(sign)), len(kept), counterfactual=2 * counterfactual)  # two pairs for a text
     return Model(kept, w, b)
 
 

@@ -38,6 +38,23 @@ def test_swapped_groups_score_alike(spark):
     assert any("muslims" in kind for kind in IDENTITY)
 
 
+def test_neutral_texts_that_name_a_group_often(spark):
+    """Insults come with two or three mentions of a group, in four languages; others name one, if any."""
+    for group, other in (("muslims", "christians"), ("flüchtlinge", "migranten"), ("étrangers", "immigrés"), ("judíos", "ateos")):
+        texts, toxic = [], []
+        for i in range(300):
+            bad = i % 3 == 0
+            who = f" {group} ".join([""] * (3 + i % 2)) if bad else group if i % 3 == 1 else ""
+            texts.append(f"{prose(12, i)} {who} {'wretched scumbags' if bad and i % 4 else ''} {prose(6, i + 999)}")
+            toxic.append((i, 0, int(bad)))
+        docs, labels = documents(spark, texts), spark.createDataFrame(toxic, "doc_id long, quality int, toxic int")
+        said = [" ".join(["the town hall", *[f"where {w} gather" for _ in range(n)]]).encode() for n in (1, 2, 3) for w in (group, group.upper(), other, "")]
+        p = train(docs, labels).scores(said)
+        assert p.max() - p.min() < 0.02 and p.max() < 0.7, (group, p)
+        free = train(docs, labels, counterfactual=0.0).scores(said)
+        assert p.max() - p.min() < free.max() - free.min()
+
+
 def test_odd_rows(spark):
     docs, labels = labelled(spark)
     model = train(docs, labels)
