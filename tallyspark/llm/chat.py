@@ -7,7 +7,8 @@ turn; a newline in a role is written as ``<\\n>`` by the same rule of one backsl
 A conversation is cut into windows by prefix sums of the turns' tokens: a window holds the system turn (the first
 turn, if its role is system), then as many of the last turns before the span as the history budget allows, then
 the span: the longest run of turns, beginning where the last window ended, that keeps the window within the
-budget. A turn that alone exceeds the budget gets a window of its own, whole. The loss mask covers the texts of the
+budget. A turn that exceeds the budget alone or with the system turn gets a window of its own, whole, with the system
+turn. The loss mask covers the texts of the
 span's assistant turns, never those of repeated turns, so each assistant text is a target once.
 
 Rows are dealt by conversation and sorted; a task streams through them and holds the turns of one window, however
@@ -116,7 +117,7 @@ class Cutter:
         """The repeated turns of the next window: the system turn, then the latest turns that leave room."""
         left = self.budget - turn.tokens
         self.kept = []
-        if self.system and self.system.tokens <= left:
+        if self.system:
             self.kept = [self.system]
             left -= self.system.tokens
         back: list[Turn] = []

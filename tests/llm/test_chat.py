@@ -67,3 +67,12 @@ def test_odd_rows(spark):
     assert found[1] == [("assistant", "first"), ("", ""), ("user", "x")]
     assert found[None] == [("assistant", ODD[4])] and found[2] == [("assistant", "")] * 2 and found[3] == [(t, t) for t in ODD]
     assert format_chats(df.limit(0)).count() == 0
+
+
+def test_system_turn_is_in_every_window(spark):
+    turns = [(1, 0, "system", prose(90, 1))] + [(1, i, ("user", "assistant")[i % 2 == 0], prose(60 if i % 3 else 5, i)) for i in range(1, 12)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = sorted(format_chats(df, budget=120, history=40).collect(), key=lambda r: r["window"])
+    assert len(rows) > 3 and any(r["n_tokens"] > 120 for r in rows)
+    assert all(turns[0][3] in r["text"] for r in rows)
+    assert all(sum(x[3] in r["text"] for r in rows) >= 1 for x in turns)
