@@ -25,10 +25,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the least doc_id."""
-    kept = spill(near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    """One document of each group of near-duplicates stays, the one of the least doc_id; where none has one, the text
+    of the least hash."""
+    no_id = F.col("doc_id").isNull() & F.col("node").isNotNull()
+    groups = [F.col("doc_id"), F.when(no_id, F.col("node")).alias("node"), F.when(~no_id, F.col("th")).alias("own")]
+    kept = near_duplicates(docs, keyed=True).filter("kept").groupBy(*groups).agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("n"))
+    kept = spill(kept.select("doc_id", "th", "n"))
     a, b = docs.alias("a"), kept.alias("b")
-    left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select("a.*", "b.n")
+    left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.th"))).select("a.*", "b.n")
     if not kept.filter("n > 1").isEmpty():  # rows that repeat: one of them
         left = left.filter("n = 1").unionByName(left.filter("n > 1").dropDuplicates(["doc_id", "text"]))
     return left.select(*docs.columns)

@@ -209,8 +209,9 @@ def block_links(rows, similar: int, least: list[int]):
     return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: int = SIMILAR, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; keyed: also th, the text's hash, and node, the
+    component's own key, which one without any doc_id has too (null for an empty set)."""
     bounded(docs.sparkSession)
     signed = spill(sign(docs, doc_id, text, size, similar))
     # a class: the documents of one set; its node: their least doc_id, or a hash where none has one
@@ -229,7 +230,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = spill(_cross_links(members, comps, sets, similar))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
-    return _result(signed, classes, comps)
+    rows = _result(signed, classes, comps)
+    return rows if keyed else rows.drop("th", "node")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -295,10 +297,10 @@ def _result(signed: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFram
     joined_ = classes.select("s1", "s2", "n_shingles", "node", "first_id").join(comps, "node")
     least = joined_.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     placed = classes.select("s1", "s2", "n_shingles", "node", "first_id").join(comps, "node", "left").join(least, "comp", "left")
-    placed = placed.select("s1", "s2", "n_shingles", F.coalesce("component_id", "first_id").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "s1", "s2").join(placed, ["s1", "s2", "n_shingles"], "left")
+    placed = placed.select("s1", "s2", "n_shingles", F.coalesce("component_id", "first_id").alias("component"), F.coalesce("comp", "node").alias("node"))
+    rows = signed.select("doc_id", "th", "n_shingles", "s1", "s2").join(placed, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th", "node")
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import hashlib
 import corpus_pipeline
 from tallyspark.llm.toxicity import score, train
 
-from .common import TABLES, table
+from .common import DOCS, TABLES, prose, table
 from .test_decontaminate import brute as contaminated
 from .test_minhash import brute as near
 from .test_suffixarray import brute as repeats
@@ -39,3 +39,18 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, TABLES).count() > 0
+
+
+def test_near_copies_without_id(spark):
+    near_copy = lambda seed: prose(200, seed) + " more"
+    with_id = [(5, prose(200, 1)), (6, near_copy(1)), (7, prose(200, 2)), (7, prose(200, 2))]
+    of_these = [(None, near_copy(1)), (None, prose(200, 1))]
+    alone = [(None, prose(200, 3)), (None, near_copy(3)), (None, prose(200, 3))]
+    empty = [(None, None), (None, ""), (None, "")]
+    run = lambda rows: sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], DOCS), TABLES).collect()), key=str)
+    kept = [(5, prose(200, 1)), (7, prose(200, 2))]
+    assert run(with_id + of_these) == kept
+    assert run(with_id + of_these + [(None, prose(200, 4))]) == sorted([*kept, (None, prose(200, 4))], key=str)
+    got = run(with_id + of_these + alone + empty)
+    assert sorted([x for x in got if x[0] or not x[1]], key=str) == sorted([*kept, (None, None), (None, "")], key=str)
+    assert len(got) == 5 and sum(x in alone for x in got) == 1
