@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,28 +19,63 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir or the context's checkpoint folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found
 
 
 def bounded(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches: rows of these operators may hold whole texts or sets of hashes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Bounds the session's Arrow batches, from now on: rows of these operators may hold whole texts or sets of hashes.
+    Lazy results need the bounds when they are read, so they aren't taken back; batches that are smaller stay so."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def spill(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here, and losing an
     executor costs nothing that was written. The folder's owner clears it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/t-{uuid.uuid4().hex}"
+    return _spill(df, f"{shared_dir(df.sparkSession).rstrip('/')}/t-{uuid.uuid4().hex}")
+
+
+def _spill(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the jobs of one operator: spill() as above, and all of them are deleted at the end of the block,
+    when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/s-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def spill(self, df: DataFrame) -> DataFrame:
+        return _spill(df, f"{self.path}/t-{uuid.uuid4().hex}")
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def skewed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join, both of whose sides adaptive execution reads straight from a shuffle, so that it can split
+    the rows of a hot key; right must be no aggregate by the same key in the same job (spill it), or it would share
+    its shuffle."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that no cut holds more than limit bytes of the column, except single longer values."""
     if batch.num_rows == 0:
@@ -69,6 +103,16 @@ def joined(texts: list[bytes], mark: bytes = b"\x01") -> tuple[np.ndarray, np.nd
     return buf, marks
 
 
+def spaced(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one byte array with spaces between; start and end of every run of bytes that are no ASCII white
+    space; and how many of these come before each text, and in all."""
+    a, marks = joined(texts, b" ")
+    on = ~((a == 32) | ((a >= 9) & (a <= 13)))
+    edge = np.diff(on.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return a, start, end, np.searchsorted(start, marks)
+
+
 def append_columns(df: DataFrame, fields: T.StructType, column: str, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """One narrow pass that adds the columns of make(batch) to every row, in slices bounded by the bytes of
     column. An input column with the name of a result column is replaced by it."""

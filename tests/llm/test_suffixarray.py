@@ -1,10 +1,11 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tallyspark.llm.suffixarray import op4_suffix_array_dedup, remove, two_stage_order
+from tallyspark.llm.suffixarray import Rule, op4_suffix_array_dedup, remove, two_stage_order
 
 from .common import TABLES, documents, prose, table
 
@@ -33,10 +34,59 @@ def mixed():
     return [a + prose(30, 3) + b, prose(20, 4) + b + prose(9, 5) + b, a[5:], "x" * 700, "ab" * 300 + "c", None, "", "short", prose(50, 6), prose(50, 6), "é" * 300 + a[:200], prose(70, 7) + "ü" + a[100:320]]
 
 
+def word_brute(texts, size, across):
+    """n_removed, n_spans of each text, by counting every run of words; what is between covered words goes with them."""
+    raw = [[(m[0], m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    where = {}
+    for i, words in enumerate(raw):
+        for p in range(len(words) - size + 1):
+            where.setdefault(tuple(w[0] for w in words[p : p + size]), []).append(i)
+    out = []
+    for words in raw:
+        cover = set()
+        for p in range(len(words) - size + 1):
+            at = where[tuple(w[0] for w in words[p : p + size])]
+            if len(set(at)) > 1 or (len(at) > 1 and not across):
+                cover.update(range(p, p + size))
+        runs = [(p, next(q for q in range(p, len(words)) if q + 1 not in cover)) for p in sorted(cover) if p - 1 not in cover]
+        out.append((sum(words[q][2] - words[p][1] for p, q in runs), len(runs)))
+    return out
+
+
 @pytest.mark.parametrize("hot", [3000, 1])
 def test_equals_brute_force(spark, hot):
     for repeat in (80, 133):
-        assert found(remove(documents(spark, mixed()), repeat=repeat, hot=hot)) == brute(mixed(), repeat)
+        assert found(remove(documents(spark, mixed()), cut=Rule(repeat), hot=hot)) == brute(mixed(), repeat)
+
+
+def wordy():
+    a, b = prose(80, 1), prose(60, 2)
+    many = [prose(9, 100 + i) + " " + prose(26, 7) + " " + prose(9, 200 + i) for i in range(12)]
+    return [a, "one two\n" + a.replace(" ", "  ") + "\tthree", b + " " + b, "w" * 300 + " " + prose(30, 3), prose(5, 4) + " " + "w" * 300 + " " + prose(30, 3), "w" * 301 + " " + prose(30, 3) + "x", None, "", " ", "few", *many]
+
+
+@pytest.mark.parametrize("hot", [3000, 1])
+@pytest.mark.parametrize("across", [False, True])
+def test_words_equal_brute_force(spark, hot, across):
+    rows = remove(documents(spark, wordy()), cut=Rule(23, True, across), hot=hot).orderBy("doc_id").collect()
+    assert [(r["n_removed"], r["n_spans"]) for r in rows] == word_brute(wordy(), 23, across)
+
+
+def test_passages_are_told(spark):
+    """A passage of just over 50 words that documents share is told, whatever its bytes; 50 words aren't."""
+    texts, wanted = [prose(90, 33)], [0]
+    for k, (n, words) in enumerate([(50, "abcdefgh"), (51, "ijklmnop"), (70, ["amber", "bolt"]), (60, ["wort-" * 9]), (51, ["ünïcödé" * 8])]):
+        passage = " ".join(f"{words[i % len(words)]}{k}{i}" for i in range(n))
+        texts += [prose(40, 2 * k) + " " + passage + " " + prose(20, 2 * k + 1), passage]
+        wanted += [len(passage.encode()) * (n > 50)] * 2
+    rows = remove(documents(spark, texts), tell=Rule(51, True, True)).orderBy("doc_id").collect()
+    assert [r["n_shared"] for r in rows] == wanted
+
+
+def test_very_long_text(spark):
+    long = prose(200_000, 41)
+    rows = remove(documents(spark, [long, "start " + long[700_000:703_000], None]), tell=Rule(51, True, True)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in rows] == [3000, 3000, 0] and rows[0]["n_shared"] == rows[1]["n_shared"] > 2900
 
 
 def test_whole_table(spark):
