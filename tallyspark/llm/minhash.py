@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, joined, mix, slices, span_hash, spill, utf8
+from .common import Scratch, bounded, mix, skewed_join, slices, spaced, span_hash, spill, utf8
 
 SHINGLE = 5
 SIMILAR = 80
@@ -51,15 +51,11 @@ SIGNED = "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<lo
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    raw, marks = joined(texts, b" ")
+    raw, start, end, cut = spaced(texts)
     low = np.arange(256, dtype=np.uint8)
     low[0x41:0x5B] += 32
     a = low[raw]
-    on = ~((a == 32) | ((a >= 9) & (a <= 13)))
-    edge = np.diff(on.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     words = span_hash(a, start, end)
-    cut = np.searchsorted(start, marks)
     whole = np.zeros(max(len(words) - size + 1, 0), np.uint64)
     for j in range(size):
         whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(whole)] + np.uint64(j))
@@ -218,31 +214,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     filled = signed.filter("n_shingles > 0")
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("keys").alias("keys"))
     classes = spill(classes.withColumn("node", F.coalesce("first_id", F.xxhash64("s1", "s2"))))
-    bands = classes.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
-    members = spill(bands.join(buckets, "key"))
-    pairs = members.filter("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-    wanted = members.select("node").distinct()
-    sets = spill(_full_sets(docs, classes.join(wanted, "node", "left_semi"), doc_id, text, size))
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("signature").alias(f"g{n}"), F.col("shingles").alias(f"x{n}"))
-    links = spill(star_links(pairs.join(side("v"), "v").join(side("u"), "u"), similar))
-    comps = components(links)
-    more = spill(_cross_links(members, comps, sets, similar))
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
+    with Scratch(docs.sparkSession) as scratch:
+        bands = classes.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("keys").alias("key"))
+        buckets = bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
+        members = scratch.spill(skewed_join(bands, scratch.spill(buckets), ["key"]))
+        pairs = members.filter("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
+        wanted = members.select("node").distinct()
+        sets = scratch.spill(_full_sets(docs, classes.join(wanted, "node", "left_semi"), doc_id, text, size))
+        side = lambda n: sets.select(F.col("node").alias(n), F.col("signature").alias(f"g{n}"), F.col("shingles").alias(f"x{n}"))
+        links = scratch.spill(star_links(pairs.join(side("v"), "v").join(side("u"), "u"), similar))
+        comps = components(links, scratch)
+        more = scratch.spill(_cross_links(members, comps, sets, similar, scratch))
+        if not more.isEmpty():
+            comps = components(links.unionByName(more), scratch)
+        comps = spill(comps)
     rows = _result(signed, classes, comps)
     return rows if keyed else rows.drop("th", "node")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """node, signature, shingles of the classes, from the text of one document each."""
-    nodes = classes.select("rep.doc_id", "rep.th", "node", "s1")
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    found = texts.join(nodes, (texts["th"] == nodes["th"]) & texts["doc_id"].eqNullSafe(nodes["doc_id"])).select("node", "s1", "text")
+    row = lambda c, th: F.xxhash64(c, th).alias("row")
+    nodes = classes.select(F.col("rep.th").alias("th"), row("rep.doc_id", "rep.th"), "node", "s1")
+    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), row(doc_id, F.xxhash64(text)), F.col(text).alias("text"))
+    found = skewed_join(texts, nodes, ["th", "row"]).select("node", "s1", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows that repeat meet here; one of them is enough
         for whole in batches:
-            for batch in slices(whole, "text"):
+            fresh = [i for i, n in enumerate(whole.column("node").to_pylist()) if not (n in done or done.add(n))]
+            for batch in slices(whole if len(fresh) == whole.num_rows else whole.take(pa.array(fresh, pa.int64())), "text"):
                 sets = shingle_sets(utf8(batch.column("text")), size)
                 s1 = batch.column("s1").to_pylist()
                 yes = [i for i, s in enumerate(sets) if int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == s1[i]]
@@ -252,15 +253,15 @@ def _full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size
     return found.mapInArrow(run, "node long, signature binary, shingles binary")
 
 
-def _cross_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+def _cross_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
     """Links between different components within the buckets that hold several."""
     least = floors(similar)
     now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct("node", "comp"))["comp"].alias("main")).filter("a < b").drop("a", "b")
-    rows = spill(now.join(open_, "key").select("key", "node", "comp", "n_shingles", (F.col("comp") != F.col("main")).alias("other")))
+    rows = scratch.spill(skewed_join(now, scratch.spill(open_), ["key"]).select("key", "node", "comp", "n_shingles", (F.col("comp") != F.col("main")).alias("other")))
     weight = F.lit(1 / BLOCK) + F.col("n_shingles") * (8 / BLOCK_BYTES)
     blocks = rows.groupBy("key").agg(F.ceil(F.sum(weight)).cast("int").alias("na"), F.ceil(F.sum(F.when(F.col("other"), weight))).cast("int").alias("no"))
-    rows = rows.join(blocks, "key")
+    rows = scratch.spill(skewed_join(rows, scratch.spill(blocks), ["key"]))
     at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     asks = rows.filter("other").select("key", "node", "comp", at("no", 1).alias("i"), F.explode(span("na")).alias("j"), F.lit(1).alias("own"))
@@ -274,9 +275,9 @@ def _cross_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similar:
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (its component's least node) of all nodes with links, by large-star and small-star rounds."""
-    edges = spill(links.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).filter("u < v").distinct())
+    edges = scratch.spill(links.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).filter("u < v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -285,7 +286,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.filter("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").distinct()
         # small star: so do its lesser neighbours and itself
         low = edges.groupBy("v").agg(F.min("u").alias("m"))
-        edges = spill(edges.join(low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").filter("u < v").distinct())
+        edges = scratch.spill(edges.join(low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").filter("u < v").distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())

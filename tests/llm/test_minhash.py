@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from tallyspark.llm.common import Scratch
 from tallyspark.llm.minhash import banding, components, floors, near_duplicates, op7_minhash_near_dedup, signature
 
 from .common import TABLES, documents, prose, table
@@ -83,9 +84,25 @@ def test_odd_rows(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_and_have_no_id(spark):
+    """Two similar texts, each many times over: one link, and one row for each in the sets."""
+    a = prose(80, 6)
+    rows = [(None, a)] * 300 + [(None, a + " more")] * 300 + [(4, a + " more words")] + [(8, a)] * 50
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 651 and {r["component_id"] for r in got} == {4} and sum(r["kept"] for r in got) == 1
+
+
+def test_hot_band(spark):
+    """Many texts that share most of their shingles, but too few to be linked, and their near copies."""
+    shared = prose(100, 8)
+    texts = [f"{shared} {prose(22, 1000 + i // 2)}" + " end" * (i % 2) for i in range(60)]
+    check(near_duplicates(documents(spark, texts)), list(enumerate(texts)), 5, 80)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
-    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "u long, v long"), scratch).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 150: 100}
 
 
