@@ -3,8 +3,9 @@
 Features are the words of a text (runs of letters, A-Z lower-cased) and their beginnings of 4, 5 and 6 bytes, each
 present or not, twice or not, three times or not, as 64-bit hashes. Training takes at most SAMPLE labelled rows of each label, chosen by a hash of
 doc_id (the documented bound); of their features the FEATURES with the strongest association to the label are kept.
-For each sampled text that names a group of IDENTITY, two copies are made: one with every mention swapped for another
-group of the same kind, one without the mentions. The features of both are taken anew, how often they occur included,
+For each sampled text two copies are made. If it names a group of IDENTITY: one with every mention swapped for another
+group of the same kind, one without the mentions. If it names none: one with a mention put in, of each term in turn, and
+one with the term's counterpart in its place, so that terms that start like words of the kept features can't score either. The features of both are taken anew, how often they occur included,
 and the loss has, besides cross entropy and a ridge, the squares of the differences between the text's logit and
 theirs. So a term's own weights, those of its second and third mention too, are driven to zero, and neutral mentions
 of a group change no score. Terms are those of IDENTITY's four languages.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,24 +155,33 @@ def swaps(identity: tuple[tuple[str, ...], ...]) -> dict[bytes, bytes]:
     return to
 
 
-def counterparts(texts: list[bytes], to: dict[bytes, bytes]) -> tuple[list[int], list[bytes], list[bytes]]:
-    """The numbers of the texts that name terms; these texts with every term swapped, and without them."""
-    numbers, swapped, without = [], [], []
-    for i, text in enumerate(texts):
+def counterparts(texts: list[bytes], to: dict[bytes, bytes]) -> tuple[list[bytes], list[bytes], int]:
+    """Two counterfactual copies of each text (see above), and how many of the texts name terms themselves."""
+    terms = sorted(w for w in to if w == w.lower())
+    a, b, naming = [], [], 0
+    for text in texts:
         text = text.lower()
-        if to.keys().isdisjoint(WORD.findall(text)):
-            continue
-        numbers.append(i)
-        swapped.append(WORD.sub(lambda m: to.get(m[0], m[0]), text))
-        without.append(WORD.sub(lambda m: b"" if m[0] in to else m[0], text))
-    return numbers, swapped, without
+        if not terms:
+            a.append(text)
+            b.append(text)
+        elif to.keys().isdisjoint(WORD.findall(text)):
+            term = terms[xxhash.xxh3_64_intdigest(text) % len(terms)]
+            a.append(text + b" " + term)
+            b.append(text + b" " + to[term])
+        else:
+            naming += 1
+            a.append(WORD.sub(lambda m: to.get(m[0], m[0]), text))
+            b.append(WORD.sub(lambda m: b"" if m[0] in to else m[0], text))
+    return a, b, naming
 
 
 class Model:
-    """Weights of the kept feature hashes, sorted by hash."""
+    """Weights of the kept feature hashes, sorted by hash; how many pairs the penalty took, and of how many of these the
+    kept features differ."""
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float):
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float, n_pairs: int = 0, n_differ: int = 0):
         self.hashes, self.weights, self.bias = hashes, weights, bias
+        self.n_pairs, self.n_differ = n_pairs, n_differ
         self.near = np.zeros(1 << 16, bool)
         self.near[(hashes >> np.uint64(48)).astype(np.int64)] = True
 
@@ -272,31 +283,27 @@ def train(docs: DataFrame, labels: DataFrame, held_in: Column | None = None, siz
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = utf8(batch.column("text"))
-                numbers, *others = counterparts(texts, to)
-                held = [batch.column("y").cast(pa.int32()), pa.array(lists(shared.value, texts), LISTS)]
-                for other in others:
-                    at = dict(zip(numbers, lists(shared.value, other), strict=True))
-                    held.append(pa.array([at.get(i) for i in range(len(texts))], LISTS))
-                yield pa.RecordBatch.from_arrays(held, names=["y", "k", "swapped", "without"])
+                a, b, _ = counterparts(texts, to)
+                held = [batch.column("y").cast(pa.int32()), *[pa.array(lists(shared.value, x), LISTS) for x in (texts, a, b)]]
+                yield pa.RecordBatch.from_arrays(held, names=["y", "k", "a", "b"])
 
     # of 2 * size rows at most, kept features only
-    found = rows.select("text", "y").mapInArrow(run, "y int, k array<int>, swapped array<int>, without array<int>").collect()
+    found = rows.select("text", "y").mapInArrow(run, "y int, k array<int>, a array<int>, b array<int>").collect()
     y = np.array([float(r["y"] > 0) for r in found])
     sets = [set(r["k"]) for r in found]
     pair, diff, sign = [], [], []
     n_pairs = 0
     for s, r in zip(sets, found, strict=True):
-        for other in (r["swapped"], r["without"]):
-            if other is None:
-                continue
+        for other in (r["a"], r["b"]):
             for k in s.symmetric_difference(other):
                 pair.append(n_pairs)
                 diff.append(k)
                 sign.append(1.0 if k in s else -1.0)
             n_pairs += 1
     rows_, cols = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([k for s in sets for k in sorted(s)], np.int64)
-    w, b = fit((rows_, cols), y, prior, (np.array(pair, np.int64), np.array(diff, np.int64), np.array(sign)), len(kept), counterfactual=2 * counterfactual)  # two pairs for a text
-    return Model(kept, w, b)
+    differ, pair = np.unique(np.array(pair, np.int64), return_inverse=True)  # the mean is over pairs that differ at all
+    w, b = fit((rows_, cols), y, prior, (pair, np.array(diff, np.int64), np.array(sign)), len(kept), counterfactual=2 * counterfactual)  # two pairs for a text
+    return Model(kept, w, b, n_pairs, len(differ))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

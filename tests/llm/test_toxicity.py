@@ -1,10 +1,12 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyspark.llm.toxicity import IDENTITY, held_out, op5_toxicity, score, train
 
 from .common import documents, prose, table
 
 HELD = "/root/testdata/sf0.1"
+TERMS = ["muslims", "women", "flüchtlinge", "juden", "musulmans", "étrangers", "gitanos", "mujeres"]
 
 
 def test_held_out_accuracy(spark):
@@ -55,6 +57,27 @@ def test_neutral_texts_that_name_a_group_often(spark):
         assert p.max() - p.min() < free.max() - free.min()
 
 
+def test_mentions_in_labelled_sentences(spark):
+    """Groups are named in most toxic sentences of the tables and in few others: without the penalty, clean held-out
+    sentences that name a group are rejected."""
+    docs = spark.read.parquet(f"{HELD}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{HELD}/labels.parquet").filter("toxic is not null")
+    terms = F.array(*[F.lit(w) for w in TERMS])
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(100))
+    named = F.concat_ws(" ", "text", F.element_at(terms, (F.pmod("doc_id", F.lit(len(TERMS))) + 1).cast("int")))
+    known = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    biased = known.withColumn("text", F.when(chance < F.when(F.col("toxic") == 1, 97).otherwise(1), named).otherwise(F.col("text"))).cache()
+    clean = [(r["text"] or "").encode() for r in known.filter(held_out()).filter("toxic = 0").select("text").collect()]
+    put = [t + b" " + " ".join([TERMS[i % len(TERMS)]] * (1 + i % 3)).encode() for i, t in enumerate(clean)]
+    wrong = {}
+    for weight in (0.0, 10.0):
+        model = train(biased.select("doc_id", "text"), labels, ~held_out(), counterfactual=weight)
+        wrong[weight] = int((model.scores(put) >= 0.7).sum()), float(np.abs(model.scores(put) - model.scores(clean)).mean())
+        assert model.n_pairs > 5000 and model.n_differ > 500
+    print("false positives, mean shift by weight of the penalty:", len(clean), wrong)
+    assert wrong[10.0][0] < wrong[0.0][0] and wrong[10.0][1] < 0.1 * wrong[0.0][1]
+
+
 def test_odd_rows(spark):
     docs, labels = labelled(spark)
     model = train(docs, labels)
