@@ -11,8 +11,11 @@ budget. A turn that exceeds the budget alone or with the system turn gets a wind
 turn. The loss mask covers the texts of the
 span's assistant turns, never those of repeated turns, so each assistant text is a target once.
 
+A turn's tokens are counted by the longest-match automaton of tokencount.py, over the escaped role and text, in a
+narrow pass before the rows are dealt out; each control string is one more.
+
 Rows are dealt by conversation and sorted; a task streams through them and holds the turns of one window, however
-long the conversation is. Cases: null texts and roles are empty; a null conversation is one of its own; equal or
+long the conversation is; a very long text is one turn, whole. Cases: null texts and roles are empty; a null conversation is one of its own; equal or
 null turn numbers are ordered by role and text; an empty table gives no windows. Further columns are ignored.
 """
 
@@ -23,12 +26,14 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded
+from .common import append_columns, bounded
+from .tokencount import VOCABULARY, Automaton, count_tokens, read_vocabulary
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 2048
@@ -44,6 +49,7 @@ WINDOWS = T.StructType(
         T.StructField("loss", T.ArrayType(T.ArrayType(T.LongType()))),
     ]
 )
+TOKENS = T.StructType([T.StructField("n_tokens", T.LongType())])
 DIGEST = T.StructType(
     [
         T.StructField("conv_id", T.LongType()),
@@ -72,18 +78,18 @@ def unescape_role(role: str) -> str:
     return unescape(re.sub(r"<\\(\\*)n>", r"<\1n>", role.replace("<n>", "\n")))
 
 
-def tokens(formatted: str) -> int:
-    """The estimate that budgets use: one token for four code points, rounded up."""
-    return -(-len(formatted) // 4)
+def tokens(turns: list[tuple[str, str]], automaton: Automaton) -> np.ndarray:
+    """The tokens of each turn (role, text), with its two control strings."""
+    return count_tokens([f"{escape_role(r)}\n{escape(t)}".encode() for r, t in turns], automaton)[1] + 2
 
 
 class Turn:
     __slots__ = ("head", "body", "tokens", "target")
 
-    def __init__(self, role: str, text: str):
+    def __init__(self, role: str, text: str, tokens: int):
         self.head = f"{START}{escape_role(role)}\n"
         self.body = escape(text)
-        self.tokens = tokens(self.head + self.body + END + "\n")
+        self.tokens = tokens
         self.target = role == "assistant"
 
 
@@ -102,8 +108,8 @@ class Cutter:
     def room(self) -> int:
         return self.budget - sum(t.tokens for t in self.kept)
 
-    def add(self, role: str, text: str) -> Iterator[dict]:
-        turn = Turn(role, text)
+    def add(self, role: str, text: str, tokens: int) -> Iterator[dict]:
+        turn = Turn(role, text, tokens)
         if self.span and self.sums[-1] + turn.tokens > self.room():
             yield self.close()
             self.choose(turn)
@@ -146,9 +152,12 @@ class Cutter:
         return out
 
 
-def sorted_turns(turns: DataFrame) -> DataFrame:
+def sorted_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
+    """conv_id, turn, role, text, n_tokens in the order of the turns, a conversation in one partition."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    shared = turns.sparkSession.sparkContext.broadcast(Automaton(read_vocabulary(vocabulary)))  # of the vocabulary's size
+    counted = append_columns(rows, TOKENS, "text", lambda batch: [tokens(list(zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)), shared.value)])
+    return counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def _batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -163,7 +172,7 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, limit: int = 4 << 20) -> I
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per window, in order within a conversation; the rows of a conversation are in one partition."""
 
     bounded(turns.sparkSession)
@@ -171,12 +180,12 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now: Cutter | None = None
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            for conv, role, text, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "n_tokens")), strict=True):
                 if now is None or now.conv != conv:
                     if now:
                         yield now.close()
                     now = Cutter(conv, budget, history)
-                yield from now.add(role, text)
+                yield from now.add(role, text, n)
         if now:
             yield now.close()
 
@@ -185,7 +194,7 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
 
         yield from _batches(cut(batches), to_arrow_schema(WINDOWS))
 
-    return sorted_turns(turns).mapInArrow(run, WINDOWS)
+    return sorted_turns(turns, vocabulary).mapInArrow(run, WINDOWS)
 
 
 def parse(text: str) -> list[tuple[str, str]]:

@@ -1,9 +1,12 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
 from tallyspark.llm.chat import END, START, escape, escape_role, format_chats, op10_chat_formatting, parse, tokens, unescape, unescape_role
 
+from tallyspark.llm.tokencount import Automaton, read_vocabulary
+
 from .common import TABLES, prose, table
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -44,15 +47,16 @@ def long_chat(spark):
 
 
 def test_windows(spark):
+    automaton = Automaton(read_vocabulary())
     rows = format_chats(long_chat(spark), budget=120, history=40).orderBy("window").collect()
     seen, targets = 0, []
     for r in rows:
         turns = parse(r["text"])
         assert r["first_turn"] == seen
         seen += len(turns) - r["n_repeated"]
-        assert turns[0] == ("system", "be good") or r["n_tokens"] > 120 or r["window"] == len(rows) - 1
+        assert turns[0] == ("system", "be good")
         assert r["n_tokens"] <= 120 or len(turns) - r["n_repeated"] == 1
-        assert r["n_tokens"] == sum(tokens(f"{START}{a}\n{b}{END}\n") for a, b in turns)
+        assert r["n_tokens"] == tokens(turns, automaton).sum()
         targets += [unescape(r["text"][a:b]) for a, b in r["loss"]]
     assert seen == 41 and targets == [prose(6, i) for i in range(2, 40, 2)] + [prose(900, 99)]
     assert any(r["n_repeated"] > 1 for r in rows)
@@ -76,3 +80,42 @@ def test_system_turn_is_in_every_window(spark):
     assert len(rows) > 3 and any(r["n_tokens"] > 120 for r in rows)
     assert all(turns[0][3] in r["text"] for r in rows)
     assert all(sum(x[3] in r["text"] for r in rows) >= 1 for x in turns)
+
+
+def cut(turns, costs, budget, history):
+    """(first turn, turns repeated, turns) of each window, from the rule alone."""
+    system = turns[0][0] == "system"
+    out, first = [], 0
+    while first < len(turns):
+        kept, left = [], 0
+        if first:
+            kept = [0] if system else []
+            left = min(history, budget - costs[first] - sum(costs[i] for i in kept))
+            back = []
+            for i in range(first - 1, -1 + system, -1):
+                if costs[i] > left:
+                    break
+                back.append(i)
+                left -= costs[i]
+            kept += back[::-1]
+        used, last = sum(costs[i] for i in kept), first
+        while last < len(turns) and (last == first or used + costs[last] <= budget):
+            used += costs[last]
+            last += 1
+        out.append((first, len(kept), [turns[i] for i in [*kept, *range(first, last)]]))
+        first = last
+    return out
+
+
+def test_windows_equal_brute_force(spark):
+    automaton = Automaton(read_vocabulary())
+    rng = random.Random(4)
+    chats = [[(("system" if i == 0 and c % 2 else ("user", "assistant")[i % 2]), prose(rng.choice((1, 4, 9, 60)), 100 * c + i)) for i in range(rng.randrange(1, 30))] for c in range(20)]
+    df = spark.createDataFrame([(c, i, r, t) for c, turns in enumerate(chats) for i, (r, t) in enumerate(turns)], TURNS)
+    got = {}
+    for r in format_chats(df, budget=150, history=50).orderBy("window").collect():
+        got.setdefault(r["conv_id"], []).append((r["first_turn"], r["n_repeated"], parse(r["text"])))
+    assert got == {c: cut(turns, tokens(turns, automaton).tolist(), 150, 50) for c, turns in enumerate(chats)}
+    long = [(7, 0, "user", prose(100_000, 5)), (7, 1, "assistant", "ok")]
+    found = format_chats(spark.createDataFrame(long, TURNS)).orderBy("window").collect()
+    assert [parse(r["text"]) for r in found][0] == [("user", long[0][3])] and found[0]["n_tokens"] > 100_000
