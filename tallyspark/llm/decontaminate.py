@@ -10,13 +10,15 @@ block's bucket get compared byte by byte. Many windows of one batch move at once
 
 Cases: null and empty texts and texts without words have no hits. Items without words give no pattern; a null
 item_id is named "null"; items with equal windows are all listed. An empty benchmark leaves every document clean.
-Equal rows get equal results; other columns pass through, but those named like a result column are replaced.
+Equal rows get equal results; other columns pass through, but those named like a result column are replaced. Very long texts are searched whole. A text
+column of a result's name raises ValueError. The benchmark is read when the query is built.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, joined, utf8, word_table
+from .common import Scratch, append_columns, bounded, joined, slices, spill, utf8, word_table
 
 WINDOW = 10
-#: Benchmark bytes that one pass over the documents searches for; a larger benchmark takes several passes.
-PASS_BYTES = 32 << 20
+#: Bytes of windows, item names and tables that one pass over the documents searches with; what needs more takes several passes.
+PASS_BYTES = 64 << 20
+#: Bytes that a window takes beside its own and its items' names.
+WINDOW_COST = 300
 STRETCH = 2048
 RESULT = T.StructType(
     [
@@ -111,22 +115,31 @@ class Patterns:
         return out
 
 
-def windows(items: list[tuple[str, bytes]], size: int) -> dict[bytes, set[str]]:
-    """Each window's bytes and the items that have it."""
-    out: dict[bytes, set[str]] = {}
-    for name, text in items:
-        words = normalised([text])[0].tobytes()[1:-1].split()
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            out.setdefault(b" ".join(words[i : i + size]), set()).add(name)
-    return out
+def windows(text: bytes, size: int) -> list[bytes]:
+    """The distinct windows of an item."""
+    words = normalised([text])[0].tobytes()[1:-1].split()
+    return list(dict.fromkeys(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1) if words else 0)))
+
+
+def windows_table(benchmark: DataFrame, item_id: str, item_text: str, size: int) -> DataFrame:
+    """win, names: each distinct window and the items that have it."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "t"):
+                found = [windows(t, size) for t in utf8(batch.column("t"))]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.binary()), batch.column("i").take(of)], names=["win", "i"])
+
+    return items.mapInArrow(run, "win binary, i string").groupBy("win").agg(F.sort_array(F.collect_set("i")).alias("names"))
 
 
-def searchers(items: list[tuple[str, bytes]], size: int) -> list[tuple[Patterns, list[list[str]]]]:
+def searchers(found: list[tuple[bytes, list[str]]], size: int) -> list[tuple[Patterns, list[list[str]]]]:
     """Full windows and those of short items apart, so that a short item doesn't shorten every shift."""
-    found = windows(items, size)
     out = []
     for full in (True, False):
-        part = [(w, sorted(names)) for w, names in found.items() if (w.count(b" ") + 1 == size) == full]
+        part = [(w, names) for w, names in found if (w.count(b" ") + 1 == size) == full]
         if part:
             out.append((Patterns([w for w, _ in part]), [names for _, names in part]))
     return out
@@ -151,18 +164,26 @@ def hits(texts: list[bytes], tables: list[tuple[Patterns, list[list[str]]]]) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256, contaminated. The benchmark is read in blocks of about
-    pass_bytes, one narrow pass over docs each; nothing is shuffled."""
+    """docs with n_words, n_hit, n_items, items_sha256, contaminated. The distinct windows are made and grouped by Spark
+    and dealt by hash to passes of about pass_bytes each, tables included: the driver holds one pass's windows. One
+    pass is one narrow pass over docs, with nothing shuffled; of several, each writes what it found for the next."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    size = bench.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    blocks = max(1, math.ceil(size / pass_bytes))
-    out = docs
-    for block in range(blocks):
-        part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block)
-        items = [(r["i"], r["t"].encode()) for r in part.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(searchers(items, window))
-        out = _pass(out, text, shared, block == 0, block == blocks - 1)
+    bounded(spark)
+    with Scratch(spark) as scratch:
+        table = scratch.spill(windows_table(benchmark, item_id, item_text, window))
+        names = F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 60)
+        cost = table.agg(F.sum(F.octet_length("win") + names + WINDOW_COST)).first()[0] or 0
+        passes = max(1, math.ceil(cost / pass_bytes))
+        out = docs
+        for n in range(passes):
+            part = table if passes == 1 else table.filter(F.pmod(F.xxhash64("win"), F.lit(passes)) == n)
+            found = [(bytes(r["win"]), list(r["names"])) for r in part.orderBy("win").collect()]  # about pass_bytes
+            shared = spark.sparkContext.broadcast(searchers(found, window))
+            last = n == passes - 1
+            out = _pass(out, text, shared, n == 0, last)
+            if not last:
+                out = spill(out)
+                shared.unpersist()
     return out
 
 
