@@ -274,9 +274,9 @@ def decode_column(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> Data
     return docs.mapInArrow(run, out)
 
 
-def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
+def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_sha256 (of the ids as 32-bit little-endian), decoded_sha256, same: each text is
-    encoded and its ids are decoded, in one worker, so that the ids needn't travel."""
+    encoded and its ids are decoded, in one worker, so that the ids needn't travel; with keep_ids they are kept too."""
     bounded(docs.sparkSession)
     shared = _share(docs, model)
 
@@ -287,20 +287,21 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
                 texts = utf8(batch.column(text))
                 ids, counts = encoder.encode(texts)
                 back = decode(ids, counts, shared.value)
-                ends = np.append(0, np.cumsum(counts)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(doc_id).cast(pa.int64()),
-                        pa.array(map(len, texts), pa.int64()),
-                        pa.array(counts, pa.int64()),
-                        pa.array([hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in back]),
-                        pa.array([x == y for x, y in zip(texts, back, strict=True)]),
-                    ],
-                    names=["doc_id", "n_bytes", "n_tokens", "ids_sha256", "decoded_sha256", "same"],
-                )
-
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
+                cut = np.append(0, np.cumsum(counts))
+                ends = cut.tolist()
+                columns = {
+                    "doc_id": batch.column(doc_id).cast(pa.int64()),
+                    "n_bytes": pa.array(map(len, texts), pa.int64()),
+                    "n_tokens": pa.array(counts, pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+                    "same": pa.array([x == y for x, y in zip(texts, back, strict=True)]),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean" + ", ids array<int>" * keep_ids)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
