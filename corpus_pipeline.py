@@ -75,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Scratch(spark) as scratch:
-        for _, stage in STAGES[:-1]:
+        for _, stage in STAGES[:-2]:
             docs = scratch.spill(stage(spark, docs, sf_dir))
-        docs = spill(docs)
+        docs = spill(STAGES[-2][1](spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
