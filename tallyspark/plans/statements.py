@@ -21,7 +21,7 @@ HEADINGS = (
     ("Value Date", "Narration", "UTR", "Debit", "Credit", "Balance"),
     (),
 )
-WORDS = ("NEFT SALARY", "ATM CASH", "UPI-GROCERY", "Rent due 4 Mar")
+WORDS = ("CARD BOOKSHOP", "WAGES WEEK", "IMPS-LANDLORD", "Dues of 4 Mar")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
