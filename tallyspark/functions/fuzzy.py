@@ -1,23 +1,35 @@
 """Partial similarity of a heading and a keyword: the only Python code on the default path. It runs on the few
-heading texts of a document's columns, never on tokens."""
+heading texts of a document's columns, never on tokens, and a worker scores a text once for all documents."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Heading texts and needles whose scores and bit masks a worker remembers.
+MEMO = 1 << 16
+
+
+@lru_cache(MEMO)
+def _masks(needle: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
 
 def common_length(a: str, b: str) -> int:
-    """The length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return row[-1]
+    """The length of the longest common subsequence, a whole row of the table at once as bits."""
+    masks, full = _masks(a), (1 << len(a)) - 1
+    row = full
+    for c in b:
+        if hit := masks.get(c, 0) & row:
+            row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def _best(needle: str, text: str) -> float:
@@ -35,12 +47,17 @@ def partial_ratio(a: str, b: str) -> float:
     return _best(a, b) if len(a) < len(b) else _best(b, a)
 
 
+@lru_cache(MEMO)
+def _scores(text: str, keywords: tuple[tuple[str, ...], ...]) -> list[float]:
+    return [max(partial_ratio(text, k) for k in words) for words in keywords]
+
+
 def role_scores(text: Column, vocabulary: dict[str, tuple[str, ...]], roles: tuple[str, ...]) -> Column:
     """For each role the best score of its keywords against the text, as an array in the order of roles."""
+    keywords = tuple(tuple(k.lower() for k in vocabulary[r]) for r in roles)
 
     @F.pandas_udf("array<double>")
     def scores(texts: pd.Series) -> pd.Series:
-        known = {t: [max(partial_ratio(t, k.lower()) for k in vocabulary[r]) for r in roles] for t in texts.dropna().unique()}
-        return texts.map(lambda t: known.get(t))
+        return texts.map(lambda t: _scores(t, keywords), na_action="ignore")
 
     return scores(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,7 +39,17 @@ NOISE_WORDS = ("TRANSACTIONS", "DATE", "DESCRIPTION", "WITHDRAWAL", "DEPOSIT", "
 
 #: White space: ASCII's, the separators 1C to 1F, and Unicode's.
 SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-ANY_DATE = "|".join(f"(?i:{p.removeprefix('(?i)')})" if p.startswith("(?i)") else f"(?:{p})" for p in DATES)
+#: Whether text may match the date patterns up to a number, in their order, by tests that cost little.
+MAYBE_DATE = (
+    (3, lambda t: (t.contains("/") | t.contains("-")) & t.rlike(r"\d\d[/-]\d\d")),
+    (8, lambda t: t.rlike(r"\d") & t.rlike(f"(?i){MONTH}")),
+    (9, lambda t: t.rlike(r"\d{8}")),
+)
+
+
+def _dates() -> list[tuple[Callable[[Column], Column], tuple[str, ...]]]:
+    ends = [0, *[n for n, _ in MAYBE_DATE]]
+    return [(test, DATES[a:b]) for (_, test), a, b in zip(MAYBE_DATE, ends[:-1], ends[1:], strict=True)]
 
 
 def stripped(text: Column) -> Column:
@@ -52,7 +63,8 @@ def is_amount(text: Column) -> Column:
 
 def is_date(text: Column) -> Column:
     t = stripped(text)
-    return t.rlike(ANY_DATE) & ~t.rlike(r"^\d{7,}$")
+    found = reduce(lambda a, b: a | b, [maybe(t) & reduce(lambda a, b: a | b, [t.rlike(p) for p in patterns]) for maybe, patterns in _dates()])
+    return found & ~t.rlike(r"^\d{7,}$")
 
 
 def parse_amount(text: Column) -> Column:
@@ -74,7 +86,7 @@ def _first_of(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def extract_date(text: Column) -> Column:
     """What the first pattern that matches anywhere finds; null if none does."""
-    return F.when(text.rlike(ANY_DATE), stripped(_first_of(text, DATES)))
+    return stripped(F.coalesce(*[F.when(maybe(text), _first_of(text, patterns)) for maybe, patterns in _dates()]))
 
 
 def extract_reference(text: Column) -> Column:
