@@ -59,6 +59,7 @@ RESULT = T.StructType(
 )
 TOLD = T.StructType([T.StructField("n_shared", T.LongType())])
 RUNS = "array<struct<a:int,b:int>>"
+RUNS_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -360,8 +361,6 @@ def _piece_texts(keyed: DataFrame, wanted: DataFrame, rules: list[Rule]) -> Data
 def _sorted_runs(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     """h, sh, r: the repeated starts of the pieces of each bucket, by suffix arrays over whole buckets."""
     names = ("rule", "h", "sh", "n", "m", "lo", "hi", "piece")
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, (None, None)
@@ -370,7 +369,7 @@ def _sorted_runs(texts: DataFrame, rules: list[Rule]) -> DataFrame:
             rule = rules[last[0]]
             found = repeated([(t, n, m, lo, hi) for _, _, _, n, m, lo, hi, t in held], rule)
             rows = [(h, sh, runs(x)) for (_, h, sh, *_), x in zip(held, found, strict=True) if len(x)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], kind)], names=["h", "sh", "r"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], RUNS_ARROW)], names=["h", "sh", "r"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
@@ -401,8 +400,14 @@ def _counted_runs(texts: DataFrame, rules: list[Rule], scratch: Scratch) -> Data
 
     rows = texts.mapInArrow(run, "rule byte, h long, sh long, m long, lo long, hi long, p int, g1 long, g2 long")
     twice = rows.groupBy("g1", "g2").agg(F.first("rule").alias("rule"), F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(_elsewhere(rules)).select("g1", "g2")
-    hit = skewed_join(rows.select("h", "sh", "p", "g1", "g2"), scratch.spill(twice), ["g1", "g2"])
-    return hit.groupBy("h", "sh").agg(F.collect_list(F.struct(F.col("p").alias("a"), (F.col("p") + 1).alias("b"))).alias("r"))
+    hit = skewed_join(rows.select("h", "sh", "p", "g1", "g2"), scratch.spill(twice), ["g1", "g2"]).groupBy("h", "sh").agg(F.array_sort(F.collect_list("p")).alias("p"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = [[{"a": a, "b": b} for a, b in runs(np.array(p))] for p in batch.column("p").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("sh"), pa.array(r, RUNS_ARROW)], names=["h", "sh", "r"])
+
+    return hit.mapInArrow(join, f"h long, sh long, r {RUNS}")
 
 
 def _elsewhere(rules: list[Rule]):
