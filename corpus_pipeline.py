@@ -33,12 +33,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of the least hash. Of rows that repeat one stays; null, empty and word-less texts are linked with nothing."""
     no_id = F.col("doc_id").isNull() & F.col("node").isNotNull()
     groups = [F.col("doc_id"), F.when(no_id, F.col("node")).alias("node"), F.when(~no_id, F.col("th")).alias("own")]
-    kept = near_duplicates(docs, keyed=True).filter("kept").groupBy(*groups).agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("n"))
-    kept = spill(kept.select("doc_id", "th", "n"))
+    kept = near_duplicates(docs, keyed=True).filter("kept").groupBy(*groups).agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("_times"))
+    kept = spill(kept.select("doc_id", "th", "_times"))
     a, b = docs.alias("a"), kept.alias("b")
-    left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.th"))).select("a.*", "b.n")
-    if not kept.filter("n > 1").isEmpty():  # rows that repeat: one of them
-        left = left.filter("n = 1").unionByName(left.filter("n > 1").dropDuplicates(["doc_id", "text"]))
+    left = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.th"))).select("a.*", "b._times")
+    if not kept.filter("_times > 1").isEmpty():  # rows that repeat: one of them
+        left = left.filter("_times = 1").unionByName(left.filter("_times > 1").dropDuplicates(["doc_id", "text"]))
     return left.select(*docs.columns)
 
 
