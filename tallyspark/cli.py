@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .config import Settings
 from .operators.tokens import build_tokens
 from .plans.engine import StatementEngine
 from .sources.demo import demo_tokens
 from .sources.raw_ocr import lines_v2, lines_v3, read_pages
-from .sources.sinks import one, save_csv, save_json, summary, write_csv, write_json
+from .sources.sinks import one, save_csv, save_json, summary, write_csv, write_json, write_overlay
+
+
+LOG = logging.getLogger("tallyspark")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     extract.add_argument("--max-pages", type=int, default=0, metavar="N", help="the first N pages only; 0: all")
     extract.add_argument("--no-fuzzy", action="store_true", help="match headings by substrings")
     extract.add_argument("--repair", action="store_true", help="swap debit and credit where only that fits the balance")
+    extract.add_argument("--debug", metavar="PATH", help="a folder for what to draw over the pages, as JSON lines")
+    extract.add_argument("--verbose", "-v", action="store_true", help="log the steps")
     extract.add_argument("--quiet", "-q", action="store_true", help="no warnings and notes")
     return out
 
@@ -45,7 +52,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         raw = spark.read.parquet(args.path)
     else:
         raw = (lines_v3 if args.format == "v3" else lines_v2)(read_pages(spark, args.path, int(args.format[1])))
+    if args.verbose:
+        logging.basicConfig(level=logging.INFO, format="%(levelname)s %(name)s: %(message)s")
+    if args.doc_id is not None:
+        raw = raw.filter(F.col("doc_id") == args.doc_id)
     rel = engine.relations(build_tokens(raw, engine.settings))
+    LOG.info("%s as %s, under %s", args.path, args.format, engine)
+    if args.debug:
+        write_overlay(rel, args.debug)
+        LOG.info("overlay: %s", args.debug)
     if args.doc_id is None:
         for path, write, df in ((args.json, write_json, rel.results), (args.csv, write_csv, rel.transactions)):
             if path:

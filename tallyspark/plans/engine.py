@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -15,6 +16,9 @@ from ..operators.rows import gathered, merged_tokens, parts, row_tokens
 from ..operators.tokens import build_tokens, page_limit
 from ..operators.transactions import reconstruct, routed
 from ..operators.validate import validate
+from ..sources.sinks import one, save_csv, save_json
+
+LOG = logging.getLogger("tallyspark")
 
 
 @dataclass(frozen=True)
@@ -32,6 +36,22 @@ class Relations:
     results: DataFrame
 
 
+class Statement:
+    """One document's result on the driver: as large as one statement."""
+
+    def __init__(self, row: Row):
+        self.row = row
+
+    def __getattr__(self, name: str):
+        return self.row[name]
+
+    def save_json(self, path: str) -> None:
+        save_json(self.row, path)
+
+    def save_csv(self, path: str) -> None:
+        save_csv(self.row, path)
+
+
 class StatementEngine:
     """Extracts the statements of a token relation under fixed settings. Documents are independent of each other, so
     everything is dealt by doc_id; a document's columns are a handful of rows that travel with its tokens."""
@@ -59,5 +79,13 @@ class StatementEngine:
         """One row per document from recognised texts."""
         return self.relations(build_tokens(raw, self.settings), files).results
 
+    def extract_one(self, raw: DataFrame, doc_id: int, files: DataFrame | None = None) -> Statement:
+        """The statement of one document."""
+        said = one(self.extract(raw.filter(F.col("doc_id") == doc_id), files), doc_id)
+        for w in said["extraction_warnings"]:
+            LOG.warning("document %s: %s", doc_id, w)
+        LOG.info("document %s: %d pages, %d transactions", doc_id, said["total_pages"], len(said["transactions"]))
+        return Statement(said)
+
     def __repr__(self) -> str:
         return f"StatementEngine(fuzzy={self.settings.fuzzy}, max_pages={self.settings.max_pages})"

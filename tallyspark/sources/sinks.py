@@ -5,12 +5,17 @@ from __future__ import annotations
 import csv
 import json
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..operators.overlay import row_bands, token_boxes, zone_bands
 from ..operators.results import FIELDS, csv_rows, summary_rows
 
+if TYPE_CHECKING:
+    from ..plans.engine import Relations
+
 TEXTS = ("txn_date", "description", "reference_no")
 AMOUNTS = ("debit", "credit", "balance")
 
@@ -25,6 +30,14 @@ def write_json(results: DataFrame, path: str) -> None:
     results.withColumn("total_transactions", F.size("transactions")).write.option("ignoreNullFields", False).json(path)
 
 
+def write_overlay(relations: Relations, path: str) -> None:
+    """What to draw over each page, as folders of JSON lines: zones, rows, tokens (see operators/overlay.py)."""
+    pages = relations.tokens.groupBy("doc_id", "page_num").agg(F.max(F.col("center_x") / F.col("normalized_x")).alias("width"), F.max(F.col("center_y") / F.col("normalized_y")).alias("height"))
+    sizes = pages.select("doc_id", "page_num", F.round("width").alias("width"), F.round("height").alias("height"))
+    for name, df in (("zones", zone_bands(relations.zones, sizes)), ("rows", row_bands(relations.merged, relations.parts)), ("tokens", token_boxes(relations.tokens))):
+        df.write.json(f"{path.rstrip('/')}/{name}")
+
+
 def one(results: DataFrame, doc_id: int) -> Row:
     """A single document's result on the driver; it's as large as one statement."""
     found = results.filter(F.col("doc_id") == doc_id).take(1)

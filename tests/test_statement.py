@@ -171,6 +171,21 @@ def test_demo(spark, capsys):
     assert "Trailer tyres" in capsys.readouterr().out
 
 
+def test_overlay_and_one_statement(spark, tmp_path, caplog):
+    demo(spark).write.parquet(str(tmp_path / "tokens"))
+    assert cli.main(["extract", str(tmp_path / "tokens"), "--format", "tokens", "--debug", str(tmp_path / "drawn"), "-q", "-v"], spark) == 0
+    drawn = {name: spark.read.json(str(tmp_path / "drawn" / name)).collect() for name in ("zones", "rows", "tokens")}
+    assert {r["label"] for r in drawn["zones"]} >= {"debit", "credit", "balance"} and {r["y2"] for r in drawn["zones"]} == {1000}
+    assert len(drawn["rows"]) == 12 and sum(r["kind"] == "header" for r in drawn["rows"]) == 1
+    assert len(drawn["tokens"]) == build_tokens(demo(spark), Settings()).count()
+    with caplog.at_level("INFO", "tallyspark"):
+        found = StatementEngine().extract_one(demo(spark), 7)
+    assert found.total_pages == 1 and len(found.transactions) == 11 and "11 transactions" in caplog.text
+    found.save_json(str(tmp_path / "x.json"))
+    found.save_csv(str(tmp_path / "x.csv"))
+    assert json.loads((tmp_path / "x.json").read_text())["total_transactions"] == 11 and (tmp_path / "x.csv").stat().st_size > 100
+
+
 def test_stream(spark, tmp_path):
     demo(spark).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(demo(spark).schema).parquet(str(tmp_path / "in"))
