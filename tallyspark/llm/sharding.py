@@ -1,6 +1,8 @@
 """Sharding by a k-d tree over document metadata.
 
-A document is a point: its size, its source and its language, each scaled to the table's range. A node that shall
+A document is a point: its size (as a logarithm, scaled to the table's range), its source and its language. Of these
+two, a value's place is the part of all bytes that heavier values have, so that a node is as wide in them as the bytes
+between its values; values of about one weight (within 9 %) lie among each other by hash. A node that shall
 make k shards is split at a weighted quantile (the weighted median for even k) of the dimension in which its points
 spread widest, so that both sides get bytes in the ratio of their shares; a node of one share is a leaf, whose
 bytes are then about the target bytes, total / shards. Quantiles come from distributed histograms: the bin that
@@ -8,8 +10,9 @@ holds the cut is refined until it weighs next to nothing, for all nodes of a lev
 the tree and one histogram of a level.
 
 A key is one long: the scaled value (22 bits), a hash of the text (20 bits), a hash of the row (20 bits). The
-hashes only order points that share a value, so a hot source or language can be cut anywhere; equal texts of equal
-metadata are neighbours and stay together unless the cut falls among them.
+hashes only order points that share a value, so a hot source or language can be cut anywhere. Equal texts count with
+the least source and language among them, so they are neighbours in every dimension; a cut leaves a group of them
+whole up to GROUP of a shard's bytes, and only a larger group, which no balance could keep whole, is cut.
 
 Cases: a null text has no bytes (size 16); a null source or language is a value of its own. Repeated rows are kept,
 each with a slot of its own. An empty table gives an empty result. Further columns are ignored.
@@ -25,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import spill
+from .common import skewed_join, spill
 
 SHARDS = 40
 #: Bins of one histogram pass, and the part of a leaf's bytes that a cut may be off by.
 BINS = 4096
 SLACK = 0.002
+#: The same for a cut that would fall among equal texts; and the keys that equal texts of one value have.
+GROUP, TEXT = 0.02, 1 << 20
+#: Values of source or language up to which their places are broadcast (some 5 MB); more are joined by shuffle.
+VALUES = 100_000
 #: Rows that one task numbers.
 BLOCK_ROWS = 200_000
 DIMENSIONS = ("size", "source", "lang")
@@ -74,25 +81,52 @@ def _keys(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def points(docs: DataFrame, doc_id: str, text: str, source: str, lang: str) -> DataFrame:
-    """doc_id, size, crc and a key per dimension; the texts are read once and go no further."""
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 16
+    """doc_id, size, crc and hashes of text, source and language; the texts are read once and go no further."""
+    whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
-        size.alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"),
-        F.shiftrightunsigned(F.xxhash64(F.col(text)), 44).alias("th"),
-        *[F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), 44).alias(c2) for c, c2 in ((source, "source"), (lang, "lang"))],
+        (F.octet_length(whole).cast("long") + 16).alias("size"),
+        F.crc32(whole.cast("binary")).alias("crc"),
+        F.xxhash64(whole).alias("text"),
+        *[F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(to) for c, to in ((source, "source"), (lang, "lang"))],
     )
-    return spill(rows.withColumn("rh", F.shiftrightunsigned(F.xxhash64("doc_id", "crc", "size", "source", "lang"), 44)))
+    return spill(rows)
+
+
+def grouped(pts: DataFrame) -> DataFrame:
+    """The points with rh, a hash of the row, and equal texts with the least source and language among them."""
+    own = F.struct("source", "lang")
+    pts = pts.withColumn("rh", F.shiftrightunsigned(F.xxhash64("doc_id", "text", "source", "lang"), 44))
+    groups = pts.groupBy("text").agg(F.min(own).alias("least"), F.max(own).alias("most")).filter("least != most").select("text", "least")
+    joined = skewed_join(pts, spill(groups), ["text"], "left")
+    return joined.withColumns({c: F.coalesce(f"least.{c}", c) for c in ("source", "lang")}).drop("least")
+
+
+def places(pts: DataFrame, column: str) -> DataFrame:
+    """Each value of the column with its place between 0 and 1: after the bytes of all heavier classes of weight
+    (eight to a doubling, so some hundreds at most), by its hash within the bytes of its own class."""
+    values = pts.groupBy(column).agg(F.sum("size").alias("w")).withColumn("class", F.floor(8 * F.log2("w")))
+    heavier = Window.orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    classes = values.groupBy("class").agg(F.sum("w").alias("own"))
+    classes = classes.select("class", "own", F.coalesce(F.sum("own").over(heavier), F.lit(0)).alias("before"), F.sum("own").over(every).alias("all"))
+    part = F.shiftrightunsigned(F.col(column), 11) / F.lit(float(1 << 53))
+    return values.join(classes, "class").select(column, ((F.col("before") + F.col("own") * part) / F.col("all")).alias(f"{column}_place"))
 
 
 def keyed(pts: DataFrame) -> DataFrame:
     """The points with k0, k1, ...: scaled value, text hash, row hash."""
-    ends = pts.agg(*[f(d).cast("long").alias(f"{n}{i}") for i, d in enumerate(DIMENSIONS) for f, n in ((F.min, "a"), (F.max, "b"))]).first()
-    for i, d in enumerate(DIMENSIONS):
-        low, high = ends[f"a{i}"] or 0, ends[f"b{i}"] or 0
-        value = ((F.col(d) - F.lit(low)) * F.lit(((1 << 22) - 1) / max(high - low, 1))).cast("long")
-        pts = pts.withColumn(f"k{i}", F.shiftleft(value, 40) + F.shiftleft(F.col("th"), 20) + F.col("rh"))
+    for c in DIMENSIONS[1:]:
+        at = spill(places(pts, c))
+        few = at.limit(VALUES + 1).count() <= VALUES
+        pts = pts.join(F.broadcast(at), c) if few else skewed_join(pts, at, [c])
+    pts = spill(pts)
+    ends = pts.agg(F.log2(F.min("size")).alias("low"), F.log2(F.max("size")).alias("high")).first()
+    low, high = ends["low"] or 0.0, ends["high"] or 0.0
+    size = (F.log2("size") - F.lit(low)) / F.lit(max(high - low, 1e-9))
+    rest = F.shiftleft(F.shiftrightunsigned("text", 44), 20) + F.col("rh")
+    for k, place in zip(KEYS, (size, *[F.col(f"{c}_place") for c in DIMENSIONS[1:]]), strict=True):
+        pts = pts.withColumn(k, F.shiftleft((place * F.lit((1 << 22) - 1)).cast("long"), 40) + rest)
     return pts
 
 
@@ -151,7 +185,7 @@ def histogram(pts: DataFrame, tree: Tree, ranges: dict[int, tuple[int, int, int,
     return {n: sorted(x) for n, x in out.items()}
 
 
-def grow(pts: DataFrame, shards: int) -> Tree:
+def grow(pts: DataFrame, shards: int, slack: float = SLACK, group: float = GROUP) -> Tree:
     """The tree. Each level takes one pass for the spreads and a few for the cuts."""
     tree = Tree(shards)
     while open_ := tree.open():
@@ -159,23 +193,23 @@ def grow(pts: DataFrame, shards: int) -> Tree:
         cuts, ranges, goals = {n: (0, 0) for n in open_}, {}, {}
         for n, r in found.items():
             d = max(range(len(KEYS)), key=lambda i: ((r[f"b{i}"] >> 40) - (r[f"a{i}"] >> 40), -i))
-            goals[n] = (r["w"] * (tree.shares[n] // 2) / tree.shares[n], SLACK * r["w"] / tree.shares[n])
-            ranges[n] = _binned(d, r[f"a{d}"], r[f"b{d}"] + 1)
+            goals[n] = (r["w"] * (tree.shares[n] // 2) / tree.shares[n], r["w"] / tree.shares[n])
+            ranges[n] = _binned(d, r[f"a{d}"] // TEXT * TEXT, r[f"b{d}"] + 1)
         while ranges:
             bins = histogram(pts, tree, ranges)
             for n, (d, start, end, width) in list(ranges.items()):
-                goal, slack = goals[n]
+                goal, leaf = goals[n]
                 done = 0
                 for i, w, k in bins[n]:
                     if done + w >= goal:
                         break
                     done += w
                 first = start + i * width
-                if w <= slack or width == 1 or k == 1:  # the nearer edge of the bin
+                if w <= leaf * (group if width == TEXT else slack) or width == 1 or k == 1:  # the nearer edge of the bin
                     cuts[n] = (d, first if goal - done < done + w - goal else first + width)
                     del ranges[n]
                 else:
-                    goals[n] = (goal - done, slack)
+                    goals[n] = (goal - done, leaf)
                     ranges[n] = _binned(d, first, min(end, first + width))
         for n, (d, cut) in cuts.items():
             tree.split(n, d, cut)
@@ -183,7 +217,9 @@ def grow(pts: DataFrame, shards: int) -> Tree:
 
 
 def _binned(dimension: int, start: int, end: int) -> tuple[int, int, int, int]:
-    return dimension, start, end, max(1, -(-(end - start) // BINS))
+    """The range with the width of a bin; bins wider than a text's keys hold those of whole texts."""
+    width = max(1, -(-(end - start) // BINS))
+    return dimension, start, end, width if width <= TEXT // BINS else -(-width // TEXT) * TEXT
 
 
 def leaves(pts: DataFrame, tree: Tree) -> DataFrame:
@@ -201,11 +237,11 @@ def leaves(pts: DataFrame, tree: Tree) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
-    pts = keyed(points(docs, doc_id, text, source, lang))
+    pts = keyed(grouped(points(docs, doc_id, text, source, lang)))
     n = pts.count()
     placed = leaves(pts, grow(pts.select("size", *KEYS), shards))
     blocks = max(1, -(-n // (shards * BLOCK_ROWS)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rh", "th", "doc_id"), F.lit(blocks)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rh", "text", "doc_id"), F.lit(blocks)))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("shard", "block").orderBy("doc_id", "crc", "size", "rh")

@@ -1,6 +1,6 @@
 import pytest
 
-from tallyspark.llm.sharding import op1_sharding, shard
+from tallyspark.llm.sharding import KEYS, grouped, grow, keyed, leaves, op1_sharding, points, shard
 
 from .common import TABLES, crc, documents, prose, saved, table
 
@@ -29,6 +29,43 @@ def test_bytes_are_near_equal_even_with_one_hot_source(spark):
     assert max(sums) - min(sums) <= 3 * 500
 
 
+def brute(rows, shards, first=0):
+    """doc_id to shard by splits of sorted lists, as near to the shares as rows allow."""
+    if shards == 1 or not rows:
+        return {r["doc_id"]: first for r in rows}
+    half, wide = shards // 2, lambda k: max(r[k] >> 40 for r in rows) - min(r[k] >> 40 for r in rows)
+    key = max(KEYS, key=lambda k: (wide(k), -KEYS.index(k)))
+    order, goal, done, cut = sorted(rows, key=lambda r: r[key]), sum(r["size"] for r in rows) * half / shards, 0, 0
+    while done + order[cut]["size"] < goal:
+        done += order[cut]["size"]
+        cut += 1
+    cut += goal - done >= done + order[cut]["size"] - goal
+    return brute(order[:cut], half, first) | brute(order[cut:], shards - half, first + half)
+
+
+def test_tree_against_sorted_lists(spark):
+    for shards in (7, 40):
+        pts = keyed(grouped(points(table(spark, "documents"), "doc_id", "text", "source", "lang")))
+        got = leaves(pts, grow(pts.select("size", *KEYS), shards, slack=0, group=0)).collect()
+        assert {r["doc_id"]: r["shard"] for r in got} == brute(got, shards)
+
+
+def test_equal_texts_share_a_shard(spark):
+    texts = [prose(40, i % 400) for i in range(2000)]
+    docs = documents(spark, texts).selectExpr("doc_id", "text", "concat('l', doc_id % 3) as lang", "concat('s', doc_id % 7) as source", "n_chars")
+    rows = shard(docs, 4).collect()
+    assert len({(r["text_crc32"], r["shard"]) for r in rows}) == 400
+    sums = check(rows, 4)
+    assert max(sums) < 1.03 * min(sums)
+
+
+def test_many_values_are_joined_by_shuffle(spark, monkeypatch):
+    docs = documents(spark, [prose(20, i) for i in range(500)]).selectExpr("doc_id", "text", "lang", "if(doc_id % 3 = 0, 'hot', concat('s', doc_id)) as source", "n_chars")
+    few = sorted(shard(docs, 8).collect())
+    monkeypatch.setattr("tallyspark.llm.sharding.VALUES", 0)
+    assert sorted(shard(docs, 8).collect()) == few
+
+
 def test_odd_counts_of_shards(spark):
     sums = check(shard(documents(spark, [prose(20, i) for i in range(700)]), 7).collect(), 7)
     assert min(sums) > 0.9 * max(sums)
