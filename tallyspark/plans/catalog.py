@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as X
 from ..operators import overlay, results, roles, rows, tokens, transactions, validate
-from ..operators.cluster import density_1d
+from ..operators.cluster import density_blocks
 from ..operators.columns import assign, zones
 from ..sources import raw_ocr
 from . import oracle as O
@@ -220,14 +220,14 @@ SELECT c.nation, c.id, CAST(coalesce(g.label, e.label, -1) AS INTEGER) AS cluste
 @query("dbscan_general", DENSITY_SQL, whole=True)
 def dbscan_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.floor("c_acctbal").cast("double").alias("x"))
-    return density_1d(points, ["nation"], "x", "id", 5.0, 4, "cluster").select("nation", "id", "cluster")
+    return density_blocks(points, ["nation"], "x", "id", 5.0, 4, "cluster").select("nation", "id", "cluster")
 
 
 @query("dbscan_pairs", """SELECT nation, id, CAST(CASE WHEN n > 1 THEN dense_rank() OVER (PARTITION BY nation ORDER BY CASE WHEN n > 1 THEN label END) - 1 ELSE -1 END AS INTEGER) AS cluster FROM (SELECT *, count(*) OVER (PARTITION BY nation, label) AS n FROM (
 SELECT nation, id, x, sum(new) OVER (PARTITION BY nation ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS label FROM (SELECT c_nationkey AS nation, c_custkey AS id, floor(c_acctbal) AS x, CASE WHEN floor(c_acctbal) - lag(floor(c_acctbal)) OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal), c_custkey) > 2 THEN 1 ELSE 0 END AS new FROM customer)))""", whole=True)
 def dbscan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.floor("c_acctbal").cast("double").alias("x"))
-    return density_1d(points, ["nation"], "x", "id", 2.0, 2, "cluster").select("nation", "id", "cluster")
+    return density_blocks(points, ["nation"], "x", "id", 2.0, 2, "cluster").select("nation", "id", "cluster")
 
 
 # roles

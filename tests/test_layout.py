@@ -3,7 +3,7 @@
 import random
 
 from tallyspark.config import Settings
-from tallyspark.operators.cluster import density_1d
+from tallyspark.operators.cluster import density_1d, density_blocks
 from tallyspark.operators.columns import assign, zones
 from tallyspark.operators.roles import debit_left_of_credit, heading_tokens, infer_roles, zone_texts
 from tallyspark.operators.rows import full_texts, gathered, merged_tokens, parts, row_tokens
@@ -109,3 +109,13 @@ def test_density_equals_the_textbook(spark):
             pairs = {(wanted[i], got[k, i]) for i in range(len(s))}
             assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
             assert all((a is None) == (b == -1) for a, b in pairs)
+
+
+def test_blocks_give_the_same_clusters(spark):
+    rng = random.Random(5)
+    points = [(k, i, x) for k in (None, 1, 2, 3) for i, x in enumerate([rng.randrange(-900, 900) / (3 if k == 2 else 1) for _ in range(300)] + [7.0] * 200 * (k == 3))]
+    df = spark.createDataFrame([*points, (1, 999, None)], "k int, i int, x double")
+    for least, block in ((1, 4), (2, 5), (3, 4), (4, 7), (9, 32)):
+        wanted = sorted(map(str, density_1d(df, ["k"], "x", "i", 5.0, least, "c").collect()))
+        assert sorted(map(str, density_blocks(df, ["k"], "x", "i", 5.0, least, "c", block).collect())) == wanted
+    assert density_blocks(df.limit(0), ["k"], "x", "i", 5.0, 3, "c").count() == 0
