@@ -2,7 +2,8 @@
 
 A text is written as a space and its bytes (the space stands for the piece mark, which then can't be mistaken for the
 same character in a text) and falls into segments, each with the spaces before a word. No piece has a space after
-another byte, so segments are encoded apart, equal ones of a batch once. The distinct segments are concatenated and
+another byte, so segments are encoded apart, equal ones of a batch once (told by hashes; the ids' bytes are compared
+with the batch's, and where two segments share a hash, each is encoded for itself). The distinct segments are concatenated and
 their suffixes sorted, as deep as the longest piece; each piece is searched in that array, which gives the range of
 its occurrences. The occurrences are the edges of a lattice; sorted by position they are relaxed from left to right,
 all segments at once, and the cheapest path is the encoding: ties go to the lesser piece id. Bytes that are in no
@@ -175,6 +176,14 @@ def encode_segments(a: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: P
     return out, counts
 
 
+def laid_out(a: np.ndarray, start: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the segments of a one after another, number of ids of each), by one index of all of them."""
+    own = np.cumsum(size + 1) - size - 1
+    index = np.full(int((size + 1).sum()), STOP, np.uint8)
+    index[ragged(own, size)] = a[ragged(start, size)]
+    return encode_segments(index, own, own + size, pieces)
+
+
 class Encoder:
     """Encodes batches; segments that were met before, up to MEMO of them, aren't encoded again."""
 
@@ -205,7 +214,12 @@ class Encoder:
         n = self.counts[at]
         sums = np.append(0, np.cumsum(n))
         cut = np.searchsorted(start, np.append(0, ends))
-        return self.ids[ragged(self.first[at], n)], np.diff(sums[cut])
+        ids = self.ids[ragged(self.first[at], n)]
+        if not np.array_equal(spelled(ids, self.pieces), a):
+            self.clear()
+            ids, n = laid_out(a, start, end - start, self.pieces)
+            sums = np.append(0, np.cumsum(n))
+        return ids, np.diff(sums[cut])
 
     def learn(self, a: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
@@ -213,10 +227,7 @@ class Encoder:
         start, size, hashes = start[fresh], (end - start)[fresh], hashes[fresh]
         if not len(size):
             return
-        own = np.cumsum(size + 1) - size - 1
-        index = np.full(int((size + 1).sum()), STOP, np.uint8)
-        index[ragged(own, size)] = a[ragged(start, size)]
-        ids, counts = encode_segments(index, own, own + size, self.pieces)
+        ids, counts = laid_out(a, start, size, self.pieces)
         first = np.cumsum(counts) - counts + len(self.ids)
         to = np.searchsorted(self.hashes, hashes)
         self.hashes, self.first, self.counts = np.insert(self.hashes, to, hashes), np.insert(self.first, to, first), np.insert(self.counts, to, counts)
@@ -228,9 +239,14 @@ def encode(texts: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return Encoder(pieces).encode(texts)
 
 
+def spelled(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """The bytes of the ids."""
+    return pieces.flat[ragged(pieces.at[ids], np.diff(pieces.at)[ids])]
+
+
 def decode(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> list[bytes]:
     sizes = np.diff(pieces.at)[ids]
-    flat = pieces.flat[ragged(pieces.at[ids], sizes)].tobytes()
+    flat = spelled(ids, pieces).tobytes()
     ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))].tolist()
     return [flat[a + 1 : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 

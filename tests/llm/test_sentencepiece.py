@@ -74,3 +74,14 @@ def test_whole_table(spark):
     assert len(rows) == len(texts) and all(r["same"] for r in rows)
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]]).hexdigest() and r["n_bytes"] == len(texts[r["doc_id"]]) for r in rows)
     assert all((r["n_tokens"] > 0) == (r["n_bytes"] > 0) for r in rows)
+
+
+def test_segments_of_one_hash(monkeypatch):
+    pieces = Pieces()
+    texts = [t.encode() for t in ODD]
+    wanted = Encoder(pieces).encode(texts)
+    for few in (1, 3):
+        monkeypatch.setattr("tallyspark.llm.sentencepiece.span_hash", lambda a, start, end, few=few: ((end - start) % few).astype(np.uint64))
+        encoder = Encoder(pieces)
+        for _ in range(2):
+            assert all((x == y).all() for x, y in zip(encoder.encode(texts), wanted, strict=True))
