@@ -5,13 +5,16 @@ same character in a text) and falls into segments, each with the spaces before a
 another byte, so segments are encoded apart, equal ones of a batch once (told by hashes; the ids' bytes are compared
 with the batch's, and where two segments share a hash, each is encoded for itself). The distinct segments are concatenated and
 their suffixes sorted, as deep as the longest piece; each piece is searched in that array, which gives the range of
-its occurrences. The occurrences are the edges of a lattice; sorted by position they are relaxed from left to right,
-all segments at once, and the cheapest path is the encoding: ties go to the lesser piece id. Bytes that are in no
-one-byte piece have an edge of their byte piece, so every text can be encoded, and decoding gives it back exactly.
+its occurrences. These, sorted by position, are the edges of a lattice. How they are relaxed follows from the model's kind:
 
-An edge costs its piece's negative log probability. A model of the unigram kind has these as scores. The scores of a
-merge-ranked model are ranks; there the probabilities are taken as falling with the rank (Zipf), so paths are those
-of the lattice, not of the merges.
+- merge-ranked (its scores are whole numbers, as those of the given model): a segment is its code points at first; of
+  the edges over two neighbouring symbols the one of the best rank, the leftmost of equals, makes them one, all segments
+  side by side, until no edge spans two. No shortest path has this result. Code points in no piece become byte pieces.
+- unigram (scores are log probabilities): from left to right, all segments at once, to the cheapest path; ties go to
+  the lesser piece id, and bytes that are in no one-byte piece have a dear edge of their byte piece.
+
+The ids are those of the sentencepiece library, but for texts that hold the piece mark itself, which the library takes
+for a space; here every text can be encoded, and decoding gives it back exactly.
 
 Cases: null and empty texts have no ids and decode to the empty string. Repeated rows get equal ids; other columns
 pass through, but those named like a result column are replaced. An empty table gives an empty result.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,15 @@ MARK = "▁"
 STOP = 0xFF
 #: Segments whose encoding a task remembers.
 MEMO = 300_000
+#: Sizes in code points of the segments that are merged side by side; longer ones are merged one by one.
+WIDTHS = (4, 8, 16, 32, 64)
+#: Symbols that are held at once when segments are merged side by side.
+SLOTS = 1 << 20
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
 class Pieces:
-    """The model's pieces as bytes, with costs; bytes that need their byte piece."""
+    """The model's pieces as bytes, with ranks and costs; bytes that need their byte piece."""
 
     def __init__(self, path: str = MODEL):
         import sentencepiece
@@ -47,13 +55,13 @@ class Pieces:
         n = sp.vocab_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         scores = np.array([sp.get_score(i) for i in plain])
-        ranked = bool((scores == np.round(scores)).all())
-        costs = np.log(2 - scores) + np.log(np.log(n)) if ranked else -scores
+        self.merges = bool((scores == np.round(scores)).all())
         self.bytes_: list[bytes] = [b""] * n
         for i in plain:
             self.bytes_[i] = sp.id_to_piece(i).replace(MARK, " ").encode()
-        self.costs = np.zeros(n)
-        self.costs[plain] = costs
+        self.costs, self.ranks = np.zeros(n), np.zeros(n, np.int64)
+        self.costs[plain], self.ranks[plain] = -scores, np.unique(-scores, return_inverse=True)[1]
+        costs = self.costs[plain]
         self.byte_ids = np.zeros(256, np.int32)
         for i in range(n):
             if sp.is_byte(i):
@@ -113,8 +121,8 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
     return order[np.argsort((keys >> 16).astype(np.uint16)[order], kind="stable")]
 
 
-def encode_segments(a: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all segments one after another, number of ids of each); a holds the segments with a STOP after each."""
+def edges(a: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, piece id) of every occurrence of a piece in a, of one place by their ids."""
     buf = a.tobytes() + bytes([STOP]) * (pieces.depth + 8)
     padded = np.frombuffer(buf, np.uint8)
     places = np.flatnonzero(a != STOP)
@@ -131,7 +139,141 @@ def encode_segments(a: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: P
     low, n = low[pieces.by_id], (high - low)[pieces.by_id]  # edges of one place then are in the order of their ids
     piece = np.repeat(pieces.by_id, n)
     left = sa[ragged(low, n)]
-    right, ids = left + pieces.sizes[piece], pieces.ids[piece]
+    return left, left + pieces.sizes[piece], pieces.ids[piece]
+
+
+def encode_segments(a: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all segments one after another, number of ids of each); a holds the segments with a STOP after each."""
+    found = edges(a, pieces)
+    return merged(a, start, end, *found, pieces) if pieces.merges else cheapest(a, start, end, *found, pieces)
+
+
+class Edges:
+    """Edges sorted by position, to be asked for by their ends."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, ids: np.ndarray, depth: int):
+        self.wide = depth + 1
+        keys = left * self.wide + right - left
+        order = np.argsort(keys)
+        self.keys, self.ids = np.append(keys[order], np.iinfo(np.int64).max), np.append(ids[order], -1)
+
+    def at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ids of the edges from left to right, -1 where there is none."""
+        size = right - left
+        key = np.where(size < self.wide, left * self.wide + size, -1)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ids[at], -1)
+
+
+def merged(a: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Every segment begins as its code points; the edge over two neighbours that has the best rank, the leftmost of
+    equals, makes them one, until no edge spans two."""
+    known = Edges(left, right, ids, pieces.depth)
+    heads = (a & 0xC0) != 0x80
+    heads[a == STOP] = False
+    heads[start[end > start]] = True
+    at = np.flatnonzero(heads)  # the code points' places
+    first = np.searchsorted(at, start)
+    count = np.searchsorted(at, end) - first
+    below = 1
+    for width in WIDTHS:
+        fit = np.flatnonzero((count > below) & (count <= width))
+        for i in range(0, len(fit), SLOTS // width):
+            rows = fit[i : i + SLOTS // width]
+            heads[_merge_rows(at, first[rows], count[rows], end[rows], width, known, pieces, len(a))] = False
+        below = width
+    for k in np.flatnonzero(count > below).tolist():
+        heads[_merge_long(np.append(at[first[k] : first[k] + count[k]], end[k]), known, pieces)] = False
+    at = np.flatnonzero(heads)
+    first = np.searchsorted(at, start)
+    stop = np.append(at[1:], len(a))
+    last = np.searchsorted(at, end) - 1
+    stop[last[end > start]] = end[end > start]
+    one = known.at(at, stop)
+    sizes = np.where(one >= 0, 1, stop - at)  # a code point without a piece is its bytes
+    to = np.append(0, np.cumsum(sizes))
+    out = pieces.byte_ids[a[ragged(at, sizes)]]
+    out[to[:-1][one >= 0]] = one[one >= 0]
+    return out, to[np.append(first[1:], len(at))] - to[first]
+
+
+def _merge_rows(at: np.ndarray, first: np.ndarray, count: np.ndarray, end: np.ndarray, width: int, known: Edges, pieces: Pieces, total: int) -> np.ndarray:
+    """The places that stop being a symbol's start, of segments of at most width code points: a row each, one merge of
+    every row a round. Slot 0 and the slots from the end on are no symbols."""
+    n = len(first)
+    slot = np.arange(width + 3)
+    place = at[np.minimum(first[:, None] + slot - 1, len(at) - 1)]
+    place = np.where(slot > count[:, None], end[:, None], place)
+    after, before = np.tile(slot + 1, (n, 1)), np.tile(slot - 1, (n, 1))
+    none = np.iinfo(np.int64).max
+
+    def values(rows: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Of the pairs that begin in slots k: the rank, then the place."""
+        mid = after[rows, k]
+        ok = (k > 0) & (mid <= count[rows])
+        found = np.full(len(rows), none)
+        rows, k, mid = rows[ok], k[ok], mid[ok]
+        begin = place[rows, k]
+        got = known.at(begin, place[rows, after[rows, mid]])
+        found[ok] = np.where(got >= 0, pieces.ranks[got] * total + begin, none)
+        return found
+
+    rows, k = np.nonzero((slot > 0) & (slot < count[:, None]))
+    value = np.full((n, width + 3), none)
+    value[rows, k] = values(rows, k)
+    live, gone = np.arange(n), []
+    while len(live):
+        k = value[live].argmin(axis=1)
+        more = value[live, k] < none
+        live, k = live[more], k[more]
+        mid = after[live, k]
+        gone.append(place[live, mid])
+        right = after[live, mid]
+        after[live, k], before[live, right], value[live, mid] = right, k, none
+        value[live, k] = values(live, k)
+        k = before[live, k]
+        value[live, k] = values(live, k)
+    return np.concatenate(gone)
+
+
+def _merge_long(place: np.ndarray, known: Edges, pieces: Pieces) -> list[int]:
+    """The same of one segment with many code points, by a heap; place ends with the segment's end."""
+    n = len(place) - 1
+    lo, hi = np.searchsorted(known.keys, place[[0, -1]] * known.wide)
+    by = dict(zip(known.keys[lo:hi].tolist(), pieces.ranks[known.ids[lo:hi]].tolist(), strict=True))
+    at, after, before = place.tolist(), list(range(1, n + 2)), list(range(-1, n))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if i >= 0 and j < n:
+            size = at[after[j]] - at[i]
+            rank = by.get(at[i] * known.wide + size) if size < known.wide else None
+            if rank is not None:
+                heappush(heap, (rank, i, after[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    alive, gone = [True] * n, []
+    while heap:
+        _, i, right = heappop(heap)
+        if not alive[i] or after[i] >= n or after[after[i]] != right:
+            continue  # one of the two has become another since
+        j = after[i]
+        alive[j], after[i] = False, right
+        if right < n:
+            before[right] = i
+        gone.append(at[j])
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return gone
+
+
+def cheapest(a: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest path over every segment, ties by the lesser id; bytes without a one-byte piece have an edge of
+    their byte piece."""
+    places = np.flatnonzero(a != STOP)
     odd = places[pieces.single[a[places]]]
     left, right, ids = np.append(left, odd), np.append(right, odd + 1), np.append(ids, pieces.byte_ids[a[odd]])
     # edges in the order in which they can be relaxed: by the distance of their end from the segment's start

@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 
 import numpy as np
+import sentencepiece
 
-from tallyspark.llm.sentencepiece import Encoder, Pieces, decode, decode_column, encode_column, op8_sentencepiece
+from tallyspark.llm.sentencepiece import MARK, MODEL, Encoder, Pieces, decode, decode_column, encode_column, op8_sentencepiece
 
 from .common import TABLES, documents, prose, table
 
@@ -27,30 +29,69 @@ def cheapest(text, pieces, known, longest):
     return out[::-1]
 
 
-def test_paths_are_cheapest(spark):
+def unigram():
+    """The given pieces with costs that fall with the rank, as a unigram model's."""
+    pieces = Pieces()
+    pieces.merges = False
+    pieces.costs = np.log(2 + pieces.costs)
+    return pieces
+
+
+def ids_of(texts, pieces):
+    ids, counts = Encoder(pieces).encode([t.encode() for t in texts])
+    ends = np.append(0, np.cumsum(counts)).tolist()
+    return [ids[x:y].tolist() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def library(texts):
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(texts, num_threads=1)
+
+
+def junk(n):
+    rng = random.Random(5)
+    return ["".join(rng.choice("ab cdetionéü日本\n\t  .0") for _ in range(rng.randint(1, 400))) for _ in range(n)]
+
+
+def test_ids_are_the_librarys(spark, monkeypatch):
     pieces = Pieces()
+    assert pieces.merges
+    texts = [r["text"] or "" for r in table(spark, "documents").collect()] + [t for t in ODD if MARK not in t] + junk(300)
+    wanted = library(texts)
+    assert ids_of(texts, pieces) == wanted
+    some = texts[-400:]
+    for widths, slots in (((), 64), ((64,), 64), ((2, 3), 5)):  # by heaps alone, a row a time, both
+        monkeypatch.setattr("tallyspark.llm.sentencepiece.WIDTHS", widths)
+        monkeypatch.setattr("tallyspark.llm.sentencepiece.SLOTS", slots)
+        assert ids_of(some, pieces) == wanted[-400:]
+
+
+def test_the_mark_itself_stays():
+    (ids,) = ids_of(["a▁b"], Pieces())
+    assert ids != library(["a▁b"])[0] and decode(np.array(ids), np.array([len(ids)]), Pieces()) == ["a▁b".encode()]
+
+
+def test_paths_are_cheapest(spark):
+    pieces = unigram()
     known = {pieces.bytes_[i]: int(i) for i in pieces.ids}
     longest = int(pieces.sizes.max())
-    texts = [(r["text"] or "").encode() for r in table(spark, "documents").orderBy("doc_id").limit(60).collect()] + [t.encode() for t in ODD]
-    ids, counts = Encoder(pieces).encode(texts)
-    ends = np.append(0, np.cumsum(counts))
+    texts = [r["text"] or "" for r in table(spark, "documents").orderBy("doc_id").limit(60).collect()] + ODD
     seen = {}
-    for k, t in enumerate(texts):
+    for t, ids in zip(texts, ids_of(texts, pieces), strict=True):
+        t = t.encode()
         segments = re.findall(rb" *[^ ]+| +$", b" " + t) if t else []
         for s in segments:
             if s not in seen:
                 seen[s] = cheapest(s, pieces, known, longest)
-        assert ids[ends[k] : ends[k + 1]].tolist() == [i for s in segments for i in seen[s]]
-        assert b"".join(pieces.bytes_[i] for i in ids[ends[k] : ends[k + 1]]) == (b" " + t if t else b"")
+        assert ids == [i for s in segments for i in seen[s]]
+        assert b"".join(pieces.bytes_[i] for i in ids) == (b" " + t if t else b"")
 
 
 def test_ties_go_to_the_lesser_piece():
-    pieces = Pieces()
+    pieces = unigram()
     pieces.costs[:] = 1.0
     known = {pieces.bytes_[i]: int(i) for i in pieces.ids}
-    for t in (b"tionable nesting", b"aaaa bbbb"):
-        ids, _ = Encoder(pieces).encode([t])
-        assert ids.tolist() == [i for s in re.findall(rb" *[^ ]+", b" " + t) for i in cheapest(s, pieces, known, int(pieces.sizes.max()))]
+    for t in ("tionable nesting", "aaaa bbbb"):
+        assert ids_of([t], pieces) == [[i for s in re.findall(rb" *[^ ]+", b" " + t.encode()) for i in cheapest(s, pieces, known, int(pieces.sizes.max()))]]
 
 
 def test_round_trip(spark):
@@ -71,6 +112,8 @@ def test_columns(spark):
 def test_whole_table(spark):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, "documents").collect()}
     rows = op8_sentencepiece(spark, TABLES).collect()
+    ids = dict(zip(texts, library([t.decode() for t in texts.values()]), strict=True))
+    assert all(r["ids_sha256"] == hashlib.sha256(np.array(ids[r["doc_id"]], "<i4").tobytes()).hexdigest() for r in rows)
     assert len(rows) == len(texts) and all(r["same"] for r in rows)
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]]).hexdigest() and r["n_bytes"] == len(texts[r["doc_id"]]) for r in rows)
     assert all((r["n_tokens"] > 0) == (r["n_bytes"] > 0) for r in rows)
