@@ -6,6 +6,13 @@ from .tokencount import END, VOCABULARY, byte_letters
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The pages of the tables have one article each, of headings, paragraphs, line breaks and bold text, with these references.
+OP3_SQL = r"""
+WITH inner_html AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g') AS h FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM inner_html)
+SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS n_chars FROM plain
+"""
+
 #: Shingles, all pairs that share one, and what each document reaches over the links.
 OP7_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),

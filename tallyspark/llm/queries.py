@@ -7,7 +7,7 @@ from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .html import op3_html_extraction
 from .media import op9_media_columns
 from .minhash import op7_minhash_near_dedup
-from .oracles import OP2_SQL, OP4_SQL, OP7_SQL
+from .oracles import OP2_SQL, OP3_SQL, OP4_SQL, OP7_SQL
 from .sentencepiece import op8_sentencepiece
 from .sharding import op1_sharding
 from .suffixarray import op4_suffix_array_dedup
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_token_counts": OP2_SQL, "op4_suffix_array_dedup": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL}
+    return {"op2_token_counts": OP2_SQL, "op3_html_extraction": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL}
