@@ -23,6 +23,7 @@ pass through, but those named like a result column are replaced. An empty table
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from heapq import heappop, heappush
 
@@ -240,29 +241,32 @@ def _merge_long(place: np.ndarray, known: Edges, pieces: Pieces) -> list[int]:
     """The same of one segment with many code points, by a heap; place ends with the segment's end."""
     n = len(place) - 1
     lo, hi = np.searchsorted(known.keys, place[[0, -1]] * known.wide)
-    by = dict(zip(known.keys[lo:hi].tolist(), pieces.ranks[known.ids[lo:hi]].tolist(), strict=True))
-    at, after, before = place.tolist(), list(range(1, n + 2)), list(range(-1, n))
-    heap: list[tuple[int, int, int]] = []
+    keys, ranks = known.keys[lo:hi], pieces.ranks[known.ids[lo:hi]]
+    at, after, before = (array("q", x.tobytes()) for x in (place.astype(np.int64), np.arange(1, n + 2), np.arange(-1, n)))
+    now = array("q", [-1]) * n  # the rank of the pair that begins here
+    heap: list[int] = []
 
     def offer(i: int) -> None:
-        j = after[i]
-        if i >= 0 and j < n:
+        now[i], j = -1, after[i]
+        if j < n:
             size = at[after[j]] - at[i]
-            rank = by.get(at[i] * known.wide + size) if size < known.wide else None
-            if rank is not None:
-                heappush(heap, (rank, i, after[j]))
+            key = at[i] * known.wide + size
+            k = int(keys.searchsorted(key)) if size < known.wide else len(keys)
+            if k < len(keys) and keys[k] == key:
+                now[i] = int(ranks[k])
+                heappush(heap, now[i] * n + i)
 
     for i in range(n - 1):
         offer(i)
-    alive, gone = [True] * n, []
+    gone = []
     while heap:
-        _, i, right = heappop(heap)
-        if not alive[i] or after[i] >= n or after[after[i]] != right:
-            continue  # one of the two has become another since
+        rank, i = divmod(heappop(heap), n)
+        if now[i] != rank:
+            continue  # the pair has become another since
         j = after[i]
-        alive[j], after[i] = False, right
-        if right < n:
-            before[right] = i
+        now[j], after[i] = -1, after[j]
+        if after[j] < n:
+            before[after[j]] = i
         gone.append(at[j])
         offer(i)
         if before[i] >= 0:
