@@ -13,15 +13,17 @@ plain AS (SELECT page_id, url, regexp_replace(replace(regexp_replace(h, '<[^>]*>
 SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS n_chars FROM plain
 """
 
-#: Shingles, all pairs that share one, and what each document reaches over the links.
-OP7_SQL = rf"""
+
+def linked_sql(size: int, similar: int) -> str:
+    """Shingles, all pairs that share one, and what each document reaches over the links."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, hash(array_to_string(CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END, ' ')) AS g
-  FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0),
+  SELECT DISTINCT doc_id, hash(array_to_string(CASE WHEN len(w) < {size} THEN w ELSE w[i:i + {size - 1}] END, ' ')) AS g
+  FROM d, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS t(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+links AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= {similar} * (x.n + y.n - k)),
 ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT ways.v, reach.c FROM reach JOIN ways ON ways.u = reach.doc_id),
 least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
@@ -30,6 +32,10 @@ FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+OP7_SQL = linked_sql(3, 85)
+OP12_SQL = f"SELECT doc_id, n_shingles, component_id FROM ({linked_sql(5, 80)})"
+
+
 def doubled(steps: tuple[int, ...]) -> str:
     """Expressions that carry each byte's hash of the 1, 2, 4, ... bytes from it on, one level of query for each."""
     query = "SELECT doc_id, p, x, hash(x) AS h1 FROM b"

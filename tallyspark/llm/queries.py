@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .alignment import op11_cross_tokenizer_alignment
 from .chat import op10_chat_formatting
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .html import op3_html_extraction
+from .jaccard import op12_ngram_jaccard_join
 from .media import op9_media_columns
 from .minhash import op7_minhash_near_dedup
-from .oracles import OP2_SQL, OP3_SQL, OP4_SQL, OP7_SQL
+from .oracles import OP2_SQL, OP3_SQL, OP4_SQL, OP7_SQL, OP12_SQL
 from .sentencepiece import op8_sentencepiece
 from .sharding import op1_sharding
 from .suffixarray import op4_suffix_array_dedup
@@ -27,8 +29,10 @@ def queries() -> dict:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_media_columns": op9_media_columns,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+        "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_token_counts": OP2_SQL, "op3_html_extraction": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL}
+    return {"op2_token_counts": OP2_SQL, "op3_html_extraction": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op12_ngram_jaccard_join": OP12_SQL}
