@@ -7,9 +7,11 @@ linked if 100 * intersection >= SIMILAR * union. The join is exact: no pair is l
 1. One pass over the texts gives each document's set size, a 128-bit sum of its set, its bitmap (bit h mod width of
    every hash h; the width follows the size) and its prefix: the size - ceil(SIMILAR % of size) + 1 lowest hashes. Two
    linked sets share a hash of their prefixes, in any one order of hashes. Documents of equal sets become one class.
-2. A bucket is what shares a prefix hash; of buckets with the same members one is kept. A passage that many unlike
-   documents hold would make large buckets, so hashes that more than COMMON documents have move to the end of the
-   order, for all documents alike, and prefixes that held one are chosen again: such documents meet in what is their own.
+2. A bucket is what shares a prefix hash; of buckets with the same members one is kept. Most hashes are one document's
+   own: a bitmap of fixed size, of the hashes that several have, lets only rows pass that may meet others. A passage
+   that many unlike documents hold would make large buckets, so hashes that more than COMMON documents have move to the
+   end of the order, for all documents alike, and prefixes that held one are chosen again: such documents meet in what
+   is their own.
 3. A bucket's members are dealt to tiles by size band (a band's sizes differ by less than 100 / SIMILAR; a tile holds
    one band and, as guests, the next one: no others can be linked) and by blocks of BLOCK members. In a tile the bits
    set in one bitmap only bound the overlap from above: each is at least one hash that the other set lacks. Pairs that
@@ -46,6 +48,8 @@ COMMON = 512
 BLOCK = 1024
 #: Bits of the narrowest and widest bitmap; between them at least twice the set's size, a power of two.
 NARROW, WIDE = 256, 1 << 17
+#: Bits of the bitmaps that rows are sifted by before a shuffle; they may let too many pass, never too few.
+SIEVE = 1 << 26
 SIGNED = "doc_id long, th long, n_shingles long, s1 long, s2 long, prefix array<long>, bits binary"
 
 
@@ -85,26 +89,50 @@ def band(n, similar: int):
 
 
 def sign(docs: DataFrame, doc_id: str, text: str, size: int, similar: int) -> DataFrame:
+    """SIGNED of every row; of rows with equal sets that one task meets, the first has the prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in slices(whole, text):
                 sets = shingle_sets(utf8(batch.column(text)), size)
-                sums = [[int(f(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for f in (mix, lambda s: mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-                lowest = [s[: prefix_size(len(s), similar)].view(np.int64) if len(s) else None for s in sets]
+                s1, s2 = ([int(f(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for f in (mix, lambda s: mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
+                first = [len(s) > 0 and not (k in met or met.add(k)) for s, k in zip(sets, zip(s1, s2, strict=True), strict=True)]
+                lowest = [s[: prefix_size(len(s), similar)].view(np.int64) if on else None for s, on in zip(sets, first, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(doc_id).cast(pa.int64()), batch.column("th"), pa.array(map(len, sets), pa.int64()), *[pa.array(s, pa.int64()) for s in sums], pa.array(lowest, pa.list_(pa.int64())), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
+                    [batch.column(doc_id).cast(pa.int64()), batch.column("th"), pa.array(map(len, sets), pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(lowest, pa.list_(pa.int64())), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
                     names=["doc_id", "th", "n_shingles", "s1", "s2", "prefix", "bits"],
                 )
 
     return docs.select(doc_id, text, F.xxhash64(text).alias("th")).mapInArrow(run, SIGNED)
 
 
+def sieve(hashes: DataFrame):
+    """A broadcast bitmap of the low bits of a column of 64-bit hashes, of SIEVE bits whatever their number."""
+    bit = F.col(hashes.columns[0]).bitwiseAND(SIEVE - 1) + 1  # bitmap buckets are counted from 1
+    parts = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    whole = np.zeros(SIEVE // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(whole)]
+        whole[(r["at"] - 1) * 4096 :][: len(part)] = part
+    return hashes.sparkSession.sparkContext.broadcast(whole)
+
+
+def passes(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes & np.int64(SIEVE - 1)
+    return (whole[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
 def full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """node, shingles of the classes, from the text of one document each."""
+    """node, shingles of the classes, from the text of one document each; only texts that may be theirs are shuffled."""
     row = lambda c, th: F.xxhash64(c, th).alias("row")
-    nodes = classes.select(F.col("rep.th").alias("th"), row("rep.doc_id", "rep.th"), "node", "s1")
-    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("th"), row(doc_id, F.xxhash64(text)), F.col(text).alias("text"))
-    found = skewed_join(texts, nodes, ["th", "row"]).select("node", "s1", "text")
+    nodes = classes.select(row("rep.doc_id", "rep.th"), "node", F.col("s1").alias("sum"))
+    wanted = sieve(nodes.select("row"))
+    texts = docs.filter(F.col(text).isNotNull()).select(row(doc_id, F.xxhash64(text)), F.col(text).alias("text"))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted.value, batch.column("row").to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # rows that repeat meet here; one of them is enough
@@ -112,29 +140,46 @@ def full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size:
             fresh = [i for i, n in enumerate(whole.column("node").to_pylist()) if not (n in done or done.add(n))]
             for batch in slices(whole.take(pa.array(fresh, pa.int64())), "text"):
                 sets = shingle_sets(utf8(batch.column("text")), size)
-                s1 = batch.column("s1").to_pylist()
-                yes = [i for i, s in enumerate(sets) if int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == s1[i]]
+                sums = batch.column("sum").to_pylist()
+                yes = [i for i, s in enumerate(sets) if int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == sums[i]]
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(yes, pa.int64())), pa.array([sets[i].view(np.int64) for i in yes], pa.list_(pa.int64()))], names=["node", "shingles"])
 
+    found = skewed_join(texts.mapInArrow(sift, "row long, text string"), nodes, ["row"]).select("node", "sum", "text")
     return found.mapInArrow(run, "node long, shingles array<long>")
 
 
-def shared_buckets(prefixes: DataFrame) -> DataFrame:
+def meeting(signed: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """node, key of the prefix hashes that are among the keys, or look so."""
+    wanted = sieve(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("prefix")
+            key, count = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+            on = np.flatnonzero(passes(wanted.value, key))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), count)[on])
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), *[batch.column(c).take(row) for c in ("s1", "s2", "n_shingles")]], names=["key", "s1", "s2", "n_shingles"])
+
+    rows = signed.filter("prefix is not null").select("prefix", "s1", "s2", "n_shingles").mapInArrow(run, "key long, s1 long, s2 long, n_shingles long")
+    return rows.join(classes.select("s1", "s2", "n_shingles", "node"), ["s1", "s2", "n_shingles"]).select("node", "key").distinct()
+
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
     """key, members, lead of the prefix hashes of several nodes; of equal member sets (told by a 64-bit sum, their
     number and their least) the least key."""
-    every = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    every = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("who"))
     return every.filter("members > 1").groupBy("members", "lead", "who").agg(F.min("key").alias("key")).select("key", "members", "lead")
 
 
-def demoted(prefixes: DataFrame, sets_of, similar: int, scratch: Scratch) -> DataFrame | None:
-    """node, key of all prefixes with common hashes at the end of the order; None where no prefix holds one."""
-    crowded = scratch.spill(prefixes.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
+def demoted(rows: DataFrame, meet, sets_of, similar: int, scratch: Scratch) -> DataFrame:
+    """The rows that meet when common hashes are at the end of the order."""
+    crowded = scratch.spill(rows.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
     if crowded.isEmpty():
-        return None
-    holds = lambda keys: skewed_join(prefixes, keys, ["key"]).select("node").distinct()
+        return rows
     shingles = lambda df: df.select("node", F.explode("shingles").alias("key"))
-    common = scratch.spill(shingles(sets_of(holds(crowded))).groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
-    anew = scratch.spill(holds(common))
+    held = sets_of(skewed_join(rows, crowded, ["key"]).select("node").distinct())
+    common = scratch.spill(shingles(held).groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
+    anew = scratch.spill(skewed_join(meet(common), common, ["key"]).select("node").distinct())
     sets = scratch.spill(sets_of(anew))
     late = skewed_join(shingles(sets), common, ["key"]).groupBy("node").agg(F.collect_list("key").alias("late"))  # a document's own
 
@@ -146,9 +191,9 @@ def demoted(prefixes: DataFrame, sets_of, similar: int, scratch: Scratch) -> Dat
                 out.append(np.concatenate([s[~last], s[last]])[: prefix_size(len(s), similar)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "prefix"])
 
-    chosen = sets.join(late, "node").mapInArrow(run, "node long, prefix array<long>")
-    rest = prefixes.join(anew, "node", "left_anti").select("node", "key")
-    return scratch.spill(rest.unionByName(chosen.select("node", F.explode("prefix").alias("key"))))
+    chosen = scratch.spill(sets.join(late, "node").mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key")))
+    rest = rows.unionByName(meet(chosen.select("key"))).distinct().join(anew, "node", "left_anti")
+    return scratch.spill(rest.unionByName(chosen))
 
 
 def tiled(rows: DataFrame, similar: int) -> DataFrame:
@@ -268,16 +313,17 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     bounded(docs.sparkSession)
     signed = spill(sign(docs, doc_id, text, size, similar))
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min_by(F.struct("prefix", "bits"), "th").alias("x"))
-    classes = spill(classes.select("s1", "s2", F.col("n_shingles"), "first_id", "rep", F.coalesce("first_id", F.xxhash64("s1", "s2")).alias("node"), "x.prefix", "x.bits"))
+    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bits").alias("bits"))
+    classes = spill(classes.withColumn("node", F.coalesce("first_id", F.xxhash64("s1", "s2"))))
     with Scratch(docs.sparkSession) as scratch:
         sets_of = lambda nodes: full_sets(docs, classes.join(nodes, "node", "left_semi"), doc_id, text, size)
-        sized = classes.select("node", F.col("n_shingles").alias("n"), "bits")
-        prefixes = classes.select("node", F.explode("prefix").alias("key"))
-        moved = demoted(prefixes, sets_of, similar, scratch)
-        prefixes = prefixes if moved is None else moved
-        buckets = scratch.spill(shared_buckets(prefixes))
-        rows = scratch.spill(skewed_join(prefixes, buckets, ["key"]).join(sized, "node"))
+        meet = lambda keys: meeting(signed, classes, keys)
+        # different sets differ in their sums, so a hash of two of them shows by its least and greatest one
+        prefixes = filled.select(F.explode("prefix").alias("key"), "s1").groupBy("key").agg(F.min("s1").alias("a"), F.max("s1").alias("b"))
+        rows = scratch.spill(meet(scratch.spill(prefixes.filter("a < b").select("key"))))
+        rows = demoted(rows, meet, sets_of, similar, scratch)
+        buckets = scratch.spill(shared_buckets(rows))
+        rows = scratch.spill(skewed_join(rows, buckets, ["key"]).join(classes.select("node", F.col("n_shingles").alias("n"), "bits"), "node"))
         edges = scratch.spill(_forests(rows, similar).distinct())
         ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         links = scratch.spill(verified(edges, scratch.spill(sets_of(ends)), similar))
