@@ -11,7 +11,7 @@ linked if 100 * intersection >= SIMILAR * union. The join is exact: no pair is l
    own: a bitmap of fixed size, of the hashes that several have, lets only rows pass that may meet others. A passage
    that many unlike documents hold would make large buckets, so hashes that more than COMMON documents have move to the
    end of the order, for all documents alike, and prefixes that held one are chosen again: such documents meet in what
-   is their own.
+   is their own. (Any set of hashes may be moved without losing a link; the bitmap that tells it is that set.)
 3. A bucket's members are dealt to tiles by size band (a band's sizes differ by less than 100 / SIMILAR; a tile holds
    one band and, as guests, the next one: no others can be linked) and by blocks of BLOCK members. In a tile the bits
    set in one bitmap only bound the overlap from above: each is at least one hash that the other set lacks. Pairs that
@@ -50,7 +50,9 @@ BLOCK = 1024
 NARROW, WIDE = 256, 1 << 17
 #: Bits of the bitmaps that rows are sifted by before a shuffle; they may let too many pass, never too few.
 SIEVE = 1 << 26
-SIGNED = "doc_id long, th long, n_shingles long, s1 long, s2 long, prefix array<long>, bits binary"
+#: Lowest hashes that are kept beside the prefix, to choose it again from; where they don't do, the text is read again.
+SPARE = 1.5
+SIGNED = "doc_id long, th long, n_shingles long, s1 long, s2 long, lowest array<long>, bits binary"
 
 
 def prefix_size(n: np.ndarray | int, similar: int):
@@ -89,7 +91,7 @@ def band(n, similar: int):
 
 
 def sign(docs: DataFrame, doc_id: str, text: str, size: int, similar: int) -> DataFrame:
-    """SIGNED of every row; of rows with equal sets that one task meets, the first has the prefix."""
+    """SIGNED of every row; of rows with equal sets that one task meets, the first has the lowest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
@@ -98,10 +100,10 @@ def sign(docs: DataFrame, doc_id: str, text: str, size: int, similar: int) -> Da
                 sets = shingle_sets(utf8(batch.column(text)), size)
                 s1, s2 = ([int(f(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for f in (mix, lambda s: mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
                 first = [len(s) > 0 and not (k in met or met.add(k)) for s, k in zip(sets, zip(s1, s2, strict=True), strict=True)]
-                lowest = [s[: prefix_size(len(s), similar)].view(np.int64) if on else None for s, on in zip(sets, first, strict=True)]
+                lowest = [s[: int(prefix_size(len(s), similar) * SPARE)].view(np.int64) if on else None for s, on in zip(sets, first, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(doc_id).cast(pa.int64()), batch.column("th"), pa.array(map(len, sets), pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(lowest, pa.list_(pa.int64())), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "th", "n_shingles", "s1", "s2", "prefix", "bits"],
+                    names=["doc_id", "th", "n_shingles", "s1", "s2", "lowest", "bits"],
                 )
 
     return docs.select(doc_id, text, F.xxhash64(text).alias("th")).mapInArrow(run, SIGNED)
@@ -112,7 +114,7 @@ def sieve(hashes: DataFrame):
     bit = F.col(hashes.columns[0]).bitwiseAND(SIEVE - 1) + 1  # bitmap buckets are counted from 1
     parts = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     whole = np.zeros(SIEVE // 8, np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # SIEVE / 8 bytes at most
         part = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(whole)]
         whole[(r["at"] - 1) * 4096 :][: len(part)] = part
     return hashes.sparkSession.sparkContext.broadcast(whole)
@@ -148,20 +150,65 @@ def full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size:
     return found.mapInArrow(run, "node long, shingles array<long>")
 
 
-def meeting(signed: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """node, key of the prefix hashes that are among the keys, or look so."""
-    wanted = sieve(keys)
+def chosen(lowest: np.ndarray, n: int, late: np.ndarray | None, similar: int) -> np.ndarray | None:
+    """The prefix of a set of n hashes from its lowest ones; None if those don't do. late: the bitmap of the hashes
+    at the end of the order."""
+    size = prefix_size(n, similar)
+    if late is None:
+        return lowest[:size]
+    last = passes(late, lowest)
+    if len(lowest) - last.sum() >= size:
+        return lowest[~last][:size]
+    return np.concatenate([lowest[~last], lowest[last]])[:size] if len(lowest) == n else None
+
+
+def prefix_rows(signed: DataFrame, similar: int, late=None, take=None, short: bool = False) -> DataFrame:
+    """key, s1, s2, n_shingles of the prefixes' hashes that take(lowest, prefix) says (all); short: instead a row for
+    each set whose lowest hashes don't do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = late.value if late else None
+        for batch in batches:
+            keys, count = [np.zeros(0, np.int64)], np.zeros(batch.num_rows, np.int64)
+            for i, (low, n) in enumerate(zip(lists(batch.column("lowest")), batch.column("n_shingles").to_pylist(), strict=True)):
+                prefix = chosen(low.view(np.int64), n, last, similar)
+                if short or prefix is None:
+                    key = np.zeros(int(short and prefix is None), np.int64)
+                else:
+                    key = take(low.view(np.int64), prefix) if take else prefix
+                keys.append(key)
+                count[i] = len(key)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), count))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[batch.column(c).take(row) for c in ("s1", "s2", "n_shingles")]], names=["key", "s1", "s2", "n_shingles"])
+
+    return signed.filter("lowest is not null").select("lowest", "s1", "s2", "n_shingles").mapInArrow(run, "key long, s1 long, s2 long, n_shingles long")
+
+
+def meeting(signed: DataFrame, classes: DataFrame, sets_of, similar: int, scratch: Scratch) -> DataFrame:
+    """node, key of the prefix hashes that several nodes have; some that one has may be among them."""
+    # different sets differ in their sums, so a hash of two of them shows by its least and greatest one
+    every = prefix_rows(signed, similar).groupBy("key").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = scratch.spill(every.filter("a < b").select("key", "n"))
+    by_class = lambda rows: rows.join(classes.select("s1", "s2", "n_shingles", "node"), ["s1", "s2", "n_shingles"])
+    within = lambda keys: (lambda wanted: lambda low, prefix: prefix[passes(wanted.value, prefix)])(sieve(keys))
+    crowded = shared.filter(F.col("n") > COMMON).select("key")
+    if crowded.isEmpty():
+        return scratch.spill(by_class(prefix_rows(signed, similar, take=within(shared.select("key")))).select("node", "key").distinct())
+    hot = sieve(crowded)
+    told = prefix_rows(signed, similar, take=lambda low, prefix: low if passes(hot.value, prefix).any() else low[:0])
+    late = sieve(told.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON).select("key"))
+    added = prefix_rows(signed, similar, late, lambda low, prefix: prefix[~np.isin(prefix, low[: len(prefix)])])
+    whole = scratch.spill(sets_of(by_class(prefix_rows(signed, similar, late, short=True)).select("node").distinct()))
+
+    def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("prefix")
-            key, count = column.flatten().to_numpy(), column.value_lengths().to_numpy()
-            on = np.flatnonzero(passes(wanted.value, key))
-            row = pa.array(np.repeat(np.arange(batch.num_rows), count)[on])
-            yield pa.RecordBatch.from_arrays([pa.array(key[on]), *[batch.column(c).take(row) for c in ("s1", "s2", "n_shingles")]], names=["key", "s1", "s2", "n_shingles"])
+            out = [chosen(s.view(np.int64), len(s), late.value, similar) for s in lists(batch.column("shingles"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "prefix"])
 
-    rows = signed.filter("prefix is not null").select("prefix", "s1", "s2", "n_shingles").mapInArrow(run, "key long, s1 long, s2 long, n_shingles long")
-    return rows.join(classes.select("s1", "s2", "n_shingles", "node"), ["s1", "s2", "n_shingles"]).select("node", "key").distinct()
+    anew = scratch.spill(whole.mapInArrow(anew, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key")))
+    keys = shared.select("key").unionByName(added.select("key")).unionByName(anew.select("key"))
+    rows = by_class(prefix_rows(signed, similar, late, within(keys))).select("node", "key").distinct()
+    return scratch.spill(rows.unionByName(anew))
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -171,31 +218,6 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return every.filter("members > 1").groupBy("members", "lead", "who").agg(F.min("key").alias("key")).select("key", "members", "lead")
 
 
-def demoted(rows: DataFrame, meet, sets_of, similar: int, scratch: Scratch) -> DataFrame:
-    """The rows that meet when common hashes are at the end of the order."""
-    crowded = scratch.spill(rows.groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
-    if crowded.isEmpty():
-        return rows
-    shingles = lambda df: df.select("node", F.explode("shingles").alias("key"))
-    held = sets_of(skewed_join(rows, crowded, ["key"]).select("node").distinct())
-    common = scratch.spill(shingles(held).groupBy("key").count().filter(F.col("count") > COMMON).select("key"))
-    anew = scratch.spill(skewed_join(meet(common), common, ["key"]).select("node").distinct())
-    sets = scratch.spill(sets_of(anew))
-    late = skewed_join(shingles(sets), common, ["key"]).groupBy("node").agg(F.collect_list("key").alias("late"))  # a document's own
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for s, after in zip(lists(batch.column("shingles")), lists(batch.column("late")), strict=True):
-                last = np.isin(s, after)
-                out.append(np.concatenate([s[~last], s[last]])[: prefix_size(len(s), similar)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "prefix"])
-
-    chosen = scratch.spill(sets.join(late, "node").mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("key")))
-    rest = rows.unionByName(meet(chosen.select("key"))).distinct().join(anew, "node", "left_anti")
-    return scratch.spill(rest.unionByName(chosen))
-
-
 def tiled(rows: DataFrame, similar: int) -> DataFrame:
     """rows with their tile's band, once for their own and once as guests of the band below."""
     own = rows.withColumn("of", band(F.col("n"), similar))
@@ -317,11 +339,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     classes = spill(classes.withColumn("node", F.coalesce("first_id", F.xxhash64("s1", "s2"))))
     with Scratch(docs.sparkSession) as scratch:
         sets_of = lambda nodes: full_sets(docs, classes.join(nodes, "node", "left_semi"), doc_id, text, size)
-        meet = lambda keys: meeting(signed, classes, keys)
-        # different sets differ in their sums, so a hash of two of them shows by its least and greatest one
-        prefixes = filled.select(F.explode("prefix").alias("key"), "s1").groupBy("key").agg(F.min("s1").alias("a"), F.max("s1").alias("b"))
-        rows = scratch.spill(meet(scratch.spill(prefixes.filter("a < b").select("key"))))
-        rows = demoted(rows, meet, sets_of, similar, scratch)
+        rows = meeting(signed, classes, sets_of, similar, scratch)
         buckets = scratch.spill(shared_buckets(rows))
         rows = scratch.spill(skewed_join(rows, buckets, ["key"]).join(classes.select("node", F.col("n_shingles").alias("n"), "bits"), "node"))
         edges = scratch.spill(_forests(rows, similar).distinct())
