@@ -35,29 +35,41 @@ def bounded(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
-def spill(df: DataFrame) -> DataFrame:
+#: With this on, the shuffle files of a query go when it has ended, not when the driver's objects are collected.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def spill(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here, and losing an
-    executor costs nothing that was written. The folder's owner clears it."""
-    return _spill(df, f"{shared_dir(df.sparkSession).rstrip('/')}/t-{uuid.uuid4().hex}")
+    executor costs nothing that was written. The folder's owner clears it. tidy: see TIDY."""
+    return _spill(df, f"{shared_dir(df.sparkSession).rstrip('/')}/t-{uuid.uuid4().hex}", tidy)
 
 
-def _spill(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _spill(df: DataFrame, path: str, tidy: bool) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(TIDY, "false")
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
     """Tables between the jobs of one operator: spill() as above, and all of them are deleted at the end of the block,
     when nothing reads them any more."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/s-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, tidy: bool = False):
+        self.spark, self.tidy, self.path = spark, tidy, f"{shared_dir(spark).rstrip('/')}/s-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Scratch:
         return self
 
     def spill(self, df: DataFrame) -> DataFrame:
-        return _spill(df, f"{self.path}/t-{uuid.uuid4().hex}")
+        return _spill(df, f"{self.path}/t-{uuid.uuid4().hex}", self.tidy)
 
     def __exit__(self, *_) -> None:
         delete(self.spark, self.path)

@@ -15,7 +15,7 @@ linked if 100 * intersection >= SIMILAR * union. The join is exact: no pair is l
 3. A bucket's members are dealt to tiles by size band (a band's sizes differ by less than 100 / SIMILAR; a tile holds
    one band and, as guests, the next one: no others can be linked) and by blocks of BLOCK members. In a tile the bits
    set in one bitmap only bound the overlap from above: each is at least one hash that the other set lacks. Pairs that
-   could pass are joined to a forest, each block's and its bucket's first member's; only its edges leave the tile, and
+   could pass are joined to a forest, each block's and its tile's first member's; only its edges leave the tile, and
    are verified on the full sets. That is linear in a bucket, however large.
 4. Tiles that then still hold several components are gone through block against block. Only members with a pair of
    different components that could pass get their full sets, and a local union-find skips what is already joined.
@@ -46,8 +46,8 @@ SIMILAR = 80
 COMMON = 512
 #: Members of one block of a tile.
 BLOCK = 1024
-#: Bits of the narrowest and widest bitmap; between them at least twice the set's size, a power of two.
-NARROW, WIDE = 256, 1 << 17
+#: Bits of the narrowest and widest bitmap; between them at least the set's size, a power of two.
+NARROW, WIDE = 128, 1 << 17
 #: Bits of the bitmaps that rows are sifted by before a shuffle; they may let too many pass, never too few.
 SIEVE = 1 << 26
 #: Lowest hashes that are kept beside the prefix, to choose it again from; where they don't do, the text is read again.
@@ -61,7 +61,7 @@ def prefix_size(n: np.ndarray | int, similar: int):
 
 
 def width(n: int) -> int:
-    return min(WIDE, max(NARROW, 1 << (2 * n - 1).bit_length()))
+    return min(WIDE, max(NARROW, 1 << n.bit_length()))
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -219,9 +219,11 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
 
 
 def tiled(rows: DataFrame, similar: int) -> DataFrame:
-    """rows with their tile's band, once for their own and once as guests of the band below."""
+    """rows in their tiles, once for their own and once as guests of the band below; tiles of one member go."""
     own = rows.withColumn("of", band(F.col("n"), similar))
-    return own.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("of") - F.col("guest")).drop("of")
+    every = own.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("of") - F.col("guest")).drop("of")
+    full = every.groupBy("key", "band").agg(F.count(F.lit(1)).alias("all"), F.min("guest").alias("g"), F.min("node").alias("head")).filter("all > 1 and g = 0")
+    return every.drop("members", "lead").join(full.drop("g"), ["key", "band"])
 
 
 def by_tile(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -257,7 +259,7 @@ def forest(tile: pa.Table, similar: int) -> list[tuple[int, int]]:
     nodes, size = tile.column("node").to_numpy(), tile.column("n").to_numpy()
     order = np.lexsort((nodes, guest))
     nodes, size, guest = nodes[order], size[order], guest[order]
-    one = np.append(True, nodes[1:] != nodes[:-1])  # a lead stands in its own block twice
+    one = np.append(True, nodes[1:] != nodes[:-1])  # a tile's first member may stand in a block as its own, too
     nodes, size, guest, order = nodes[one], size[one], guest[one], order[one]
     maps = tile.column("bits").to_pylist()
     bits = folded([maps[i] for i in order.tolist()])
@@ -333,23 +335,25 @@ def exact_links(tile: pa.Table, similar: int) -> list[tuple[int, int]]:
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     bounded(docs.sparkSession)
-    signed = spill(sign(docs, doc_id, text, size, similar))
+    signed = spill(sign(docs, doc_id, text, size, similar), tidy=True)
     filled = signed.filter("n_shingles > 0")
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bits").alias("bits"))
-    classes = spill(classes.withColumn("node", F.coalesce("first_id", F.xxhash64("s1", "s2"))))
-    with Scratch(docs.sparkSession) as scratch:
+    classes = spill(classes.withColumn("node", F.coalesce("first_id", F.xxhash64("s1", "s2"))), tidy=True)
+    with Scratch(docs.sparkSession, tidy=True) as scratch:
         sets_of = lambda nodes: full_sets(docs, classes.join(nodes, "node", "left_semi"), doc_id, text, size)
         rows = meeting(signed, classes, sets_of, similar, scratch)
         buckets = scratch.spill(shared_buckets(rows))
-        rows = scratch.spill(skewed_join(rows, buckets, ["key"]).join(classes.select("node", F.col("n_shingles").alias("n"), "bits"), "node"))
-        edges = scratch.spill(_forests(rows, similar).distinct())
+        rows = scratch.spill(skewed_join(rows, buckets, ["key"]).join(classes.select("node", F.col("n_shingles").alias("n")), "node"))
+        rows = scratch.spill(tiled(rows, similar))
+        bits = classes.select("node", "bits")
+        edges = scratch.spill(_forests(rows, bits, similar).distinct())
         ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         links = scratch.spill(verified(edges, scratch.spill(sets_of(ends)), similar))
         comps = components(links, scratch)
-        more = scratch.spill(_cross_links(rows, comps, sets_of, similar, scratch))
+        more = scratch.spill(_cross_links(rows, bits, comps, sets_of, similar, scratch))
         if not more.isEmpty():
             comps = components(links.unionByName(more), scratch)
-        comps = spill(comps)
+        comps = spill(comps, tidy=True)
     return _result(signed, classes, comps).select("doc_id", "n_shingles", "component_id")
 
 
@@ -361,12 +365,12 @@ def _streamed(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*TILE, *columns).repartition(*TILE).sortWithinPartitions(*TILE)
 
 
-def _forests(rows: DataFrame, similar: int) -> DataFrame:
-    """u, v: the forest of each block of each tile, its bucket's first member in it."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+def _forests(rows: DataFrame, bits: DataFrame, similar: int) -> DataFrame:
+    """u, v: the forest of each block of each tile, the tile's first member in it."""
+    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
     placed = rows.withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    every = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("i"))  # the lead, in every block
-    placed = tiled(placed.withColumn("i", F.explode(every)).withColumn("j", F.lit(0)), similar)
+    every = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("i"))  # the head, in every block
+    placed = placed.join(bits, "node").withColumn("i", F.explode(every)).withColumn("j", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in by_tile(batches, TILE):
@@ -377,11 +381,11 @@ def _forests(rows: DataFrame, similar: int) -> DataFrame:
     return _streamed(placed, ["node", "n", "guest", "bits"]).mapInArrow(run, "u long, v long")
 
 
-def _cross_links(rows: DataFrame, comps: DataFrame, sets_of, similar: int, scratch: Scratch) -> DataFrame:
-    """Links between different components of a bucket: members outside the first member's component ask all others."""
-    now = tiled(rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), similar)
-    tiles = now.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min_by("comp", "node").alias("main"), F.count(F.lit(1)).alias("all"), F.min("guest").alias("g"))
-    tiles = scratch.spill(tiles.filter("a < b and g = 0").select("key", "band", "main", "all"))
+def _cross_links(rows: DataFrame, bits: DataFrame, comps: DataFrame, sets_of, similar: int, scratch: Scratch) -> DataFrame:
+    """Links between different components of a tile: members outside the first member's component ask all others."""
+    now = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("all", "head")
+    tiles = now.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min_by("comp", "node").alias("main"), F.count(F.lit(1)).alias("all"))
+    tiles = scratch.spill(tiles.filter("a < b").select("key", "band", "main", "all"))
     held = scratch.spill(skewed_join(now, tiles, ["key", "band"]))
     blocks = F.ceil(F.col("all") / BLOCK).cast("int")
     at = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
@@ -396,7 +400,7 @@ def _cross_links(rows: DataFrame, comps: DataFrame, sets_of, similar: int, scrat
                 yield from tile.select([*TILE, "node", "comp", "asks"]).take(pa.array(found, pa.int64())).combine_chunks().to_batches()
 
     left = "key long, band int, i int, j int, node long, comp long, asks int"
-    members = scratch.spill(_streamed(asks.unionByName(gives), ["node", "n", "guest", "comp", "asks", "bits"]).mapInArrow(run, left))
+    members = scratch.spill(_streamed(asks.unionByName(gives).join(bits, "node"), ["node", "n", "guest", "comp", "asks", "bits"]).mapInArrow(run, left))
     sets = scratch.spill(sets_of(members.select("node").distinct()))
 
     def link(tile: pa.Table) -> pa.Table:

@@ -92,3 +92,20 @@ n AS (SELECT w, max(n) AS n FROM cut GROUP BY w)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_tokens, 0) AS n_tokens
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_words, sum(n)::BIGINT AS n_tokens FROM w JOIN n USING (w) GROUP BY doc_id) USING (doc_id)
 """
+
+#: Every phrase counted, cuts by joins, hidden phrases by the phrases one word longer; numbers of up to 128 bits.
+OP13_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+said AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM w, unnest([1, 2, 3, 4, 5]) AS x(m), unnest(range(1, len(w) - m + 2)) AS y(i)),
+f AS (SELECT lang, m, s, count(*) AS f FROM said GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM said WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(s, ' ') AS w FROM f WHERE m > 1),
+hidden AS (SELECT DISTINCT lang, f, unnest([array_to_string(w[:m - 1], ' '), array_to_string(w[2:], ' ')]) AS s FROM c WHERE m > 2),
+cuts AS (SELECT lang, s, f AS a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c ANTI JOIN hidden USING (lang, f, s), unnest(range(1, m)) AS t(k)),
+scored AS (
+  SELECT cuts.lang, cuts.s AS phrase, a, l.f AS l, r.f AS r, n, k, (1000::HUGEINT * a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.s = x JOIN f r ON r.lang = cuts.lang AND r.s = y JOIN n ON n.lang = cuts.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM least QUALIFY rank <= 2000
+"""
