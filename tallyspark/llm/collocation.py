@@ -7,11 +7,13 @@ the cut that scores lowest (ties: the first). Candidates that lie in a longer on
 
 1. Words are counted, per task before any shuffle. Only words of LEAST occurrences can be part of a candidate.
 2. Each occurrence of such a word is the pointer of a projection: the frequent words that follow it in its piece, four
-   at most. A task sorts its pointers, adds equal ones up and gives one row per first word, the prefix, to the shuffle.
+   at most. A task sorts its pointers, adds equal ones up and gives them to the shuffle by their first word, the prefix;
+   pointers of many prefixes travel in one compressed row.
 3. A prefix is one task's work, which sorts its pointers once; the pointers that share a longer prefix are then a
    stretch of them, and the phrase is grown to the right depth-first, stretch within stretch, as long as its count
-   allows. A prefix of over HOT pointers is dealt out anew by its next word, again and again, so that no task holds a
-   frequent word's whole projection. (Beyond four words only the last word differs, one pointer each.)
+   allows. Where a task's prefixes would have over HOT pointers, these are dealt out anew by two words, then by three and
+   four, so that no task holds a frequent word's whole projection; what several tasks count of one phrase is added up.
+   (Pointers of the same four words differ in the last one only: as many as there are words.)
 4. Counts of parts, longer phrases of equal count and words' names are equi-joins; scores are exact decimals. A
    language's best are found by rank first, and only those get their words' names.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, joined, slices, span_hash, spill, utf8
+from .common import Scratch, bounded, joined, mix, slices, span_hash, spill, utf8
 
 LEAST = 100
 LONGEST = 5
@@ -45,8 +47,10 @@ PIECE = b".,;:!?\n\x0b\x0c\r"
 DICTIONARY = 4_000_000
 #: Pointers that a task sorts before it gives them to the shuffle, and distinct words that it counts.
 HELD = 1_000_000
-#: Pointers of a prefix that one task should have.
-HOT = 2_000_000
+#: Pointers that one task's prefixes should have, and more than which are dealt out anew.
+DEALT, HOT = 1_000_000, 3_000_000
+#: Hot parts whose list may be broadcast; a longer one is joined by its key.
+LISTED = 100_000
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,28 +144,36 @@ def added_up(rows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[:, at], np.add.reduceat(weight[order], at) if len(at) else weight
 
 
-POINTERS = "lang string, prefix array<long>, n long, total long, rows binary"
+POINTERS = "lang string, level int, part long, n long, rows binary"
 
 
-def packed(lang: str, prefix: list[int], rows: np.ndarray, weight: np.ndarray, narrow: bool) -> dict:
-    kind = np.int32 if narrow else np.int64
-    return {"lang": lang, "prefix": prefix, "n": len(weight), "total": int(weight.sum()), "rows": rows.astype(kind).tobytes() + weight.astype(np.int64).tobytes()}
+def packed(lang: str, level: int, part: int, rows: np.ndarray, weight: np.ndarray, narrow: bool) -> dict:
+    blob = rows.astype(np.int32 if narrow else np.int64).tobytes() + weight.astype(np.int64).tobytes()
+    return {"lang": lang, "level": level, "part": part, "n": len(weight), "rows": pa.compress(blob, codec="zstd", asbytes=True)}
 
 
-def unpacked(row: bytes, n: int, depth: int, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.frombuffer(row[: len(row) - 8 * n], np.int32 if narrow else np.int64).reshape(LONGEST - depth, n).astype(np.int64)
-    return rows, np.frombuffer(row[len(row) - 8 * n :], np.int64)
+def unpacked(blob: bytes, n: int, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.dtype(np.int32 if narrow else np.int64)
+    raw = pa.decompress(blob, n * (LONGEST * kind.itemsize + 8), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, kind, LONGEST * n).reshape(LONGEST, n), np.frombuffer(raw, np.int64, n, LONGEST * n * kind.itemsize)
 
 
-def by_next(lang: str, prefix: list[int], rows: np.ndarray, weight: np.ndarray, narrow: bool) -> Iterator[dict]:
-    """A row for each next word of sorted pointers."""
-    cut = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
-    for p, q in zip(cut.tolist(), [*cut[1:].tolist(), rows.shape[1]], strict=True):
-        if rows[0, p] != -1:
-            yield packed(lang, [*prefix, int(rows[0, p])], rows[1:, p:q], weight[p:q], narrow)
+def deal(lang: str, level: int, parent: int, parts: int, rows: np.ndarray, weight: np.ndarray, narrow: bool) -> Iterator[dict]:
+    """Sorted pointers by their first words, level of them, in so many parts; a prefix's pointers stay sorted."""
+    if not rows.shape[1]:
+        return
+    h = np.full(rows.shape[1], parent, np.uint64)
+    for c in rows[:level]:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64))
+    part = (h % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+    for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+        at = order[p:q]
+        yield packed(lang, level, (parent * 1_000_003 + int(part[at[0]])) % (1 << 62), rows[:, at], weight[at], narrow)
 
 
-def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 5000) -> Iterator[pa.RecordBatch]:
+def batched(rows: Iterator[dict], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
     held = []
     for r in rows:
         held.append(r)
@@ -173,22 +185,20 @@ def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 5000) -> Iterat
 
 
 def _schema() -> pa.Schema:
-    return pa.schema({"lang": pa.string(), "prefix": pa.list_(pa.int64()), "n": pa.int64(), "total": pa.int64(), "rows": pa.binary()})
+    return pa.schema({"lang": pa.string(), "level": pa.int32(), "part": pa.int64(), "n": pa.int64(), "rows": pa.binary()})
 
 
-def project(docs: DataFrame, text: str, numbers) -> DataFrame:
-    """POINTERS: each first word's projection, a row per task that has it. numbers: the broadcast list, or None."""
+def project(docs: DataFrame, text: str, numbers, parts: int) -> DataFrame:
+    """POINTERS by first words, a row per part and task. numbers: the broadcast list, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         size = 0
 
         def flush() -> Iterator[dict]:
-            for lang, parts in held.items():
-                rows = np.concatenate(parts, axis=1)
-                rows, weight = added_up(rows, np.ones(rows.shape[1], np.int64))
-                if rows.shape[1]:
-                    yield from by_next(lang, [], rows, weight, numbers is not None)
+            for lang, found in held.items():
+                rows = np.concatenate(found, axis=1)
+                yield from deal(lang, 1, 0, parts, *added_up(rows, np.ones(rows.shape[1], np.int64)), numbers is not None)
 
         for batch in batches:
             for lang, texts in by_language(batch, text):
@@ -202,62 +212,59 @@ def project(docs: DataFrame, text: str, numbers) -> DataFrame:
                 held.setdefault(lang, []).append(found)
                 size += found.shape[1]
             if size > HELD:
-                yield from batched(flush(), _schema())
+                yield from batched(flush(), _schema(), 100)
                 held.clear()
                 size = 0
-        yield from batched(flush(), _schema())
+        yield from batched(flush(), _schema(), 100)
 
     return docs.select("lang", text).mapInArrow(run, POINTERS)
 
 
-def grow(rows: np.ndarray, weight: np.ndarray, prefix: tuple[int, ...], least: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """The frequent phrases that begin with the prefix and are longer, depth-first, from its sorted pointers."""
+def grow(rows: np.ndarray, weight: np.ndarray, prefix: tuple[int, ...], least: int, level: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """The frequent phrases that begin with the prefix and are longer, depth-first, from its sorted pointers. Of phrases
+    shorter than level other tasks have pointers too, so that any count of them may grow."""
     at = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
     sums = np.add.reduceat(weight, at)
     ends = np.append(at[1:], rows.shape[1])
-    for i in np.flatnonzero((sums >= least) & (rows[0, at] != -1)).tolist():
+    wanted = rows[0, at] != -1
+    if len(prefix) + 1 >= level:
+        wanted &= sums >= least
+    for i in np.flatnonzero(wanted).tolist():
         phrase = (*prefix, int(rows[0, at[i]]))
-        yield phrase, int(sums[i])
+        if prefix:
+            yield phrase, int(sums[i])
         if len(rows) > 1:
-            yield from grow(rows[1:, at[i] : ends[i]], weight[at[i] : ends[i]], phrase, least)
+            yield from grow(rows[1:, at[i] : ends[i]], weight[at[i] : ends[i]], phrase, least, level)
 
 
 def mine(pointers: DataFrame, numbers, least: int) -> DataFrame:
-    """lang, phrase (words' hashes), f of all frequent phrases that a task's prefixes begin."""
+    """lang, phrase (words' hashes), f of the frequent phrases of two words and more."""
     narrow = numbers is not None
 
     def phrases(held: list[pa.RecordBatch]) -> Iterator[dict]:
         rows = pa.Table.from_batches(held)
         groups: dict[tuple, list[int]] = {}
-        for i, k in enumerate(zip(rows.column("lang").to_pylist(), map(tuple, rows.column("prefix").to_pylist()), strict=True)):
+        for i, k in enumerate(zip(rows.column("lang").to_pylist(), rows.column("level").to_pylist(), strict=True)):
             groups.setdefault(k, []).append(i)
         n, blob = rows.column("n").to_pylist(), rows.column("rows")
-        for (lang, prefix), at in groups.items():
-            depth, f = len(prefix), int(rows.column("total").take(pa.array(at)).to_numpy().sum())
-            if f < least:
-                continue
+        for (lang, level), at in groups.items():
             name = numbers.value[lang] if narrow else None
-            told = lambda p: [int(name[x]) for x in p] if narrow else list(p)  # noqa: E731, B023
-            if depth > 1:
-                yield {"lang": lang, "phrase": told(prefix), "f": f}
-            if depth < LONGEST:
-                parts = [unpacked(blob[i].as_py(), n[i], depth, narrow) for i in at]
-                one = added_up(np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]))
-                for phrase, count in grow(*one, prefix, least):
-                    yield {"lang": lang, "phrase": told(phrase), "f": count}
+            found = [unpacked(blob[i].as_py(), n[i], narrow) for i in at]
+            whole = added_up(np.concatenate([p[0] for p in found], axis=1), np.concatenate([p[1] for p in found]))
+            for phrase, f in grow(*whole, (), least, level):
+                yield {"lang": lang, "phrase": [int(name[x]) for x in phrase] if narrow else list(phrase), "f": f, "whole": len(phrase) >= level}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema({"lang": pa.string(), "phrase": pa.list_(pa.int64()), "f": pa.int64()})
+        schema = pa.schema({"lang": pa.string(), "phrase": pa.list_(pa.int64()), "f": pa.int64(), "whole": pa.bool_()})
 
         def every() -> Iterator[dict]:
             held: list[pa.RecordBatch] = []
             last = None
-            for batch in batches:  # sorted, so that a prefix's rows follow each other
+            for batch in batches:  # sorted, so that a part's rows follow each other
                 k = batch.column("k").to_numpy()
-                cuts = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)).tolist()
                 at = 0
-                for cut in cuts:
-                    if last is not None and k[at] != last and held:
+                for cut in [*(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]:
+                    if held and k[at] != last:
                         yield from phrases(held)
                         held = []
                     held.append(batch.slice(at, cut - at))
@@ -267,46 +274,46 @@ def mine(pointers: DataFrame, numbers, least: int) -> DataFrame:
 
         yield from batched(every(), schema, 20_000)
 
-    keyed = pointers.withColumn("k", F.xxhash64("lang", "prefix"))
-    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "lang string, phrase array<long>, f long")
+    keyed = pointers.withColumn("k", F.xxhash64("lang", "level", "part"))
+    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "lang string, phrase array<long>, f long, whole boolean")
 
 
 def frequent_phrases(docs: DataFrame, words: DataFrame, text: str, least: int, scratch: Scratch) -> DataFrame:
     """lang, phrase (words' hashes), f of all phrases of two words and more."""
     spark, numbers = docs.sparkSession, None
-    if words.count() <= DICTIONARY:
+    count, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count <= DICTIONARY:
         table = words.select("lang", "h").toArrow()
         lang, h = table.column("lang").combine_chunks().dictionary_encode(), table.column("h").to_numpy()
         code = lang.indices.to_numpy()
         numbers = spark.sparkContext.broadcast({name: np.sort(h[code == i]) for i, name in enumerate(lang.dictionary.to_pylist())})
     narrow = numbers is not None
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[dict]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    yield from by_next(r["lang"], r["prefix"], *unpacked(r["rows"], r["n"], len(r["prefix"]), narrow), narrow)
+                    yield from deal(r["lang"], r["level"] + 1, r["part"], -(-r["size"] // DEALT), *unpacked(r["rows"], r["n"], narrow), narrow)
 
-        yield from batched(every(), _schema())
+        yield from batched(every(), _schema(), 100)
 
-    pointers, found = scratch.spill(project(docs, text, numbers)), []
-    for depth in range(1, LONGEST):
-        sizes = pointers.groupBy("lang", "prefix").agg(F.sum("n").alias("size"), F.sum("total").alias("f"))
-        hot = scratch.spill(sizes.filter(F.col("size") > HOT))
-        if hot.isEmpty():
+    key = ["lang", "level", "part"]
+    pointers, found = scratch.spill(project(docs, text, numbers, max(1, total // DEALT))), []
+    for _ in range(1, LONGEST - 1):
+        hot = scratch.spill(pointers.groupBy(key).agg(F.sum("n").alias("size")).filter(F.col("size") > HOT))
+        size = hot.count()
+        if not size:
             break
-        keys = hot.select("lang", "prefix")
-        if depth > 1:
-            code = F.udf(lambda lang, p: [int(numbers.value[lang][x]) for x in p], "array<long>") if narrow else lambda _, p: F.col(p)  # a row per hot prefix
-            found.append(hot.filter(F.col("f") >= least).select("lang", code("lang", "prefix").alias("phrase"), "f"))
-        found.append(mine(pointers.join(keys, ["lang", "prefix"], "left_anti"), numbers, least))
-        # the two sides straight from shuffles, so that adaptive execution splits a hot prefix's rows
-        pointers = scratch.spill(pointers.join(keys.hint("merge"), ["lang", "prefix"]).select("lang", "prefix", "n", "total", "rows").mapInArrow(deal, POINTERS))
+        side = F.broadcast if size <= LISTED else lambda df: df.hint("merge")
+        found.append(mine(pointers.join(side(hot.select(key)), key, "left_anti"), numbers, least))
+        pointers = scratch.spill(pointers.join(side(hot), key).mapInArrow(again, POINTERS))
     found.append(mine(pointers, numbers, least))
-    out = found[0]
+    every = found[0]
     for more in found[1:]:
-        out = out.unionByName(more)
-    return scratch.spill(out)
+        every = every.unionByName(more)
+    every = scratch.spill(every)
+    shared = every.filter("not whole").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return every.filter("whole").drop("whole").unionByName(shared)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, best: int = BEST) -> DataFrame:

@@ -17,8 +17,9 @@ linked if 100 * intersection >= SIMILAR * union. The join is exact: no pair is l
    set in one bitmap only bound the overlap from above: each is at least one hash that the other set lacks. Pairs that
    could pass are joined to a forest, each block's and its tile's first member's; only its edges leave the tile, and
    are verified on the full sets. That is linear in a bucket, however large.
-4. Tiles that then still hold several components are gone through block against block. Only members with a pair of
-   different components that could pass get their full sets, and a local union-find skips what is already joined.
+4. Tiles that then still hold several components are gone through block against block. The pairs of different
+   components that could still pass are few, and are verified; where a tile has over FEW a member, its members get their
+   full sets instead, and a local union-find skips what is already joined.
 5. Components come from alternating large-star and small-star rounds over the verified links.
 
 Cases: null and empty texts and texts without words have an empty set and are linked with nothing. Very long texts are
@@ -46,8 +47,10 @@ SIMILAR = 80
 COMMON = 512
 #: Members of one block of a tile.
 BLOCK = 1024
-#: Bits of the narrowest and widest bitmap; between them at least the set's size, a power of two.
+#: Bits of the narrowest and widest bitmap; between them at least twice the set's size, a power of two.
 NARROW, WIDE = 128, 1 << 17
+#: Pairs a member that may leave a tile of several components for a check elsewhere; more are checked within.
+FEW = 4
 #: Bits of the bitmaps that rows are sifted by before a shuffle; they may let too many pass, never too few.
 SIEVE = 1 << 26
 #: Lowest hashes that are kept beside the prefix, to choose it again from; where they don't do, the text is read again.
@@ -61,7 +64,7 @@ def prefix_size(n: np.ndarray | int, similar: int):
 
 
 def width(n: int) -> int:
-    return min(WIDE, max(NARROW, 1 << n.bit_length()))
+    return min(WIDE, max(NARROW, 1 << (2 * n - 1).bit_length()))
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -125,29 +128,42 @@ def passes(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (whole[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """node, shingles of the classes, from the text of one document each; only texts that may be theirs are shuffled."""
+def texts_of(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """node, sum, text of the classes' first documents; only texts that may be theirs are shuffled, and of rows that
+    repeat one a task."""
     row = lambda c, th: F.xxhash64(c, th).alias("row")
     nodes = classes.select(row("rep.doc_id", "rep.th"), "node", F.col("s1").alias("sum"))
     wanted = sieve(nodes.select("row"))
     texts = docs.filter(F.col(text).isNotNull()).select(row(doc_id, F.xxhash64(text)), F.col(text).alias("text"))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            yield batch.filter(pa.array(passes(wanted.value, batch.column("row").to_numpy())))
+            rows = batch.column("row").to_numpy()
+            at = [i for i in np.flatnonzero(passes(wanted.value, rows)).tolist() if not (rows[i] in met or met.add(rows[i]))]
+            yield batch.take(pa.array(at, pa.int64()))
+
+    return skewed_join(texts.mapInArrow(sift, "row long, text string"), nodes, ["row"]).select("node", "sum", "text")
+
+
+def checked_sets(texts: list[bytes], sums: list[int], size: int) -> list[np.ndarray | None]:
+    """The sets of the texts; None where another text had the wanted one's row hash."""
+    return [s if int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == n else None for s, n in zip(shingle_sets(texts, size), sums, strict=True)]
+
+
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """node, shingles of texts_of()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # rows that repeat meet here; one of them is enough
+        done: set[int] = set()
         for whole in batches:
             fresh = [i for i, n in enumerate(whole.column("node").to_pylist()) if not (n in done or done.add(n))]
             for batch in slices(whole.take(pa.array(fresh, pa.int64())), "text"):
-                sets = shingle_sets(utf8(batch.column("text")), size)
-                sums = batch.column("sum").to_pylist()
-                yes = [i for i, s in enumerate(sets) if int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == sums[i]]
+                sets = checked_sets(utf8(batch.column("text")), batch.column("sum").to_pylist(), size)
+                yes = [i for i, s in enumerate(sets) if s is not None]
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(yes, pa.int64())), pa.array([sets[i].view(np.int64) for i in yes], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    found = skewed_join(texts.mapInArrow(sift, "row long, text string"), nodes, ["row"]).select("node", "sum", "text")
-    return found.mapInArrow(run, "node long, shingles array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
 def chosen(lowest: np.ndarray, n: int, late: np.ndarray | None, similar: int) -> np.ndarray | None:
@@ -276,16 +292,17 @@ def forest(tile: pa.Table, similar: int) -> list[tuple[int, int]]:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """u, v of the pairs whose full sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
+    """u, v of the pairs whose full sets are similar enough. Texts travel, as they are smaller than their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xu, xv = (lists(batch.column(c)) for c in ("xu", "xv"))
-            yes = pa.array([i for i in range(batch.num_rows) if linked(xu[i], xv[i], similar)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(yes) for c in ("u", "v")], names=["u", "v"])
+        for whole in batches:
+            for batch in slices(whole, "tu"):
+                xu, xv = (checked_sets(utf8(batch.column(f"t{c}")), batch.column(f"s{c}").to_pylist(), size) for c in "uv")
+                yes = pa.array([i for i in range(batch.num_rows) if xu[i] is not None and xv[i] is not None and linked(xu[i], xv[i], similar)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(yes) for c in ("u", "v")], names=["u", "v"])
 
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"x{n}"))
+    side = lambda n: texts.select(F.col("node").alias(n), F.col("sum").alias(f"s{n}"), F.col("text").alias(f"t{n}"))
     return pairs.join(side("v"), "v").join(side("u"), "u").mapInArrow(run, "u long, v long")
 
 
@@ -297,22 +314,25 @@ def lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def open_members(tile: pa.Table, similar: int) -> list[int]:
-    """The nodes of a tile that have a pair of different components that the bitmaps allow: asks meet gives."""
+def open_pairs(tile: pa.Table, similar: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """What a tile has left of different components that the bitmaps allow to be linked, asks against gives: the pairs
+    of nodes, or, where they are many, the members that have any."""
     asks = tile.column("asks").to_numpy()
     mine, rest = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
     if not len(mine) or not len(rest):
-        return []
+        return [], []
     nodes, size, comp, guest = (tile.column(c).to_numpy() for c in ("node", "n", "comp", "guest"))
     bits = folded(tile.column("bits").to_pylist())
-    found = set()
+    pairs, members = [], set()
     for i in mine.tolist():
         others = rest[(comp[rest] != comp[i]) & ((guest[rest] == 0) | (guest[i] == 0))]
         others = others[100 * np.minimum(size[others], size[i]) >= similar * np.maximum(size[others], size[i])]
         if len(others) and len(others := may_link(bits, size, i, others, similar)):
-            found.add(i)
-            found.update(others.tolist())
-    return sorted(found)
+            members.add(i)
+            members.update(others.tolist())
+            if len(pairs) <= FEW * len(asks):
+                pairs += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in others.tolist()]
+    return (pairs, []) if len(pairs) <= FEW * len(asks) else ([], sorted(members))
 
 
 def exact_links(tile: pa.Table, similar: int) -> list[tuple[int, int]]:
@@ -340,17 +360,18 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bits").alias("bits"))
     classes = spill(classes.withColumn("node", F.coalesce("first_id", F.xxhash64("s1", "s2"))), tidy=True)
     with Scratch(docs.sparkSession, tidy=True) as scratch:
-        sets_of = lambda nodes: full_sets(docs, classes.join(nodes, "node", "left_semi"), doc_id, text, size)
+        texts_for = lambda nodes: texts_of(docs, classes.join(nodes, "node", "left_semi"), doc_id, text)
+        sets_of = lambda nodes: full_sets(texts_for(nodes), size)
+        ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        checked = lambda pairs: verified(pairs, texts_for(ends(pairs)), size, similar)
         rows = meeting(signed, classes, sets_of, similar, scratch)
         buckets = scratch.spill(shared_buckets(rows))
         rows = scratch.spill(skewed_join(rows, buckets, ["key"]).join(classes.select("node", F.col("n_shingles").alias("n")), "node"))
         rows = scratch.spill(tiled(rows, similar))
         bits = classes.select("node", "bits")
-        edges = scratch.spill(_forests(rows, bits, similar).distinct())
-        ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        links = scratch.spill(verified(edges, scratch.spill(sets_of(ends)), similar))
+        links = scratch.spill(checked(scratch.spill(_forests(rows, bits, similar).distinct())))
         comps = components(links, scratch)
-        more = scratch.spill(_cross_links(rows, bits, comps, sets_of, similar, scratch))
+        more = scratch.spill(_cross_links(rows, bits, comps, checked, sets_of, similar, scratch))
         if not more.isEmpty():
             comps = components(links.unionByName(more), scratch)
         comps = spill(comps, tidy=True)
@@ -381,7 +402,7 @@ def _forests(rows: DataFrame, bits: DataFrame, similar: int) -> DataFrame:
     return _streamed(placed, ["node", "n", "guest", "bits"]).mapInArrow(run, "u long, v long")
 
 
-def _cross_links(rows: DataFrame, bits: DataFrame, comps: DataFrame, sets_of, similar: int, scratch: Scratch) -> DataFrame:
+def _cross_links(rows: DataFrame, bits: DataFrame, comps: DataFrame, checked, sets_of, similar: int, scratch: Scratch) -> DataFrame:
     """Links between different components of a tile: members outside the first member's component ask all others."""
     now = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("all", "head")
     tiles = now.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min_by("comp", "node").alias("main"), F.count(F.lit(1)).alias("all"))
@@ -394,20 +415,33 @@ def _cross_links(rows: DataFrame, bits: DataFrame, comps: DataFrame, sets_of, si
     gives = held.withColumn("j", at(2)).withColumn("i", F.explode(span)).withColumn("asks", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema({"key": pa.int64(), "band": pa.int32(), "i": pa.int32(), "j": pa.int32(), "node": pa.int64(), "comp": pa.int64(), "asks": pa.int32(), "u": pa.int64(), "v": pa.int64()})
+        seen: set[tuple[int, int]] = set()  # of this task's tiles
         for tile in by_tile(batches, TILE):
-            found = open_members(tile, similar)
-            if found:
-                yield from tile.select([*TILE, "node", "comp", "asks"]).take(pa.array(found, pa.int64())).combine_chunks().to_batches()
-
-    left = "key long, band int, i int, j int, node long, comp long, asks int"
-    members = scratch.spill(_streamed(asks.unionByName(gives).join(bits, "node"), ["node", "n", "guest", "comp", "asks", "bits"]).mapInArrow(run, left))
+            pairs, members = open_pairs(tile, similar)
+            fresh = [p for p in pairs if not (p in seen or seen.add(p))]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if fresh:
+                yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in fresh], schema=schema)
+            if members:
+                left = tile.select([*TILE, "node", "comp", "asks"]).take(pa.array(members, pa.int64())).combine_chunks()
+                left = left.append_column("u", pa.nulls(len(members), pa.int64())).append_column("v", pa.nulls(len(members), pa.int64()))
+                yield from left.cast(schema).to_batches()
+
+    left = "key long, band int, i int, j int, node long, comp long, asks int, u long, v long"
+    found = scratch.spill(_streamed(asks.unionByName(gives).join(bits, "node"), ["node", "n", "guest", "comp", "asks", "bits"]).mapInArrow(run, left))
+    few = checked(scratch.spill(found.filter("u is not null").select("u", "v").distinct()))
+    members = found.filter("u is null").drop("u", "v")
+    if members.isEmpty():
+        return few
     sets = scratch.spill(sets_of(members.select("node").distinct()))
 
     def link(tile: pa.Table) -> pa.Table:
         found = exact_links(tile, similar)
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
-    return members.join(sets, "node").groupBy(*TILE).applyInArrow(link, "u long, v long")
+    return few.unionByName(members.join(sets, "node").groupBy(*TILE).applyInArrow(link, "u long, v long"))
 
 
 def op12_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def made(spark, rows):
     return spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], SCHEMA)
 
 
-@pytest.mark.parametrize("limits", [{}, {"HOT": 8}, {"DICTIONARY": 0}, {"HOT": 3, "DICTIONARY": 0, "HELD": 50}])
+@pytest.mark.parametrize("limits", [{}, {"HOT": 8, "DEALT": 5}, {"DICTIONARY": 0}, {"HOT": 3, "DEALT": 2, "DICTIONARY": 0, "HELD": 50, "LISTED": 0}])
 def test_equals_plain_counting(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(collocation, name, value)
@@ -86,7 +86,8 @@ def test_pointers_and_growth():
     assert windows(ids, piece).T.tolist() == [[3, 4, -1, -1, -1], [3, 4, 3, -1, -1], [4, 3, -1, -1, -1]]
     rows, weight = added_up(np.array([[2, 1, 2, 2], [-1, 5, -1, 7]]), np.array([1, 2, 3, 4]))
     assert rows.T.tolist() == [[1, 5], [2, -1], [2, 7]] and weight.tolist() == [2, 4, 4]
-    assert list(grow(rows, weight, (9,), 4)) == [((9, 2), 8), ((9, 2, 7), 4)]
+    assert list(grow(rows, weight, (9,), 4, 1)) == [((9, 2), 8), ((9, 2, 7), 4)]
+    assert list(grow(rows, weight, (9,), 4, 3)) == [((9, 1), 2), ((9, 2), 8), ((9, 2, 7), 4)]
 
 
 def test_very_long_text_empty_table_and_clashing_columns(spark, tmp_path):

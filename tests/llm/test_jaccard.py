@@ -43,12 +43,13 @@ def family(seed):
     return [base, near(base, 1, seed + 1), near(base, 3, seed + 2), near(base, 6, seed + 3), near(near(base, 2, seed + 4), 2, seed + 5)]
 
 
-@pytest.mark.parametrize("common, block", [(512, 1024), (3, 1024), (3, 4), (512, 3)])
-def test_equals_all_pairs(spark, monkeypatch, common, block):
+@pytest.mark.parametrize("common, block, few", [(512, 1024, 4), (3, 4, 4), (512, 3, 0)])
+def test_equals_all_pairs(spark, monkeypatch, common, block, few):
     """Families of near copies, one passage in many unlike texts, copies; also with every limit so small that common
     hashes are put last and tiles are cut into blocks."""
     monkeypatch.setattr(jaccard, "COMMON", common)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FEW", few)
     passage = prose(60, 999)
     texts = [t for s in range(0, 60, 10) for t in family(s)]
     texts += [f"{prose(30, 200 + i)} {passage} {prose(25, 300 + i)}" for i in range(14)] + [passage] * 3 + [near(passage, 1, 7)]
