@@ -44,13 +44,13 @@ from .minhash import _result, components, linked, shingle_sets
 SHINGLE = 5
 SIMILAR = 80
 #: Documents that may share a prefix hash before it counts as common.
-COMMON = 512
+COMMON = 64
 #: Members of one block of a tile.
 BLOCK = 1024
 #: Bits of the narrowest and widest bitmap; between them at least twice the set's size, a power of two.
 NARROW, WIDE = 128, 1 << 17
 #: Pairs a member that may leave a tile of several components for a check elsewhere; more are checked within.
-FEW = 4
+FEW = 1
 #: Bits of the bitmaps that rows are sifted by before a shuffle; they may let too many pass, never too few.
 SIEVE = 1 << 26
 #: Lowest hashes that are kept beside the prefix, to choose it again from; where they don't do, the text is read again.
