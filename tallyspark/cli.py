@@ -14,7 +14,7 @@ from .config import Settings
 from .operators.tokens import build_tokens
 from .plans.engine import StatementEngine
 from .sources.demo import demo_tokens
-from .sources.raw_ocr import lines_v2, lines_v3, read_pages
+from .sources.raw_ocr import lines_v2, lines_v3, page_files, read_pages, token_files
 from .sources.sinks import one, save_csv, save_json, summary, write_csv, write_json, write_overlay
 
 
@@ -49,14 +49,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     engine = StatementEngine(Settings(max_pages=args.max_pages, fuzzy=not args.no_fuzzy, repair=args.repair))
     if args.format == "tokens":
-        raw = spark.read.parquet(args.path)
+        raw = spark.read.parquet(args.path).withColumn("source_file", F.col("_metadata.file_path"))
+        files = token_files(raw)
     else:
-        raw = (lines_v3 if args.format == "v3" else lines_v2)(read_pages(spark, args.path, int(args.format[1])))
+        pages = read_pages(spark, args.path, int(args.format[1]))
+        raw, files = (lines_v3 if args.format == "v3" else lines_v2)(pages), page_files(pages)
     if args.verbose:
         logging.basicConfig(level=logging.INFO, format="%(levelname)s %(name)s: %(message)s")
     if args.doc_id is not None:
-        raw = raw.filter(F.col("doc_id") == args.doc_id)
-    rel = engine.relations(build_tokens(raw, engine.settings))
+        raw, files = (df.filter(F.col("doc_id") == args.doc_id) for df in (raw, files))
+    rel = engine.relations(build_tokens(raw, engine.settings), files, counted=args.verbose and bool(args.json) and args.doc_id is None)
     LOG.info("%s as %s, under %s", args.path, args.format, engine)
     if args.debug:
         write_overlay(rel, args.debug)
@@ -67,6 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 write(df, path)
                 if not args.quiet:
                     print(f"saved: {path}")
+        rel.log_counts()
         return 0
     result = one(rel.results, args.doc_id)
     if not args.quiet:

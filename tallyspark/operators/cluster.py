@@ -70,7 +70,7 @@ def density_blocks(df: DataFrame, keys: list[str], x: str, order: str, eps: floa
     starts = each.filter("_b = _at").groupBy(*keys, "_at").agg(F.sum("_new").alias("_s"))
     earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("_base", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
-    each = _same(each, starts, [*keys, "_at"])
+    each = same(each, starts, [*keys, "_at"])
     own = F.when(F.col("_core"), F.col("_base") + F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     each = each.withColumn("_c", own).withColumn("_p", F.when(F.col("_core"), F.struct(F.col(x).alias("x"), "_c")))
     each = each.withColumn("_l", F.last("_p", True).over(before)).withColumn("_r", F.first("_p", True).over(after)).filter("_b = _at")
@@ -80,12 +80,12 @@ def density_blocks(df: DataFrame, keys: list[str], x: str, order: str, eps: floa
     if min_samples > 2:  # else a point with a neighbour is a core point
         first = found.filter(F.col("_c").isNotNull()).groupBy(*keys, "_c").agg(F.min("_o").alias("_f"))
         torn = found.filter("_left != _right").select(*keys, x, F.explode(F.array("_left", "_right")).alias("_c"))
-        torn = _same(torn, first, [*keys, "_c"]).groupBy(*keys, x).agg(F.min(F.struct("_f", "_c")).alias("_m"))
+        torn = same(torn, first, [*keys, "_c"]).groupBy(*keys, x).agg(F.min(F.struct("_f", "_c")).alias("_m"))
         plain = plain.unionByName(torn.select(*keys, x, F.col("_m._c").alias(out)))
-    return _same(df.drop(out), plain.withColumn(out, F.col(out).cast("int")), [*keys, x])
+    return same(df.drop(out), plain.withColumn(out, F.col(out).cast("int")), [*keys, x])
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+def same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     """The rows of both with equal names; nulls are equal."""
     right = right.withColumnsRenamed({n: f"_r_{n}" for n in names})
     return left.join(right, reduce(and_, [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names])).drop(*[f"_r_{n}" for n in names])

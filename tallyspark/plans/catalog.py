@@ -343,6 +343,12 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validate.validate(statements.ledger(spark, sf_dir), S).select(*TXN), "confidence_score", to=6)
 
 
+@query("validate_by_page", f"SELECT {TXN_SQL} FROM checked")
+def validated_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a window over a document's rows, for documents of any length."""
+    return rounded(validate.validate(statements.ledger(spark, sf_dir), S, paged=True).select(*TXN), "confidence_score", to=6)
+
+
 @query("confidence_adjust", f"SELECT {ROWS_SQL}, round(c.confidence_score - l.confidence_score, 6) AS moved FROM checked c JOIN ledger l USING (doc_id, page_num, row_id)")
 def confidence_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = statements.ledger(spark, sf_dir).withColumn("raw_text", F.col("confidence_score").cast("string"))
@@ -391,6 +397,17 @@ def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "total_pages", _mapping().alias("column_mapping"), F.size("transactions").cast("long").alias("n_transactions"), F.size("extraction_warnings").cast("long").alias("n_warnings"))
 
 
+@query("document_results", f"""SELECT doc_id, 'pages-' || doc_id % 10 AS source_file, CAST(CASE WHEN doc_id % 13 = 6 THEN 0 WHEN doc_id % 7 = 5 THEN pages + 1 ELSE pages END AS INTEGER) AS total_pages,
+ CASE WHEN doc_id % 13 = 6 THEN 'OCR error: {raw_ocr.BROKEN}' WHEN doc_id % 7 = 3 OR doc_id % 11 = 4 THEN '{results.NO_ROWS}' ELSE coalesce(array_to_string(warnings, '; '), '') END AS warnings,
+ CASE WHEN doc_id % 13 = 6 OR doc_id % 7 = 3 OR doc_id % 11 = 4 THEN 0 ELSE n_transactions END AS n_transactions
+ FROM said JOIN (SELECT doc_id, max(page_num) + 1 AS pages FROM raw GROUP BY doc_id) USING (doc_id)""")
+def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document of a folder of JSON lines, some blank and some broken."""
+    pages = raw_ocr.parse_pages(statements.page_lines(spark, sf_dir))
+    found = StatementEngine(S).extract(raw_ocr.lines_v3(pages), raw_ocr.page_files(pages))
+    return found.select("doc_id", "source_file", "total_pages", F.array_join("extraction_warnings", "; ").alias("warnings"), F.size("transactions").cast("long").alias("n_transactions"))
+
+
 # overlay
 
 

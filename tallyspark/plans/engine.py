@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -16,6 +16,7 @@ from ..operators.rows import gathered, merged_tokens, parts, row_tokens
 from ..operators.tokens import build_tokens, page_limit
 from ..operators.transactions import reconstruct, routed
 from ..operators.validate import validate
+from ..sources.raw_ocr import token_files
 from ..sources.sinks import one, save_csv, save_json
 
 LOG = logging.getLogger("tallyspark")
@@ -34,6 +35,13 @@ class Relations:
     raw_transactions: DataFrame
     transactions: DataFrame
     results: DataFrame
+    #: Rows of the stages, counted by whatever job runs them first (see log_counts).
+    counts: dict[str, Observation] = field(default_factory=dict)
+
+    def log_counts(self) -> None:
+        """Logs the stages' rows after results were written, without a further job."""
+        for stage, seen in self.counts.items():
+            LOG.info("%s: %d", stage, seen.get["n"])
 
 
 class Statement:
@@ -59,25 +67,36 @@ class StatementEngine:
     def __init__(self, settings: Settings | None = None):
         self.settings = settings or Settings()
 
-    def relations(self, tokens: DataFrame, files: DataFrame | None = None) -> Relations:
+    def relations(self, tokens: DataFrame, files: DataFrame | None = None, counted: bool = False) -> Relations:
         """tokens: as build_tokens() gives them. files: doc_id, source_file, total_pages, error (null where it could be
-        read); without it, a document has the pages up to its last token and no file name."""
+        read; else nothing of the document is extracted), a result row each; without it, the documents that have tokens,
+        with the pages up to the last one and no file name. counted: the stages' rows are counted as jobs run them."""
         s = self.settings
+        counts: dict[str, Observation] = {}
+
+        def seen(stage: str, df: DataFrame) -> DataFrame:
+            if not counted:
+                return df
+            counts[stage] = Observation(stage)
+            return df.observe(counts[stage], F.count(F.lit(1)).alias("n"))
+
         if files is None:
-            files = tokens.groupBy("doc_id").agg(F.lit(None).cast("string").alias("source_file"), (F.max("page_num") + 1).alias("total_pages"), F.lit(None).cast("string").alias("error"))
-        tokens = page_limit(tokens, s).repartition("doc_id")  # the one deal of tokens: every window and group holds doc_id
+            files = token_files(tokens)
+        else:
+            tokens = tokens.join(files.filter("error is not null").select("doc_id"), "doc_id", "left_anti")
+        tokens = seen("tokens", page_limit(tokens, s).repartition("doc_id"))  # the one deal of tokens: every window and group holds doc_id
         placed = row_tokens(tokens, s)
-        rows = gathered(placed, s)
+        rows = seen("rows", gathered(placed, s))
         merged = merged_tokens(rows)
-        found = infer_roles(zones(merged, s), merged, s)
+        found = seen("zones", infer_roles(zones(merged, s), merged, s))
         to = routed(assign(merged, found, s))
         raw = reconstruct(to)
-        done = validate(raw, s)
-        return Relations(tokens, placed, parts(rows), merged, found, to, raw, done, results(files, merged, found, done))
+        done = seen("transactions", validate(raw, s))
+        return Relations(tokens, placed, parts(rows), merged, found, to, raw, done, results(files, merged, found, done), counts)
 
     def extract(self, raw: DataFrame, files: DataFrame | None = None) -> DataFrame:
-        """One row per document from recognised texts."""
-        return self.relations(build_tokens(raw, self.settings), files).results
+        """One row per document from recognised texts; without files, the documents that have any row in raw."""
+        return self.relations(build_tokens(raw, self.settings), token_files(raw) if files is None else files).results
 
     def extract_one(self, raw: DataFrame, doc_id: int, files: DataFrame | None = None) -> Statement:
         """The statement of one document."""

@@ -194,7 +194,9 @@ CTES: list[tuple[str, str]] = [
     ("numbers", f"SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY normalized_x, page_num, row_id, pos ROWS UNBOUNDED PRECEDING) AS label FROM (SELECT doc_id, page_num, row_id, pos, normalized_x, CASE WHEN normalized_x - lag(normalized_x) OVER (PARTITION BY doc_id ORDER BY normalized_x, page_num, row_id, pos) > {S.column_eps} THEN 1 ELSE 0 END AS new FROM merged WHERE NOT is_header AND (is_numeric OR is_date))"),
     ("zones", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY x_center, label) - 1 AS INTEGER) AS column_id, x_center, left_boundary, right_boundary, support, CAST(NULL AS VARCHAR) AS semantic_role FROM ("
         f"SELECT doc_id, label, median(normalized_x) AS x_center, greatest(0.0, min(normalized_x) - {S.boundary_padding}) AS left_boundary, least(1.0, max(normalized_x) + {S.boundary_padding}) AS right_boundary, count(*) AS support FROM numbers GROUP BY ALL HAVING count(*) >= {S.column_support})"),
-    ("headed", "SELECT m.doc_id, page_num, row_id, pos, text, normalized_x, column_id FROM merged m JOIN zones z ON m.doc_id = z.doc_id AND CASE WHEN normalized_x BETWEEN left_boundary AND right_boundary THEN true ELSE false END WHERE is_header"),  # as a plain range it might be joined by range instead of by doc_id
+    # a document's bands as one list, looked through after the join by doc_id: no range is left to join by
+    ("headed", "SELECT doc_id, page_num, row_id, pos, text, normalized_x, b.id AS column_id FROM (SELECT m.doc_id, page_num, row_id, pos, text, normalized_x, unnest(bands) AS b FROM merged m "
+        "JOIN (SELECT doc_id, list({'id': column_id, 'l': left_boundary, 'r': right_boundary}) AS bands FROM zones GROUP BY doc_id) z ON z.doc_id = m.doc_id WHERE is_header) WHERE normalized_x >= b.l AND normalized_x <= b.r"),
     ("zone_texts", "SELECT doc_id, column_id, trim(lower(string_agg(text, ' ' ORDER BY page_num, row_id, pos))) AS zone_text FROM headed GROUP BY ALL"),
     ("vocabulary", f"SELECT * FROM (VALUES {VOCABULARY}) AS v(role, priority, ord, keyword)"),
     ("simple", f"SELECT {ZONE.replace('semantic_role', '').replace('doc_id, column_id', 'z.doc_id, z.column_id')} w.role AS semantic_role FROM zones z LEFT JOIN (SELECT doc_id, column_id, arg_min(role, priority) AS role FROM zone_texts JOIN vocabulary ON contains(zone_text, keyword) GROUP BY ALL) w ON w.doc_id = z.doc_id AND w.column_id = z.column_id"),

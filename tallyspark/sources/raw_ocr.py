@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RAW_OCR_V2, RAW_OCR_V3
 
 
+BROKEN = "broken record"
+
+
 def read_pages(spark: SparkSession, path: str, version: int = 3) -> DataFrame:
-    """Pages kept as JSON lines; version 3: parallel arrays, version 2: an array of lines."""
-    return spark.read.schema(RAW_OCR_V3 if version == 3 else RAW_OCR_V2).json(path)
+    """Pages kept as JSON lines, with the file that each is from (see parse_pages)."""
+    return parse_pages(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file")), version)
+
+
+def parse_pages(lines: DataFrame, version: int = 3) -> DataFrame:
+    """Pages from JSON lines (value, source_file); version 3: parallel arrays, version 2: an array of lines. No line is
+    lost but an empty one: broken holds a line that is no page, whose document is the number after "doc_id" in it or,
+    where there is none, one of the file's own."""
+    schema = RAW_OCR_V3 if version == 3 else RAW_OCR_V2
+    read = F.from_json("value", f"{schema}, broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    each = lines.filter(F.trim("value") != "").select("value", "source_file", read.alias("p"))
+    page = F.when(F.col("p.broken").isNull() & F.col("p.doc_id").isNotNull() & F.col("p.page_num").isNotNull(), F.col("p"))
+    number = F.regexp_extract("value", r'"doc_id"\s*:\s*(-?\d{1,18})\b', 1)
+    doc_id = F.coalesce(page["doc_id"], F.when(number != "", number).cast("bigint"), F.xxhash64("source_file"))
+    names = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", schema)][1:]
+    return each.select(doc_id.alias("doc_id"), *[page[n].alias(n) for n in names], "source_file", F.when(page.isNull(), F.col("value")).alias("broken"))
+
+
+def page_files(pages: DataFrame) -> DataFrame:
+    """doc_id, source_file, total_pages, error: a row for every document that pages tell of, blank and broken ones too."""
+    error = F.max(F.when(F.col("broken").isNotNull(), F.lit(BROKEN)))
+    return pages.groupBy("doc_id").agg(F.min("source_file").alias("source_file"), (F.coalesce(F.max("page_num"), F.lit(-1)) + 1).alias("total_pages"), error.alias("error"))
+
+
+def token_files(raw: DataFrame) -> DataFrame:
+    """The same from raw token rows, before any of them is dropped: the pages go up to the last row's."""
+    name = F.min("source_file") if "source_file" in raw.columns else F.lit(None).cast("string")
+    return raw.groupBy("doc_id").agg(name.alias("source_file"), (F.max("page_num") + 1).alias("total_pages"), F.lit(None).cast("string").alias("error"))
 
 
 def poly_to_box(poly: Column) -> Column:
