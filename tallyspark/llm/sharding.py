@@ -15,7 +15,9 @@ the least source and language among them, so they are neighbours in every dimens
 whole up to GROUP of a shard's bytes, and only a larger group, which no balance could keep whole, is cut.
 
 Cases: a null text has no bytes (size 16); a null source or language is a value of its own. Repeated rows are kept,
-each with a slot of its own. An empty table gives an empty result. Further columns are ignored.
+each with a slot of its own; a row number tells them apart, so that a group of them can be cut like any other. A very
+long text is one row of its size, so a shard may exceed the target by it. Ties (equal keys) fall to either side of a
+cut. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,14 +91,15 @@ def points(docs: DataFrame, doc_id: str, text: str, source: str, lang: str) -> D
         F.crc32(whole.cast("binary")).alias("crc"),
         F.xxhash64(whole).alias("text"),
         *[F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(to) for c, to in ((source, "source"), (lang, "lang"))],
+        F.monotonically_increasing_id().alias("row"),  # tells rows apart that repeat; stored, so that it stays
     )
     return spill(rows)
 
 
 def grouped(pts: DataFrame) -> DataFrame:
-    """The points with rh, a hash of the row, and equal texts with the least source and language among them."""
+    """The points with rh, a hash of the row, of its own for each row that repeats, and equal texts with the least source and language among them."""
     own = F.struct("source", "lang")
-    pts = pts.withColumn("rh", F.shiftrightunsigned(F.xxhash64("doc_id", "text", "source", "lang"), 44))
+    pts = pts.withColumn("rh", F.shiftrightunsigned(F.xxhash64("doc_id", "text", "source", "lang", "row"), 44)).drop("row")
     groups = pts.groupBy("text").agg(F.min(own).alias("least"), F.max(own).alias("most")).filter("least != most").select("text", "least")
     joined = skewed_join(pts, spill(groups), ["text"], "left")
     return joined.withColumns({c: F.coalesce(f"least.{c}", c) for c in ("source", "lang")}).drop("least")

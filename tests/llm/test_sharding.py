@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm.sharding import KEYS, grouped, grow, keyed, leaves, op1_sharding, points, shard
 
@@ -82,3 +83,13 @@ def test_odd_tables(spark, texts, tmp_path):
 def test_clashing_columns(spark):
     docs = documents(spark, ["a", "b"]).selectExpr("*", "1 as size", "'x' as shard", "0 as slot", "9 as k0")
     assert len(check(shard(docs, 2).collect(), 2)) == 2
+
+
+def test_rows_that_repeat_are_cut_like_others(spark):
+    """4,000 equal rows use every shard; where they are two rows of five, bytes stay near equal."""
+    same = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    rows = shard(same).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert len(rows) == 40 and all(70 <= r["n"] <= 130 and r["slots"] == r["n"] == r["last"] + 1 for r in rows)
+    mixed = documents(spark, [prose(100, i) for i in range(600)]).select("doc_id", "text", "lang", "source").unionByName(same.limit(400).withColumn("text", F.lit(prose(100, 5))))
+    sizes = [r["b"] for r in shard(mixed).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 40 and max(sizes) < 1.35 * min(sizes)
