@@ -3,6 +3,7 @@ heading texts of a document's columns, never on tokens, and a worker scores a te
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -47,17 +48,25 @@ def partial_ratio(a: str, b: str) -> float:
     return _best(a, b) if len(a) < len(b) else _best(b, a)
 
 
+def most(a: str, b: str) -> float:
+    """What partial_ratio() can be at most, by the characters that both have: a window of no others would fit best."""
+    shared = (Counter(a) & Counter(b)).total()
+    return 200.0 * shared / (min(len(a), len(b)) + shared) if shared else 0.0
+
+
 @lru_cache(MEMO)
-def _scores(text: str, keywords: tuple[tuple[str, ...], ...]) -> list[float]:
-    return [max(partial_ratio(text, k) for k in words) for words in keywords]
+def _scores(text: str, keywords: tuple[tuple[str, ...], ...], least: float) -> list[float]:
+    return [max(partial_ratio(text, k) if most(text, k) >= least else 0.0 for k in words) for words in keywords]
 
 
-def role_scores(text: Column, vocabulary: dict[str, tuple[str, ...]], roles: tuple[str, ...]) -> Column:
-    """For each role the best score of its keywords against the text, as an array in the order of roles."""
+def role_scores(texts: Column, vocabulary: dict[str, tuple[str, ...]], roles: tuple[str, ...], least: float) -> Column:
+    """For each of a document's texts the best score of each role's keywords, as an array in the order of roles; null for
+    a null or empty text. A keyword that can't reach least counts as 0."""
     keywords = tuple(tuple(k.lower() for k in vocabulary[r]) for r in roles)
 
-    @F.pandas_udf("array<double>")
-    def scores(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _scores(t, keywords), na_action="ignore")
+    @F.pandas_udf("array<array<double>>")
+    def scores(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda held: [_scores(t, keywords, least) if t else None for t in held], na_action="ignore")
 
-    return scores(text)
+    # declared as not deterministic, so that no optimiser rule moves it into a lambda, where it couldn't be evaluated
+    return scores.asNondeterministic()(texts)

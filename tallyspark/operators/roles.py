@@ -1,14 +1,26 @@
-"""What a document's columns mean: by their headings, then by position."""
+"""What a document's columns mean: by their headings, then by position. A document's bands are few, so they are one array;
+every step of the inference is an expression over it, and none needs a window."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ROLE_PRIORITY, Settings
 from ..functions.fuzzy import role_scores
 
 
+def packed(found: DataFrame) -> DataFrame:
+    """doc_id, bands: a document's bands by number as one array of all their fields."""
+    fields = [c for c in found.columns if c not in ("doc_id", "column_id")]
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("column_id", *fields))).alias("bands"))
+
+
+def unpacked(docs: DataFrame) -> DataFrame:
+    """A row per band again."""
+    return docs.select("doc_id", F.inline("bands"))
+
+
 def heading_tokens(merged: DataFrame, found: DataFrame) -> DataFrame:
     """Heading tokens with each band that they stand in; bands may overlap, so a token may be in two."""
     heads = merged.filter("is_header").select("doc_id", "page_num", "row_id", "pos", "text", "normalized_x")
@@ -16,83 +28,109 @@ def heading_tokens(merged: DataFrame, found: DataFrame) -> DataFrame:
     return heads.join(bands, "doc_id").filter("normalized_x between left_boundary and right_boundary")
 
 
+def _headed(merged: DataFrame, found: DataFrame) -> DataFrame:
+    """packed(found) with zone_text in every band."""
+    each = F.array_sort(F.collect_list(F.struct("page_num", "row_id", "pos", "text", "normalized_x")))
+    heads = merged.filter("is_header").groupBy("doc_id").agg(each.alias("heads"))
+
+    def said(band: Column) -> Column:
+        inside = F.filter("heads", lambda h: (h["normalized_x"] >= band["left_boundary"]) & (h["normalized_x"] <= band["right_boundary"]))
+        joined = F.trim(F.lower(F.array_join(F.transform(inside, lambda h: h["text"]), " ")))
+        return band.withField("zone_text", F.when(F.size(inside) > 0, joined))
+
+    return packed(found).join(heads, "doc_id", "left").select("doc_id", F.transform("bands", said).alias("bands"))
+
+
 def zone_texts(merged: DataFrame, found: DataFrame) -> DataFrame:
     """found with zone_text: the headings of a band in reading order, in lower case; null without any."""
-    texts = F.array_sort(F.collect_list(F.struct("page_num", "row_id", "pos", "text")))
-    joined = F.trim(F.lower(F.array_join(F.transform(texts, lambda t: t["text"]), " ")))
-    said = heading_tokens(merged, found).groupBy("doc_id", "column_id").agg(joined.alias("zone_text"))
-    return found.join(said, ["doc_id", "column_id"], "left")
+    return unpacked(_headed(merged, found))
+
+
+def _with_roles(docs: DataFrame, role) -> DataFrame:
+    """docs with the bands' roles as role(band) says, without their zone_text."""
+    return docs.select("doc_id", F.transform("bands", lambda b: b.dropFields("semantic_role", "zone_text").withField("semantic_role", role(b))).alias("bands"))
+
+
+def _fuzzy(docs: DataFrame, settings: Settings) -> DataFrame:
+    scored = docs.withColumn("_s", role_scores(F.transform("bands", lambda b: b["zone_text"]), settings.vocabulary, ROLE_PRIORITY, settings.fuzzy_threshold))
+    both = F.zip_with("bands", "_s", lambda b, s: F.struct(b["column_id"].alias("id"), s.alias("s")))
+
+    def winner(i: int) -> Column:
+        """The band with the best score for a role, its number negated so that the lesser one of equals is greater."""
+        able = F.filter("_both", lambda z: F.get(z["s"], F.lit(i)) >= settings.fuzzy_threshold)
+        return F.array_max(F.transform(able, lambda z: F.struct(F.get(z["s"], F.lit(i)).alias("score"), (-z["id"]).alias("id"))))["id"]
+
+    # no lambda may hold the scores themselves: Python functions aren't evaluated within one
+    won = scored.withColumn("_both", both).withColumn("_won", F.array(*[winner(i) for i in range(len(ROLE_PRIORITY))]))
+    names = F.array(*[F.lit(r) for r in ROLE_PRIORITY])
+    return _with_roles(won, lambda b: F.get(names, (F.array_position("_won", -b["column_id"]) - 1).cast("int")))
+
+
+def _simple(docs: DataFrame, settings: Settings) -> DataFrame:
+    def role(band: Column) -> Column:
+        hit = F.lit(None).cast("string")
+        for name in reversed(ROLE_PRIORITY):
+            inside = F.lit(False)
+            for k in settings.vocabulary[name]:
+                inside = inside | band["zone_text"].contains(k.lower())
+            hit = F.when(inside, name).otherwise(hit)
+        return hit
+
+    return _with_roles(docs, role)
+
+
+def _positional(docs: DataFrame, settings: Settings) -> DataFrame:
+    """One fold over the roles that position can give: each, if missing, goes to the free band that is first by its key,
+    if that key is below the role's limit."""
+    places = [("date", "left", settings.date_before), ("balance", "right", float("inf")), ("narration", "wide", -settings.narration_wider), ("debit", "right", float("inf")), ("credit", "right", float("inf"))]
+    rules = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(by).alias("by"), F.lit(below).alias("below")) for r, by, below in places])
+
+    def give(bands: Column, rule: Column) -> Column:
+        key = lambda b: F.when(rule["by"] == "left", b["x_center"]).when(rule["by"] == "right", -b["x_center"]).otherwise(b["left_boundary"] - b["right_boundary"])
+        free = F.filter(bands, lambda b: b["semantic_role"].isNull())
+        first = F.array_min(F.transform(free, lambda b: F.struct(key(b).alias("key"), b["column_id"].alias("id"))))
+        given = ~F.exists(bands, lambda b: b["semantic_role"].eqNullSafe(rule["role"])) & (first["key"] < rule["below"])
+        return F.transform(bands, lambda b: b.withField("semantic_role", F.when(given & (b["column_id"] == first["id"]), rule["role"]).otherwise(b["semantic_role"])))
+
+    return docs.select("doc_id", F.aggregate(rules, F.col("bands"), give).alias("bands"))
+
+
+def _swapped(docs: DataFrame) -> DataFrame:
+    first = lambda role: F.array_min(F.transform(F.filter("bands", lambda b: b["semantic_role"] == role), lambda b: F.struct(b["column_id"].alias("id"), b["x_center"].alias("x"))))
+    both = docs.withColumn("_d", first("debit")).withColumn("_c", first("credit"))
+    swap = F.coalesce(F.col("_d.x") > F.col("_c.x"), F.lit(False))
+    role = lambda b: F.when(swap & (b["column_id"] == F.col("_d.id")), "credit").when(swap & (b["column_id"] == F.col("_c.id")), "debit").otherwise(b["semantic_role"])
+    return both.select("doc_id", F.transform("bands", lambda b: b.withField("semantic_role", role(b))).alias("bands"))
 
 
 def fuzzy_roles(texts: DataFrame, settings: Settings) -> DataFrame:
     """Bands with the roles won by fuzzy matching. Each role goes to the band that scores best, the lesser id of
     equals; in order of priority, a role whose band is taken is lost."""
-    scored = texts.withColumn("_s", F.when(F.col("zone_text") != "", role_scores(F.col("zone_text"), settings.vocabulary, ROLE_PRIORITY)))
-    doc = Window.partitionBy("doc_id")
-    won = F.lit(None).cast("int")
-    for i in reversed(range(len(ROLE_PRIORITY))):
-        score = F.get("_s", F.lit(i))
-        best = F.max(F.when(score >= settings.fuzzy_threshold, F.struct(score.alias("score"), (-F.col("column_id")).alias("id")))).over(doc)
-        won = F.when(best["id"] == -F.col("column_id"), i).otherwise(won)
-    return _given(scored.withColumn("priority", won), texts)
+    return unpacked(_fuzzy(packed(texts), settings))
 
 
 def simple_roles(texts: DataFrame, settings: Settings) -> DataFrame:
     """Bands with the roles whose keywords are in the headings; a band takes the first such role in order of priority,
     so a role may be given to several."""
-    hit = F.lit(None).cast("int")
-    for i, role in reversed(list(enumerate(ROLE_PRIORITY))):
-        inside = F.lit(False)
-        for k in settings.vocabulary[role]:
-            inside = inside | F.col("zone_text").contains(k.lower())
-        hit = F.when(inside, i).otherwise(hit)
-    return _given(texts.withColumn("priority", hit), texts)
-
-
-def _given(won: DataFrame, texts: DataFrame) -> DataFrame:
-    names = F.array(*[F.lit(r) for r in ROLE_PRIORITY])
-    return won.select(*[c for c in texts.columns if c not in ("semantic_role", "zone_text")], F.get(names, F.col("priority")).alias("semantic_role"))
+    return unpacked(_simple(packed(texts), settings))
 
 
 def positional_roles(found: DataFrame, settings: Settings) -> DataFrame:
     """found with roles for bands without one: the leftmost is the date if it's far left, the rightmost the balance,
     the widest the narration if it's wide, the rest debit and credit from the right; only roles still missing."""
-    doc = Window.partitionBy("doc_id")
-
-    def missing(role: str) -> Column:
-        return ~F.coalesce(F.bool_or(F.col("semantic_role") == role).over(doc), F.lit(False))
-
-    def give(df: DataFrame, role: str, order: list, condition: Column) -> DataFrame:
-        free = F.col("semantic_role").isNull()
-        df = df.withColumn("_m", missing(role)).withColumn("_rn", F.row_number().over(doc.orderBy(F.col("semantic_role").isNotNull(), *order)))
-        pick = free & F.col("_m") & (F.col("_rn") == 1) & condition
-        return df.withColumn("semantic_role", F.when(pick, role).otherwise(F.col("semantic_role"))).drop("_m", "_rn")
-
-    out = give(found, "date", [F.asc("x_center"), F.asc("column_id")], F.col("x_center") < settings.date_before)
-    out = give(out, "balance", [F.desc("x_center"), F.asc("column_id")], F.lit(True))
-    wide = F.col("right_boundary") - F.col("left_boundary")
-    out = give(out, "narration", [wide.desc(), F.asc("column_id")], wide > settings.narration_wider)
-    out = out.withColumn("_d", missing("debit").cast("int")).withColumn("_c", missing("credit").cast("int"))
-    out = out.withColumn("_rn", F.row_number().over(doc.orderBy(F.col("semantic_role").isNotNull(), F.desc("x_center"), F.asc("column_id"))))
-    role = F.when((F.col("_rn") == 1) & (F.col("_d") == 1), "debit").when((F.col("_rn") == F.col("_d") + 1) & (F.col("_c") == 1), "credit")
-    return out.withColumn("semantic_role", F.coalesce("semantic_role", role)).drop("_d", "_c", "_rn")
+    return unpacked(_positional(packed(found), settings))
 
 
 def debit_left_of_credit(found: DataFrame) -> DataFrame:
     """found with debit and credit swapped where the first debit band is right of the first credit band."""
-    doc = Window.partitionBy("doc_id")
-    first = lambda role: F.min(F.when(F.col("semantic_role") == role, F.struct("column_id", "x_center"))).over(doc)
-    both = found.withColumn("_d", first("debit")).withColumn("_c", first("credit"))
-    swap = F.coalesce(F.col("_d.x_center") > F.col("_c.x_center"), F.lit(False))
-    role = F.when(swap & (F.col("column_id") == F.col("_d.column_id")), "credit").when(swap & (F.col("column_id") == F.col("_c.column_id")), "debit").otherwise(F.col("semantic_role"))
-    return both.withColumn("semantic_role", role).drop("_d", "_c")
+    return unpacked(_swapped(packed(found)))
 
 
 def infer_roles(found: DataFrame, merged: DataFrame, settings: Settings) -> DataFrame:
     """found with roles from headings, position and the debit-credit order."""
-    texts = zone_texts(merged, found)
-    named = fuzzy_roles(texts, settings) if settings.fuzzy else simple_roles(texts, settings)
-    return debit_left_of_credit(positional_roles(named, settings))
+    docs = _headed(merged, found)
+    named = _fuzzy(docs, settings) if settings.fuzzy else _simple(docs, settings)
+    return unpacked(_swapped(_positional(named, settings)))
 
 
 def column_mapping(found: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
-from tallyspark.functions.fuzzy import common_length, partial_ratio
+from tallyspark.functions.fuzzy import common_length, most, partial_ratio
 
 AMOUNTS = ["7,35,120.45", "8640", "9,018.07", "+64.5", "-3,771.30", "18.20 DR", "6,405.90 cr", "USD 77.15", "₹4,450", "€ 12.99", "Rs 640.005", "7", "33"]
 NO_AMOUNTS = ["IMPS", "Cheque-deposit", "17-11-2025", "Particulars", "", "\t ", "12 apples", "five", "1.2.3", "Q R S"]
@@ -67,3 +67,13 @@ def test_partial_ratio():
     assert partial_ratio("description", "cr") == 100.0
     assert round(partial_ratio("txn date", "reference"), 1) < 75
     assert partial_ratio("", "a") == 0.0
+
+
+def test_bound_of_partial_ratio():
+    """A keyword that the bound rules out could never reach the score that it was ruled out for."""
+    texts = ("date", "txn date", "narration", "balance cr", "aab", "baa", "x", "", "withdrawal amt dr", "saldo")
+    for a in texts:
+        for b in texts:
+            if a and b:
+                assert partial_ratio(a, b) <= most(a, b) + 1e-9
+    assert most("abc", "xyz") == 0.0 and most("date", "date") == 100.0
