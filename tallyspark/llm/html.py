@@ -3,7 +3,8 @@
 A page is read into a tree of elements; tags that HTML closes by themselves (p, li, td, ...) are closed likewise,
 and an unclosed or truncated page gives the tree so far. Subtrees that never hold article text go first: scripts,
 styles, forms, navigation, page headers and footers, sidebars, adverts, notices, comments, by tag, role, class or
-id; an id of a heading or a section within the article is no more than an anchor, unless it names furniture as a whole. Each paragraph then has points, one for itself, one for each comma, one for each 100 characters up to three;
+id, and readers' comments by their heading; an id of a heading or a section within the article is no more than an
+anchor, unless it names furniture as a whole, and so is a class there whose word isn't furniture's for sure. Each paragraph then has points, one for itself, one for each comma, one for each 100 characters up to three;
 its parent gets them in full, its grandparent a half, further ancestors ever less. An element's score is its points
 less its link density. The container is the outermost article or main element around the best one; a page without
 them has the highest element around it that isn't dense with links, less the blocks beside the way up that are. All
@@ -13,14 +14,17 @@ other than those of an article element, or of a main element around no article.
 
 The text of a block has its character references decoded and its white space turned into single spaces; blocks are
 joined in page order by one space. Cases: a null or empty page, and a page without text, gives the empty string;
-a page without paragraphs is scored by the text directly in its elements. Repeated pages give equal rows; a null
-page_id or url is kept. Further columns are ignored.
+a page without paragraphs is scored by the text directly in its elements. Of elements with equal scores the first in
+the page is the best one. Repeated pages give equal rows; a null page_id or url is kept. Very long and very deep pages
+are read whole, in time linear to their length. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +42,7 @@ BLOCK = frozenset(
 )
 #: Never article text, whatever they hold.
 DROPPED = frozenset(
-    "head script style noscript template iframe object svg math canvas form button select textarea input nav menu aside footer dialog label fieldset legend audio video map applet embed".split()
+    "head script style noscript template iframe object svg canvas form button select textarea input nav menu aside footer dialog fieldset legend audio video map applet embed annotation annotation-xml".split()
 )
 #: Opening one of the first closes an open one of the second, up to the nearest of the third.
 CLOSES = {
@@ -65,10 +69,22 @@ STRONG = re.compile(
     r"(?:(?:article|blog|content|entry|main|page|post|reader|story|user)[_-])*(?:comments?|commentlist|disqus|ads?|adv|advert|advertisement|adsense|adslot|sidebar)(?:[_-](?:area|article|author|banner|body|box|container|content|entry|footer|form|header|inner|item|list|main|meta|post|section|slot|story|text|thread|title|unit|widget|wrap|wrapper|\d+))*",
     re.I,
 )
+#: Words of UNLIKELY that name furniture within an article too, whatever stands beside them.
+SURE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|banner\w*|sponsor\w*|promo|commercial|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|subscription|signup|login|paywall|nav|navbar|navigation|navlinks|submenu|sidebar|widgets?|masthead|topbar|toolbar|share|sharing|pagination|pager)(?=$|[\s_-])",
+    re.I,
+)
+#: A heading of readers' comments: with their number anywhere, without it outside articles.
+COUNTED = r"(?:reader |user )?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?|respuestas|réponses|antworten)"
+COMMENTS = re.compile(rf"\s*(?:\d[\d.,]*\s+{COUNTED}|{COUNTED}\s*[(\[:–-]?\s*\d[\d.,]*\s*[)\]]?|(?:leave|post|write|add) (?:a |your )?(?:comment|reply|response))\s*:?\s*", re.I)
+BARE_COMMENTS = re.compile(r"\s*(?:reader |user )?(?:comments|kommentare|commentaires|comentarios)\s*:?\s*", re.I)
 #: Words that go with those of UNLIKELY in names of page furniture.
 FURNITURE = frozenset("area bar block box button buttons container icons inner items links list posts wrap wrapper".split())
 HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+CONTROLS = frozenset("input select textarea button".split())
+#: Text that is code: its marked-up words have classes of their own.
+CODE = frozenset("pre code samp kbd var".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|post|story|text)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -95,19 +111,27 @@ class Node:
 
 
 def tree(page: str) -> Node:
-    root = now = Node("#root", "", None)
+    """The elements of a page. The open ones are a list, with the places of each tag in it, so that a tag costs no walk
+    to the root however deep the page is."""
+    root = Node("#root", "", None)
+    path, places = [root], defaultdict(list)
+
+    def shut_from(depth: int) -> None:
+        while len(path) > depth:
+            places[path.pop().tag].pop()
+
     at, n = 0, len(page)
     while at < n:
         open_ = page.find("<", at)
         if open_ < 0:
             open_ = n
         if open_ > at:
-            now.parts.append(page[at:open_])
+            path[-1].parts.append(page[at:open_])
         if open_ == n:
             break
         m = TOKEN.match(page, open_)
         if not m:
-            now.parts.append("<")
+            path[-1].parts.append("<")
             at = open_ + 1
             continue
         at = m.end()
@@ -117,32 +141,27 @@ def tree(page: str) -> Node:
         if at == n and page[-1] != ">":  # the page ends inside this tag
             break
         if m[1]:
-            x = now
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                now = x.parent
+            if places[tag]:
+                shut_from(places[tag][-1])
             continue
         if tag in CLOSES:
             shut, walls = CLOSES[tag]
-            x = now
-            while x is not root and x.tag not in walls:
-                if x.tag in shut:
-                    now = x.parent
-                x = x.parent
-        if tag in ("html", "body") and any(x.tag == tag for x in above(now)):
+            wall = max((places[t][-1] for t in walls if places[t]), default=0)
+            beyond = [places[t][bisect(places[t], wall)] for t in shut if places[t] and places[t][-1] > wall]
+            if beyond:
+                shut_from(min(beyond))
+        if tag in ("html", "body") and places[tag]:
             continue
-        node = Node(tag, m[3], now)
-        now.parts.append(node)
+        node = Node(tag, m[3], path[-1])
+        path[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*[^>]*(?:>|$)", re.I).search(page, at)
             if tag == "textarea":
                 node.parts.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            now = node
-        elif tag not in VOID and tag not in ("svg", "path"):  # a slash closes nothing in HTML
-            now = node
+        elif tag not in VOID and (tag not in ("svg", "path") or not m[3].rstrip().endswith("/")):  # elsewhere a slash closes nothing in HTML
+            places[tag].append(len(path))
+            path.append(node)
     return root
 
 
@@ -200,17 +219,64 @@ def anchor(x: Node, name: str, part: bool, article: bool) -> bool:
         return bare and heading and chars >= SHORT and not held and link_chars < 0.5 * chars
     if not part and x.tag not in ("div", "ul", "ol", "dl", "p"):
         return True
-    words = [w for w in re.split(r"[\s_-]+", name.lower()) if w]
-    if not all(w in FURNITURE or UNLIKELY.fullmatch(w) for w in words):
+    if not furniture(name):
         return True
     chars, link_chars, heading, _ = inner(x)
     return link_chars < 0.5 * chars and (part and article or heading and chars >= SHORT)
 
 
+def furniture(name: str) -> bool:
+    """Whether all words of a name are those of page furniture."""
+    return all(w in FURNITURE or UNLIKELY.fullmatch(w) for w in re.split(r"[\s_-]+", name.lower()) if w)
+
+
+def classed(x: Node, classes: list[str], part: bool) -> bool:
+    """Whether classes with words of UNLIKELY name furniture within an article: by a sure word, or as a whole, unless x
+    is a section of prose; a word beside others (related-work, side-note) does so only for a block of links."""
+    if any(map(SURE.search, classes)):
+        return True
+    chars, link_chars, heading, held = inner(x)
+    if any(UNLIKELY.search(c) and furniture(c) for c in classes):
+        return not (part and heading and chars >= SHORT and not held and link_chars < 0.5 * chars)
+    return link_chars >= 0.5 * chars > 0
+
+
+def plain_text(x: Node) -> str:
+    held, stack = [], [x]
+    while stack:
+        p = stack.pop()
+        if isinstance(p, str):
+            held.append(p)
+        else:
+            stack += reversed(p.parts)
+    return SPACE.sub(" ", html.unescape("".join(held)))
+
+
+def comments_title(x: Node | str, article: bool) -> bool:
+    if isinstance(x, str) or x.tag not in HEADINGS:
+        return False
+    text = plain_text(x)
+    return bool(COMMENTS.fullmatch(text) or not article and BARE_COMMENTS.fullmatch(text))
+
+
+def titled(x: Node, article: bool) -> bool:
+    """Whether a block starts with a heading of readers' comments."""
+    if x.tag not in ("div", "section", "ol", "ul", "dl", "details"):
+        return False
+    first = next((p for p in x.parts if not isinstance(p, str) or p.strip()), "")
+    if not isinstance(first, str) and first.tag in ("header", "summary", "div"):
+        first = next((p for p in first.parts if not isinstance(p, str) or p.strip()), "")
+    return comments_title(first, article)
+
+
 def unwanted(x: Node, article: bool, code: bool = False) -> bool:
     """Whether a subtree holds no article text; article: whether it lies within an article or main element, code: within
-    preformatted text, whose marked-up words have classes of their own."""
-    if x.tag in DROPPED:
+    code, whose marked-up words have classes of their own."""
+    if x.tag in DROPPED or titled(x, article):
+        return True
+    if x.tag == "label":  # of a form's control; others are text
+        return not article or "for" in named(x.attrs) or any(not isinstance(p, str) and p.tag in CONTROLS for p in x.parts)
+    if x.tag == "math" and not article:
         return True
     if x.tag == "header" and not article:
         return True
@@ -228,20 +294,36 @@ def unwanted(x: Node, article: bool, code: bool = False) -> bool:
     strong = bool(STRONG.fullmatch(name))
     if not strong and LIKELY.search(f"{classes} {name}"):
         return False
-    if UNLIKELY.search(HEADER.sub(" ", classes) if article else classes):
+    part = x.tag == "section" or "section" in classes.split()
+    if not article and UNLIKELY.search(classes):
+        return True
+    if article and UNLIKELY.search(HEADER.sub(" ", classes)) and classed(x, HEADER.sub(" ", classes).split(), part):
         return True
     if not strong and not UNLIKELY.search(name):
         return False
-    part = x.tag == "section" or "section" in classes.split()
     return not ((article or part or x.tag in HEADINGS) and anchor(x, name, part, article))
 
 
+def before_comments(x: Node, article: bool) -> list[Node | str]:
+    """The parts of x without a heading of readers' comments, where text comes before it, and what stands under it up to
+    a heading of its level."""
+    under, out = "", []
+    for p in x.parts:
+        if comments_title(p, article) and sum(len(q if isinstance(q, str) else plain_text(q)) for q in out if isinstance(q, str) or q.tag not in HEADINGS) >= SHORT:
+            under = p.tag
+        elif under and not isinstance(p, str) and (p.tag in MARKED or p.tag in HEADINGS and p.tag <= under):
+            under = ""
+        if not under:
+            out.append(p)
+    return out
+
+
 def prune(root: Node) -> None:
     stack = [(root, False, False)]
     while stack:
         x, article, code = stack.pop()
-        article, code = article or marked(x), code or x.tag == "pre"
-        x.parts = [p for p in x.parts if isinstance(p, str) or not unwanted(p, article, code)]
+        article, code = article or marked(x), code or x.tag in CODE
+        x.parts = [p for p in before_comments(x, article) if isinstance(p, str) or not unwanted(p, article, code)]
         stack += [(p, article, code) for p in x.parts if not isinstance(p, str)]
 
 
@@ -282,7 +364,10 @@ def paragraph_points(x: Node) -> tuple[float, str]:
 
 
 def score(order: list[Node]) -> None:
+    over: dict[Node, Node | None] = {}
     for x in order:
+        up = x.parent
+        over[x] = up if up is None or up.tag in BLOCK or up.tag == "#root" else over[up]
         if x.tag not in BLOCK and x.tag != "#root":
             continue
         points, _ = paragraph_points(x)
@@ -291,14 +376,10 @@ def score(order: list[Node]) -> None:
         points *= 1 - density(x)
         if x.tag not in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption"):
             x.points += points  # text that has no paragraph of its own
-        level = 0
-        for a in above(x.parent):
-            if a.tag not in BLOCK and a.tag != "#root":
-                continue
+        a, level = over[x], 0
+        while a and level < FAR:
             a.points += points / (1, 2)[level] if level < 2 else points / (3 * level)
-            level += 1
-            if level == FAR:
-                break
+            a, level = over[a], level + 1
 
 
 def final(x: Node) -> float:
@@ -326,8 +407,9 @@ def container(order: list[Node]) -> tuple[list[Node], set[Node]]:
     said = [x for x in path if marked(x)]
     home = said[-1] if said else next((x for x in reversed(path) if sparse(x)), best)
     out: set[Node] = set()
+    way = set(path)
     for x in path[1 : path.index(home) + 1] if not said else ():
-        out |= {p for p in x.parts if not isinstance(p, str) and p not in path and p.tag in BLOCK and not sparse(p)}
+        out |= {p for p in x.parts if not isinstance(p, str) and p not in way and p.tag in BLOCK and not sparse(p)}
     kept = []
     limit = max(10.0, ENOUGH * final(best))
     for s in home.parent.parts if home.parent else [home]:

@@ -1,7 +1,8 @@
 import html
 import re
+import time
 
-from tallyspark.llm.html import extract, main_text, op3_html_extraction
+from tallyspark.llm.html import extract, main_text, op3_html_extraction, tree
 
 from .common import TABLES
 
@@ -82,6 +83,44 @@ def test_comments_and_adverts_within_the_article_go():
     assert main_text(around(f'<div class="hentry comments-open has-sidebar content">{BODY}</div>')) == TEXT
 
 
+def test_class_words_of_the_article_prune_nothing():
+    for part in ("<section class=related-work><h2>Name</h2><p>Short.</p></section>", "<div class=skip-ahead><h2>Name</h2><p>Short.</p></div>", "<h2>Name</h2><p class=side-note>Short.</p>", "<section class=discussion-of-results><h2>Name</h2><p>Short.</p></section>"):
+        assert main_text(around(f"<article>{part}{BODY}</article>")) == f"Name Short. {TEXT}", part
+    for name in ("discussion", "related", "legal"):
+        assert main_text(around(f"<article><section class={name}><h2>Name</h2>{BODY}</section></article>")) == f"Name {TEXT}"
+    assert main_text(f"<article>{BODY}<p>Use <code>x <span class=comment># one</span></code>, <label>a label</label>, <math><mi>n</mi></math>.</p></article>") == f"{TEXT} Use x # one, a label, n."
+    for junk in ('<div class="share-buttons">Share this</div>', '<div class="related-posts"><h3>Related</h3><p>One, two.</p></div>', '<div class="related-stuff"><a href=1>One</a> <a href=2>Two</a></div>', '<div class="newsletter-signup-teaser"><p>Get our weekly news.</p></div>', "<label for=q>Search</label>", "<label>Name <input></label>"):
+        assert main_text(around(f"<article>{BODY}{junk}</article>")) == TEXT, junk
+
+
+def test_comments_named_by_their_heading_go():
+    said = "<ol><li><p>I, for one, agree, strongly, and will say so at length, as readers do.</p></li></ol>"
+    for head in ("Comments (2)", "2 Comments", "3 replies", "Leave a comment", "Kommentare (2)"):
+        for page in (f"<div>{BODY}<div><h3>{head}</h3>{said}</div></div>", f"<div>{BODY}<h3>{head}</h3>{said}</div>", f"<article>{BODY}<section><header><h2>{head}</h2></header>{said}</section></article>", f"{BODY}<div><div><h3>{head}</h3></div>{said}</div>"):
+            assert main_text(around(page)) == TEXT, page
+    assert main_text(around(f"<div>{BODY}<h2>Comments</h2>{said}<h2>More</h2><p>The end.</p></div>")) == f"{TEXT} More The end."
+    assert main_text(around(f"<article><h2>Comments</h2>{BODY}</article>")) == f"Comments {TEXT}"
+    assert main_text(around(f"<div><h1>Head</h1><h4>3 comments</h4>{BODY}</div>")).endswith(TEXT)
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for open_, shut in (("<div>", "</div>"), ("<p><button><div>", ""), ("<div><b>", "</b></div>"), ("<ul><li>", "")):
+        started = time.perf_counter()
+        tree(open_ * 100_000 + "x" + shut * 100_000)
+        assert time.perf_counter() - started < 5
+    assert main_text("<div>" * 20_000 + BODY) == TEXT
+    assert main_text(f"<article>{BODY * 5_000}</article>") == " ".join([TEXT] * 5_000)
+
+
+def test_equal_scores():
+    a, b = (f"<section><p>{x}, and as long as it can be, give or take, with nothing said in the end at all, one would think, or so.</p></section>" for x in "ab")
+    assert main_text(f"<div>{a}{b}</div>").startswith("a, and") and "b, and" in main_text(f"<div>{a}{b}</div>")
+
+
+def test_empty_table(spark):
+    assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<script>x") == ""
     assert main_text(f"<article>{BODY}") == TEXT
