@@ -9,7 +9,7 @@ far the window may move without passing a pattern's first m bytes; only where it
 block's bucket get compared byte by byte. Many windows of one batch move at once, each over its own stretch.
 
 Cases: null and empty texts and texts without words have no hits. Items without words give no pattern; a null
-item_id is named "null"; items with equal windows are all listed. An empty benchmark leaves every document clean.
+item_id is named "null"; items with equal windows are all listed, and a window of very many items is dealt to passes in chunks. An empty benchmark leaves every document clean.
 Equal rows get equal results; other columns pass through, but those named like a result column are replaced. Very long texts are searched whole. A text
 column of a result's name raises ValueError. The benchmark is read when the query is built.
 """
@@ -33,6 +33,8 @@ WINDOW = 10
 PASS_BYTES = 64 << 20
 #: Bytes that a window takes beside its own and its items' names.
 WINDOW_COST = 300
+#: Names of items in one row of the windows' table; a window that more items have takes several rows.
+NAMES = 10_000
 STRETCH = 2048
 RESULT = T.StructType(
     [
@@ -77,6 +79,7 @@ class Patterns:
         for i, w in enumerate(word.tolist()):
             self.buckets.setdefault(w, []).append(i)
         self.last = np.unique(word)
+        self.even = len(set(map(len, patterns))) == 1
 
     def slot(self, word: np.ndarray) -> np.ndarray:
         return ((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
@@ -91,6 +94,9 @@ class Patterns:
         end = n - m
         at = np.arange(1, end, STRETCH, dtype=np.int64)
         stop = np.minimum(at + STRETCH, end)
+        if m == b:  # no shift passes over a byte: the only places are where words start
+            at = np.flatnonzero((a[: end - 1] <= 32) & (a[1:end] > 32)) + 1
+            stop = at + 1
         found: list[np.ndarray] = []
         while len(at):
             word = words[at + (m - b)] & self.mask
@@ -99,6 +105,8 @@ class Patterns:
             if len(zero):
                 k = np.minimum(np.searchsorted(self.last, word[zero]), len(self.last) - 1)
                 sure = zero[(self.last[k] == word[zero]) & (a[at[zero] - 1] <= 32)]
+                if self.even:
+                    sure = sure[a[at[sure] + m] <= 32]
                 if len(sure):
                     found.append(at[sure])
             at = at + np.maximum(move, 1)
@@ -122,7 +130,7 @@ def windows(text: bytes, size: int) -> list[bytes]:
 
 
 def windows_table(benchmark: DataFrame, item_id: str, item_text: str, size: int) -> DataFrame:
-    """win, names: each distinct window and the items that have it."""
+    """win, chunk, names: each distinct window and the items that have it, NAMES of them in a chunk or so."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +140,19 @@ def windows_table(benchmark: DataFrame, item_id: str, item_text: str, size: int)
                 of = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.binary()), batch.column("i").take(of)], names=["win", "i"])
 
-    return items.mapInArrow(run, "win binary, i string").groupBy("win").agg(F.sort_array(F.collect_set("i")).alias("names"))
+    pairs = items.mapInArrow(run, "win binary, i string").distinct()
+    hot = pairs.groupBy("win").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > NAMES)
+    chunk = F.coalesce(F.pmod(F.xxhash64("i"), F.ceil(F.col("n") / NAMES)), F.lit(0))
+    return pairs.join(hot, "win", "left").groupBy("win", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("i")).alias("names"))
 
 
 def searchers(found: list[tuple[bytes, list[str]]], size: int) -> list[tuple[Patterns, list[list[str]]]]:
-    """Full windows and those of short items apart, so that a short item doesn't shorten every shift."""
-    out = []
-    for full in (True, False):
-        part = [(w, names) for w, names in found if (w.count(b" ") + 1 == size) == full]
-        if part:
-            out.append((Patterns([w for w, _ in part]), [names for _, names in part]))
-    return out
+    """Full windows and those of short items apart, and these by the power of two that their bytes reach, 16 at most, so
+    that a short pattern neither shortens the shifts nor shares the buckets of longer ones."""
+    kinds: dict[int, list] = {}
+    for w, names in found:
+        kinds.setdefault(0 if w.count(b" ") + 1 == size else min(len(w).bit_length(), 5), []).append((w, names))
+    return [(Patterns([w for w, _ in part]), [names for _, names in part]) for _, part in sorted(kinds.items())]
 
 
 def hits(texts: list[bytes], tables: list[tuple[Patterns, list[list[str]]]]) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
@@ -176,8 +186,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         passes = max(1, math.ceil(cost / pass_bytes))
         out = docs
         for n in range(passes):
-            part = table if passes == 1 else table.filter(F.pmod(F.xxhash64("win"), F.lit(passes)) == n)
-            found = [(bytes(r["win"]), list(r["names"])) for r in part.orderBy("win").collect()]  # about pass_bytes
+            part = table if passes == 1 else table.filter(F.pmod(F.xxhash64("win", "chunk"), F.lit(passes)) == n)
+            found = [(bytes(r["win"]), list(r["names"])) for r in part.orderBy("win", "chunk").collect()]  # about pass_bytes
             shared = spark.sparkContext.broadcast(searchers(found, window))
             last = n == passes - 1
             out = _pass(out, text, shared, n == 0, last)
