@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 BLOCK = 32
 
 
-def density_1d(df: DataFrame, keys: list[str], x: str, order: str, eps: float, min_samples: int, out: str) -> DataFrame:
+def density_1d(df: DataFrame, keys: list[str], x: str, order: str, eps: float, min_samples: int, out: str, weight: str | None = None) -> DataFrame:
     """df with out, the number of each row's cluster from the left within keys, -1 for noise.
 
     Points within eps are neighbours, a point with min_samples of them (itself included) is a core point, core points
     that are neighbours share a cluster. Another point joins a neighbouring core point's cluster; between two, the one
-    whose first core point comes first by order wins. Rows with a null x are dropped.
+    whose first core point comes first by order wins. Rows with a null x are dropped. weight: a column that says how many
+    points a row stands for, where each x has one row within keys.
     """
+    points = F.sum(weight) if weight else F.count(F.lit(1))
     df = df.filter(F.col(x).isNotNull())
     line = Window.partitionBy(*keys).orderBy(x, order)
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
@@ -27,12 +29,12 @@ def density_1d(df: DataFrame, keys: list[str], x: str, order: str, eps: float, m
         df = df.withColumn("_new", new).withColumn(out, F.sum("_new").over(so_far).cast("int"))
         if min_samples == 2:
             own = Window.partitionBy(*keys, out)
-            df = df.withColumn("_n", F.count(F.lit(1)).over(own))
+            df = df.withColumn("_n", points.over(own))
             kept = df.withColumn("_new", F.when((F.col("_n") > 1) & (F.coalesce(F.lag(out).over(line), F.lit(-1)) != F.col(out)), 1).otherwise(0))
             df = kept.withColumn(out, F.when(F.col("_n") > 1, F.sum("_new").over(so_far).cast("int") - 1).otherwise(-1)).drop("_n")
         return df.drop("_new")
     by = ", ".join(keys)
-    near = f"count(*) over (partition by {by} order by {x} range between {eps}D preceding and {eps}D following) >= {min_samples}"
+    near = f"{f'sum({weight})' if weight else 'count(*)'} over (partition by {by} order by {x} range between {eps}D preceding and {eps}D following) >= {min_samples}"
     df = df.withColumn("_core", F.expr(near)).withColumn("_cx", F.when(F.col("_core"), F.col(x)))
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     after = line.rowsBetween(1, Window.unboundedFollowing)

@@ -10,14 +10,20 @@ from .cluster import density_1d
 
 
 def zones(merged: DataFrame, settings: Settings) -> DataFrame:
-    """The bands in which a document's amounts and dates stand, headings left out, all pages together."""
-    numbers = merged.filter(~F.col("is_header") & (F.col("is_numeric") | F.col("is_date"))).select("doc_id", "normalized_x", F.struct("page_num", "row_id", "pos").alias("ord"))
-    found = density_1d(numbers, ["doc_id"], "normalized_x", "ord", settings.column_eps, settings.column_min_samples, "label").filter("label >= 0")
-    stats = found.groupBy("doc_id", "label").agg(
-        F.median("normalized_x").alias("x_center"),
+    """The bands in which a document's amounts and dates stand, headings left out, all pages together. Equal places are
+    one row with their number, so windows hold a document's places, which a page's width bounds, not its tokens."""
+    numbers = merged.filter(~F.col("is_header") & (F.col("is_numeric") | F.col("is_date")) & F.col("normalized_x").isNotNull())
+    places = numbers.groupBy("doc_id", "normalized_x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_num", "row_id", "pos")).alias("ord"))
+    how = ("normalized_x", "ord", settings.column_eps, settings.column_min_samples, "label")
+    found = density_1d(places, ["doc_id"], *how, weight="n")
+    band = Window.partitionBy("doc_id", "label")
+    below = F.sum("n").over(band.orderBy("normalized_x").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.filter("label >= 0").select("doc_id", "label", "normalized_x", "n", below.alias("below"), F.sum("n").over(band).alias("support"))
+    at = lambda place: F.min(F.when(F.col("below") >= place, F.col("normalized_x")))
+    stats = found.groupBy("doc_id", "label", "support").agg(
+        (at(F.floor((F.col("support") + 1) / 2)) * 0.5 + at(F.floor(F.col("support") / 2) + 1) * 0.5).alias("x_center"),
         F.greatest(F.lit(0.0), F.min("normalized_x") - settings.boundary_padding).alias("left_boundary"),
         F.least(F.lit(1.0), F.max("normalized_x") + settings.boundary_padding).alias("right_boundary"),
-        F.count(F.lit(1)).alias("support"),
     )
     line = Window.partitionBy("doc_id").orderBy("x_center", "label")
     kept = stats.filter(F.col("support") >= settings.column_support)

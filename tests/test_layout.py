@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tallyspark.config import Settings
 from tallyspark.operators.cluster import density_1d, density_blocks
 from tallyspark.operators.columns import assign, zones
@@ -48,6 +50,21 @@ def test_zones(spark):
     assert [(r["column_id"], r["x_center"], r["support"]) for r in found] == [(0, 0.11, 5), (1, 0.83, 5)]
 
 
+def test_zones_of_counted_places_equal_those_of_tokens(spark):
+    """Labels and medians over tokens one by one; few places with many tokens each, one document holds most."""
+    rng = random.Random(11)
+    rows = [(min(d, 3), 0, i, 1, rng.randint(0, 60) / 90 if rng.random() < 0.9 else rng.random(), False, True, False) for d in range(12) for i in range(rng.choice((1, 2, 60, 61)))]
+    tokens = spark.createDataFrame([*rows, (9, 0, 1, 1, None, False, True, False), (9, 0, 2, 1, 0.5, True, True, False)], "doc_id long, page_num int, row_id int, pos int, normalized_x double, is_header boolean, is_numeric boolean, is_date boolean")
+    for least in (1, 2, 4):
+        s = Settings(column_min_samples=least, column_eps=0.006)
+        found = sorted((r["doc_id"], r["column_id"], r["x_center"], r["support"]) for r in zones(tokens, s).collect())
+        each = tokens.filter("not is_header").withColumn("o", F.struct("page_num", "row_id", "pos"))
+        labels = density_1d(each, ["doc_id"], "normalized_x", "o", s.column_eps, least, "label").filter("label >= 0")
+        bands = labels.groupBy("doc_id", "label").agg(F.median("normalized_x").alias("c"), F.count("*").alias("n")).filter(F.col("n") >= s.column_support).collect()
+        wanted = sorted((r["doc_id"], r["c"], r["n"]) for r in bands)
+        assert [(d, c, n) for d, _, c, n in found] == wanted and len(wanted) > 5, least
+
+
 def test_assignment(spark):
     bands = spark.createDataFrame([(1, 0, 0.62, 0.6, 0.64, 5, None), (1, 1, 0.78, 0.76, 0.8, 5, "balance")], ZONES)
     tokens = merged(spark, [("a", 0.62, 0.1, False, False), ("b", 0.78, 0.1, False, False), ("c", 0.7, 0.1, False, False), ("d", 0.735, 0.1, False, False)])[2]
