@@ -14,6 +14,7 @@ from .config import Settings
 from .operators.tokens import build_tokens
 from .plans.engine import StatementEngine
 from .sources.demo import demo_tokens
+from .sources.document_files import write_documents
 from .sources.raw_ocr import lines_v2, lines_v3, page_files, read_pages, token_files
 from .sources.sinks import one, save_csv, save_json, summary, write_csv, write_json, write_overlay
 
@@ -31,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     extract.add_argument("--doc-id", type=int, help="one document, printed as a summary; without it, all are written")
     extract.add_argument("--json", metavar="PATH", help="where JSON goes: a file for one document, else a folder")
     extract.add_argument("--csv", metavar="PATH", help="where CSV goes: a file for one document, else a folder")
+    extract.add_argument("--each", action="store_true", help="folders hold an exact file for each document")
     extract.add_argument("--max-pages", type=int, default=0, metavar="N", help="the first N pages only; 0: all")
     extract.add_argument("--no-fuzzy", action="store_true", help="match headings by substrings")
     extract.add_argument("--repair", action="store_true", help="swap debit and credit where only that fits the balance")
@@ -63,6 +65,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.debug:
         write_overlay(rel, args.debug)
         LOG.info("overlay: %s", args.debug)
+    if args.doc_id is None and args.each:
+        for path, kind in ((args.json, "json"), (args.csv, "csv")):
+            if path:
+                write_documents(rel.manifests, rel.transactions, path, kind)
+                if not args.quiet:
+                    print(f"saved: {path}")
+        rel.log_counts()
+        return 0
     if args.doc_id is None:
         for path, write, df in ((args.json, write_json, rel.results), (args.csv, write_csv, rel.transactions)):
             if path:

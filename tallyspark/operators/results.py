@@ -19,20 +19,33 @@ def warnings(error: Column, has_rows: Column, has_zones: Column, has_transaction
     return F.coalesce(stop, F.array_compact(F.array(F.when(~has_zones, F.lit(NO_ZONES)), F.when(~has_transactions, F.lit(NO_TRANSACTIONS)))))
 
 
-def results(files: DataFrame, merged: DataFrame, zones: DataFrame, transactions: DataFrame) -> DataFrame:
-    """doc_id, source_file, total_pages, extraction_warnings, column_mapping, transactions (in document order)."""
+def _documents(files: DataFrame, merged: DataFrame, zones: DataFrame, transactions: DataFrame, held: Column) -> DataFrame:
+    """files with column_mapping, extraction_warnings, total_pages and held, an aggregate of a document's transactions."""
     rows = merged.groupBy("doc_id").agg(F.lit(True).alias("has_rows"))
-    fields = [c for c in transactions.columns if c not in ("doc_id", "page_num", "row_id")]
-    held = F.array_sort(F.collect_list(F.struct("page_num", "row_id", *fields)))
-    both = files.join(rows, "doc_id", "left").join(column_mapping(zones), "doc_id", "left").join(transactions.groupBy("doc_id").agg(held.alias("transactions")), "doc_id", "left")
-    said = warnings(F.col("error"), F.coalesce("has_rows", F.lit(False)), F.col("column_mapping").isNotNull(), F.col("transactions").isNotNull())
+    both = files.join(rows, "doc_id", "left").join(column_mapping(zones), "doc_id", "left").join(transactions.groupBy("doc_id").agg(held.alias("held")), "doc_id", "left")
+    said = warnings(F.col("error"), F.coalesce("has_rows", F.lit(False)), F.col("column_mapping").isNotNull(), F.col("held").isNotNull())
     empty = F.create_map().cast("map<string,string>")
     return both.select(
         "doc_id", "source_file", F.when(F.col("error").isNotNull(), 0).otherwise(F.col("total_pages")).alias("total_pages"), said.alias("extraction_warnings"),
-        F.coalesce("column_mapping", empty).alias("column_mapping"), F.coalesce("transactions", F.array().cast(transactions.select(held.alias("t")).schema["t"].dataType)).alias("transactions"),
+        F.coalesce("column_mapping", empty).alias("column_mapping"), "held",
     )
 
 
+def results(files: DataFrame, merged: DataFrame, zones: DataFrame, transactions: DataFrame) -> DataFrame:
+    """doc_id, source_file, total_pages, extraction_warnings, column_mapping, transactions (in document order)."""
+    fields = [c for c in transactions.columns if c not in ("doc_id", "page_num", "row_id")]
+    held = F.array_sort(F.collect_list(F.struct("page_num", "row_id", *fields)))
+    both = _documents(files, merged, zones, transactions, held)
+    return both.withColumn("transactions", F.coalesce("held", F.array().cast(both.schema["held"].dataType))).drop("held")
+
+
+def manifests(files: DataFrame, merged: DataFrame, zones: DataFrame, transactions: DataFrame) -> DataFrame:
+    """results() with total_transactions in place of the transactions: a row that doesn't grow with its document, to go
+    beside the relation of transactions."""
+    both = _documents(files, merged, zones, transactions, F.count(F.lit(1)))
+    return both.withColumn("total_transactions", F.coalesce("held", F.lit(0).cast("long"))).drop("held")
+
+
 def plain(x: Column) -> Column:
     """A double as decimal text with one decimal at least and without trailing zeros; at most six decimals."""
     text = F.regexp_replace(x.cast("decimal(30,6)").cast("string"), "0+$", "")

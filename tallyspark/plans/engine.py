@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators.columns import assign, zones
-from ..operators.results import results
+from ..operators.results import manifests, results
 from ..operators.roles import infer_roles
 from ..operators.rows import gathered, merged_tokens, parts, row_tokens
 from ..operators.tokens import build_tokens, page_limit
@@ -35,6 +35,7 @@ class Relations:
     raw_transactions: DataFrame
     transactions: DataFrame
     results: DataFrame
+    manifests: DataFrame
     #: Rows of the stages, counted by whatever job runs them first (see log_counts).
     counts: dict[str, Observation] = field(default_factory=dict)
 
@@ -92,7 +93,7 @@ class StatementEngine:
         to = routed(assign(merged, found, s))
         raw = reconstruct(to)
         done = seen("transactions", validate(raw, s))
-        return Relations(tokens, placed, parts(rows), merged, found, to, raw, done, results(files, merged, found, done), counts)
+        return Relations(tokens, placed, parts(rows), merged, found, to, raw, done, results(files, merged, found, done), manifests(files, merged, found, done), counts)
 
     def extract(self, raw: DataFrame, files: DataFrame | None = None) -> DataFrame:
         """One row per document from recognised texts; without files, the documents that have any row in raw."""

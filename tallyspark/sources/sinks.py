@@ -46,21 +46,26 @@ def one(results: DataFrame, doc_id: int) -> Row:
     return found[0]
 
 
-def _plain(t: Row) -> dict:
+def plain_row(t: Row) -> dict:
+    """A transaction as it stands in a file."""
     out = {k: t[k] or "" for k in TEXTS} | {k: "" if t[k] is None else t[k] for k in AMOUNTS}
     return out | {"confidence_score": round(t["confidence_score"], 4), "validation_status": t["validation_status"], "page_num": t["page_num"], "raw_text": t["raw_text"]}
 
 
-def save_json(result: Row, path: str) -> None:
-    """One document as an indented JSON file; folders are made."""
-    data = {
+def manifest(result: Row, n: int) -> dict:
+    """What a file says of a document before its n transactions."""
+    return {
         "source_file": result["source_file"] or "",
         "total_pages": result["total_pages"],
-        "total_transactions": len(result["transactions"]),
+        "total_transactions": n,
         "column_mapping": result["column_mapping"],
         "extraction_warnings": result["extraction_warnings"],
-        "transactions": [_plain(t) for t in result["transactions"]],
     }
+
+
+def save_json(result: Row, path: str) -> None:
+    """One document as an indented JSON file; folders are made."""
+    data = manifest(result, len(result["transactions"])) | {"transactions": [plain_row(t) for t in result["transactions"]]}
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(data, indent=2, ensure_ascii=False), encoding="utf-8")
 
@@ -71,7 +76,7 @@ def save_csv(result: Row, path: str) -> None:
     with Path(path).open("w", newline="", encoding="utf-8-sig") as f:
         writer = csv.DictWriter(f, FIELDS, extrasaction="ignore")
         writer.writeheader()
-        writer.writerows(_plain(t) for t in result["transactions"])
+        writer.writerows(plain_row(t) for t in result["transactions"])
 
 
 def summary(result: Row, transactions: DataFrame) -> dict:
