@@ -14,7 +14,7 @@ from .config import Settings
 from .operators.tokens import build_tokens
 from .plans.engine import StatementEngine
 from .sources.demo import demo_tokens
-from .sources.document_files import write_documents
+from .sources.document_files import write_documents, write_drawings
 from .sources.raw_ocr import lines_v2, lines_v3, page_files, read_pages, token_files
 from .sources.sinks import one, save_csv, save_json, summary, write_csv, write_json, write_overlay
 
@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     extract.add_argument("--max-pages", type=int, default=0, metavar="N", help="the first N pages only; 0: all")
     extract.add_argument("--no-fuzzy", action="store_true", help="match headings by substrings")
     extract.add_argument("--repair", action="store_true", help="swap debit and credit where only that fits the balance")
-    extract.add_argument("--debug", metavar="PATH", help="a folder for what to draw over the pages, as JSON lines")
+    extract.add_argument("--debug", metavar="PATH", help="a folder for what to draw over the pages: JSON lines, and an SVG file for each page")
     extract.add_argument("--verbose", "-v", action="store_true", help="log the steps")
     extract.add_argument("--quiet", "-q", action="store_true", help="no warnings and notes")
     return out
@@ -64,6 +64,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     LOG.info("%s as %s, under %s", args.path, args.format, engine)
     if args.debug:
         write_overlay(rel, args.debug)
+        write_drawings(rel, f"{args.debug.rstrip('/')}/pages")
         LOG.info("overlay: %s", args.debug)
     if args.doc_id is None and args.each:
         for path, kind in ((args.json, "json"), (args.csv, "csv")):

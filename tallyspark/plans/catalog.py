@@ -411,21 +411,50 @@ def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 # overlay
 
 
+DRAWN = {
+    "zones": "SELECT doc_id, page_num, column_id, CAST(floor(left_boundary * 1000) AS INTEGER) AS x1, 0 AS y1, CAST(floor(right_boundary * 1000) AS INTEGER) AS x2, 1000 AS y2, coalesce(semantic_role, 'col' || column_id) AS label FROM (SELECT DISTINCT doc_id, page_num FROM tokens) JOIN roles USING (doc_id)",
+    "rows": "SELECT m.doc_id, m.page_num, m.row_id, CAST(min(y1) AS INTEGER) AS y1, CAST(max(y2) AS INTEGER) AS y2, CASE WHEN any_value(p.is_header) THEN 'header' WHEN any_value(p.is_continuation) THEN 'continuation' ELSE 'normal' END AS kind FROM merged m JOIN parts p ON m.doc_id = p.doc_id AND m.page_num = p.page_num AND m.row_id = p.part_id GROUP BY ALL",
+    "tokens": "SELECT doc_id, page_num, token_ord, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2, CASE WHEN is_numeric THEN 'yellow' ELSE 'green' END AS colour, substring(text, 1, 12) || ' (' || format('{:.2f}', confidence) || ')' AS label, CAST(greatest(y1 - 3, 10) AS INTEGER) AS label_y FROM tokens",
+}
+
+
 def _page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).select("doc_id", "page_num").distinct().withColumns({"width": F.lit(1000.0), "height": F.lit(1000.0)})
 
 
-@query("overlay_zones", "SELECT doc_id, page_num, column_id, CAST(floor(left_boundary * 1000) AS INTEGER) AS x1, 0 AS y1, CAST(floor(right_boundary * 1000) AS INTEGER) AS x2, 1000 AS y2, coalesce(semantic_role, 'col' || column_id) AS label FROM (SELECT DISTINCT doc_id, page_num FROM tokens) JOIN roles USING (doc_id)")
+@query("overlay_zones", DRAWN["zones"])
 def overlay_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.zone_bands(staged(spark, sf_dir).zones, _page_sizes(spark, sf_dir))
 
 
-@query("overlay_rows", "SELECT m.doc_id, m.page_num, m.row_id, CAST(min(y1) AS INTEGER) AS y1, CAST(max(y2) AS INTEGER) AS y2, CASE WHEN any_value(p.is_header) THEN 'header' WHEN any_value(p.is_continuation) THEN 'continuation' ELSE 'normal' END AS kind FROM merged m JOIN parts p ON m.doc_id = p.doc_id AND m.page_num = p.page_num AND m.row_id = p.part_id GROUP BY ALL")
+@query("overlay_rows", DRAWN["rows"])
 def overlay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = staged(spark, sf_dir)
     return overlay.row_bands(rel.merged, rel.parts)
 
 
-@query("overlay_tokens", "SELECT doc_id, page_num, token_ord, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2, CASE WHEN is_numeric THEN 'yellow' ELSE 'green' END AS colour, substring(text, 1, 12) || ' (' || format('{:.2f}', confidence) || ')' AS label, CAST(greatest(y1 - 3, 10) AS INTEGER) AS label_y FROM tokens")
+@query("overlay_tokens", DRAWN["tokens"])
 def overlay_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.token_boxes(built(spark, sf_dir))
+
+
+def _element(layer: int, order: str, text: str, layers: str) -> str:
+    return f"SELECT doc_id, page_num, {layer} AS layer, {order} AS ord, {text} AS el FROM ({DRAWN[layers]})"
+
+
+BOX = "'x=\"' || {} || '\" y=\"' || {} || '\" width=\"' || greatest(0, {}) || '\" height=\"' || greatest(0, {}) || '\"/>'"
+SAID = "replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</text>'"
+ELEMENTS_SQL = " UNION ALL ".join((
+    _element(0, "column_id", "'<rect class=\"zone\" ' || " + BOX.format("x1", "y1", "x2 - x1", "y2 - y1") + f" || '<text x=\"' || x1 || '\" y=\"20\">' || {SAID}", "zones"),
+    _element(1, "row_id", "'<rect class=\"row ' || kind || '\" ' || " + BOX.format("0", "y1", "1000", "y2 - y1"), "rows"),
+    _element(2, "token_ord", "'<rect class=\"box ' || colour || '\" ' || " + BOX.format("x1", "y1", "x2 - x1", "y2 - y1"), "tokens"),
+    _element(3, "token_ord", f"'<text class=\"label\" x=\"' || x1 || '\" y=\"' || label_y || '\">' || {SAID}", "tokens"),
+))
+
+
+@query("overlay_pages", f"SELECT doc_id, page_num, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"1000\" height=\"1000\">' || chr(10) || '{overlay.STYLE}' || chr(10) || string_agg(el, chr(10) ORDER BY layer, ord) || chr(10) || '</svg>' AS svg FROM ({ELEMENTS_SQL}) GROUP BY ALL")
+def overlay_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's drawing whole, as it's written to its file."""
+    rel = staged(spark, sf_dir)
+    sizes = _page_sizes(spark, sf_dir)
+    return overlay.page_drawings(overlay.zone_bands(rel.zones, sizes), overlay.row_bands(rel.merged, rel.parts), overlay.token_boxes(rel.tokens), sizes)

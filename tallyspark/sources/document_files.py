@@ -18,14 +18,19 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..operators.overlay import page_drawings
 from ..operators.results import FIELDS
-from .sinks import manifest, plain_row
+from .sinks import manifest, overlay_layers, page_sizes, plain_row
+
+if TYPE_CHECKING:
+    from ..plans.engine import Relations
 
 
 def json_parts(head: Row, rows: Iterator[Row]) -> Iterator[str]:
@@ -57,7 +62,13 @@ def csv_parts(head: Row, rows: Iterator[Row]) -> Iterator[str]:
         yield held.getvalue()
 
 
-PARTS: dict[str, Callable[[Row, Iterator[Row]], Iterator[str]]] = {"json": json_parts, "csv": csv_parts}
+def svg_parts(head: Row, rows: Iterator[Row]) -> Iterator[str]:
+    """The text of a page's drawing."""
+    yield head["svg"]
+    yield from (t["svg"] for t in rows)
+
+
+PARTS: dict[str, Callable[[Row, Iterator[Row]], Iterator[str]]] = {"json": json_parts, "csv": csv_parts, "svg": svg_parts}
 
 
 def at(path: str) -> tuple[fs.FileSystem, str]:
@@ -118,7 +129,7 @@ class Writer(DataSourceWriter):
 
 
 class DocumentFiles(DataSource):
-    """df.write.format("document_files").option("kind", "json" or "csv").mode("append").save(path)"""
+    """df.write.format("document_files").option("kind", "json", "csv" or "svg").mode("append").save(path)"""
 
     @classmethod
     def name(cls) -> str:
@@ -127,7 +138,7 @@ class DocumentFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> Writer:
         kind = self.options.get("kind", "json")
         if kind not in PARTS:
-            raise ValueError(f"kind is json or csv, not {kind}")
+            raise ValueError(f"kind is json, csv or svg, not {kind}")
         return Writer(self.options["path"], kind)
 
 
@@ -145,3 +156,12 @@ def write_documents(heads: DataFrame, transactions: DataFrame, path: str, kind:
     """A file for each document in the folder path, named by its doc_id."""
     heads.sparkSession.dataSource.register(DocumentFiles)
     document_rows(heads, transactions).write.format(DocumentFiles.name()).option("kind", kind).mode("append").save(path)
+
+
+def write_drawings(relations: Relations, path: str) -> None:
+    """A drawing of each page in the folder path, named by document and page."""
+    drawn = page_drawings(**overlay_layers(relations), pages=page_sizes(relations.tokens))
+    name = F.format_string("%d_page_%03d_debug", "doc_id", "page_num")
+    drawn.sparkSession.dataSource.register(DocumentFiles)
+    rows = drawn.select(name.alias("doc_id"), F.struct("svg").alias("head"), F.lit(None).cast("struct<svg:string>").alias("txn"))
+    rows.write.format(DocumentFiles.name()).option("kind", "svg").mode("append").save(path)

@@ -30,11 +30,20 @@ def write_json(results: DataFrame, path: str) -> None:
     results.withColumn("total_transactions", F.size("transactions")).write.option("ignoreNullFields", False).json(path)
 
 
+def page_sizes(tokens: DataFrame) -> DataFrame:
+    """doc_id, page_num, width, height of the pages that have tokens."""
+    pages = tokens.groupBy("doc_id", "page_num").agg(F.max(F.col("center_x") / F.col("normalized_x")).alias("width"), F.max(F.col("center_y") / F.col("normalized_y")).alias("height"))
+    return pages.select("doc_id", "page_num", F.round("width").alias("width"), F.round("height").alias("height"))
+
+
+def overlay_layers(relations: Relations) -> dict[str, DataFrame]:
+    """What to draw over each page: zones, rows, tokens (see operators/overlay.py)."""
+    return {"zones": zone_bands(relations.zones, page_sizes(relations.tokens)), "rows": row_bands(relations.merged, relations.parts), "tokens": token_boxes(relations.tokens)}
+
+
 def write_overlay(relations: Relations, path: str) -> None:
-    """What to draw over each page, as folders of JSON lines: zones, rows, tokens (see operators/overlay.py)."""
-    pages = relations.tokens.groupBy("doc_id", "page_num").agg(F.max(F.col("center_x") / F.col("normalized_x")).alias("width"), F.max(F.col("center_y") / F.col("normalized_y")).alias("height"))
-    sizes = pages.select("doc_id", "page_num", F.round("width").alias("width"), F.round("height").alias("height"))
-    for name, df in (("zones", zone_bands(relations.zones, sizes)), ("rows", row_bands(relations.merged, relations.parts)), ("tokens", token_boxes(relations.tokens))):
+    """The layers of all pages as folders of JSON lines."""
+    for name, df in overlay_layers(relations).items():
         df.write.json(f"{path.rstrip('/')}/{name}")
 
 

@@ -3,6 +3,8 @@
 import csv
 import json
 import random
+from itertools import groupby
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -178,6 +180,15 @@ def test_overlay_and_one_statement(spark, tmp_path, caplog):
     assert {r["label"] for r in drawn["zones"]} >= {"debit", "credit", "balance"} and {r["y2"] for r in drawn["zones"]} == {1000}
     assert len(drawn["rows"]) == 12 and sum(r["kind"] == "header" for r in drawn["rows"]) == 1
     assert len(drawn["tokens"]) == build_tokens(demo(spark), Settings()).count()
+    pages = sorted((tmp_path / "drawn" / "pages").glob("*.svg"))
+    assert [p.name for p in pages] == ["7_page_000_debug.svg"]
+    root = ElementTree.parse(pages[0]).getroot()
+    kinds = [e.get("class", "label").split()[0] for e in root if e.tag.endswith("rect") or e.get("class") == "label"]
+    assert [k for k, _ in groupby(kinds)] == ["zone", "row", "box", "label"]
+    assert {k: kinds.count(k) for k in kinds} == {"zone": len(drawn["zones"]), "row": 12, "box": len(drawn["tokens"]), "label": len(drawn["tokens"])}
+    boxes = [tuple(int(e.get(k)) for k in ("x", "y", "width", "height")) for e in root if e.get("class", "").startswith("box")]
+    assert boxes == [(r["x1"], r["y1"], r["x2"] - r["x1"], r["y2"] - r["y1"]) for r in sorted(drawn["tokens"], key=lambda r: r["token_ord"])]
+    assert [e.text for e in root if e.get("class") == "label"] == [r["label"] for r in sorted(drawn["tokens"], key=lambda r: r["token_ord"])]
     with caplog.at_level("INFO", "tallyspark"):
         found = StatementEngine().extract_one(demo(spark), 7)
     assert found.total_pages == 1 and len(found.transactions) == 11 and "11 transactions" in caplog.text
