@@ -16,10 +16,13 @@ linked if 100 * intersection >= SIMILAR * union. The join is exact: no pair is l
    one band and, as guests, the next one: no others can be linked) and by blocks of BLOCK members. In a tile the bits
    set in one bitmap only bound the overlap from above: each is at least one hash that the other set lacks. Pairs that
    could pass are joined to a forest, each block's and its tile's first member's; only its edges leave the tile, and
-   are verified on the full sets. That is linear in a bucket, however large.
-4. Tiles that then still hold several components are gone through block against block. The pairs of different
-   components that could still pass are few, and are verified; where a tile has over FEW a member, its members get their
-   full sets instead, and a local union-find skips what is already joined.
+   are verified on the full sets. That is linear in a bucket, however large. Near copies share many hashes, so their
+   tiles have nearly the same members: tiles of one first member are dealt together, as units of about LOAD members,
+   and a document's bitmap goes to a unit once, with the list of its tiles there.
+4. Tiles that then still hold several components are gone through block against block, in units again. The pairs of
+   different components that could still pass and that no earlier tile of the unit had are few, and are verified; where
+   a tile has over FEW a member, its members get their full sets instead (once a unit), and a local union-find skips
+   what is already joined.
 5. Components come from alternating large-star and small-star rounds over the verified links.
 
 Cases: null and empty texts and texts without words have an empty set and are linked with nothing. Very long texts are
@@ -51,6 +54,8 @@ BLOCK = 1024
 NARROW, WIDE = 128, 1 << 17
 #: Pairs a member that may leave a tile of several components for a check elsewhere; more are checked within.
 FEW = 1
+#: Members of the tiles, each counted in every one, that one unit should have, and rows of a unit whose pairs are remembered.
+LOAD, MEMO = 1 << 15, 4096
 #: Bits of the bitmaps that rows are sifted by before a shuffle; they may let too many pass, never too few.
 SIEVE = 1 << 26
 #: Lowest hashes that are kept beside the prefix, to choose it again from; where they don't do, the text is read again.
@@ -234,16 +239,22 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return every.filter("members > 1").groupBy("members", "lead", "who").agg(F.min("key").alias("key")).select("key", "members", "lead")
 
 
-def tiled(rows: DataFrame, similar: int) -> DataFrame:
+def tiled(rows: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
     """rows in their tiles, once for their own and once as guests of the band below; tiles of one member go."""
     own = rows.withColumn("of", band(F.col("n"), similar))
     every = own.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("of") - F.col("guest")).drop("of")
     full = every.groupBy("key", "band").agg(F.count(F.lit(1)).alias("all"), F.min("guest").alias("g"), F.min("node").alias("head")).filter("all > 1 and g = 0")
-    return every.drop("members", "lead").join(full.drop("g"), ["key", "band"])
+    return every.drop("members", "lead").join(parted(scratch.spill(full.drop("g"))), ["key", "band"])
 
 
-def by_tile(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The tiles of a stream that is sorted by keys."""
+def parted(tiles: DataFrame) -> DataFrame:
+    """tiles and the part that each is dealt to: those of one first member go to so many that a part has about LOAD members."""
+    load = tiles.groupBy("head").agg(F.ceil(F.sum("all") / LOAD).cast("int").alias("parts"))
+    return tiles.join(load, "head").withColumn("part", F.pmod(F.xxhash64("key", "band"), F.col("parts")).cast("int")).drop("parts")
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a stream that is sorted by keys."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -267,29 +278,57 @@ def by_tile(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def forest(tile: pa.Table, similar: int) -> list[tuple[int, int]]:
-    """Edges that join what the bitmaps allow to be linked, own members and guests alike."""
-    guest = tile.column("guest").to_numpy()
-    if tile.num_rows < 2 or guest.all():
-        return []
-    nodes, size = tile.column("node").to_numpy(), tile.column("n").to_numpy()
-    order = np.lexsort((nodes, guest))
-    nodes, size, guest = nodes[order], size[order], guest[order]
-    one = np.append(True, nodes[1:] != nodes[:-1])  # a tile's first member may stand in a block as its own, too
-    nodes, size, guest, order = nodes[one], size[one], guest[one], order[one]
-    maps = tile.column("bits").to_pylist()
-    bits = folded([maps[i] for i in order.tolist()])
-    label = np.arange(len(nodes))
-    out = []
-    for i in range(int((guest == 0).sum())):
-        others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        others = others[100 * np.minimum(size[others], size[i]) >= similar * np.maximum(size[others], size[i])]
-        if len(others):
-            others = may_link(bits, size, i, others, similar)
-            met, first = np.unique(label[others], return_index=True)
-            out += [(int(nodes[i]), int(nodes[j])) for j in others[first].tolist()]
-            label[np.isin(label, met)] = label[i]
-    return out
+def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[np.ndarray, dict[str, np.ndarray]]]]]:
+    """The units of a stream of _dealt(), each with its tiles: the rows of a tile's members, and their marks in it."""
+    for unit in by_key(batches, UNIT):
+        held = unit.column("tiles").combine_chunks()
+        row = np.repeat(np.arange(unit.num_rows), held.value_lengths().to_numpy(zero_copy_only=False))
+        flat = held.flatten()
+        marks = {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+        order = np.lexsort((row, marks["band"], marks["key"]))
+        row, marks = row[order], {c: x[order] for c, x in marks.items()}
+        cuts = np.flatnonzero((marks["key"][1:] != marks["key"][:-1]) | (marks["band"][1:] != marks["band"][:-1])) + 1
+        ends = [0, *cuts.tolist(), len(row)]
+        yield unit, [(row[a:b], {c: x[a:b] for c, x in marks.items()}) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+class Settled:
+    """Pairs of a unit's rows that need no second look; a unit of over MEMO rows remembers none."""
+
+    def __init__(self, rows: int):
+        self.pairs = np.zeros((rows, rows), bool) if rows <= MEMO else None
+
+    def left(self, row: int, others: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those of others, places in at, whose pairs with row aren't settled."""
+        return others if self.pairs is None else others[~self.pairs[row, at[others]]]
+
+    def settle(self, row: int, rows: np.ndarray) -> None:
+        if self.pairs is not None:
+            self.pairs[row, rows] = self.pairs[rows, row] = True
+
+
+def forests(unit: pa.Table, tiles: list, similar: int) -> list[tuple[int, int]]:
+    """Edges that join what the bitmaps allow to be linked in each tile, own members and guests alike."""
+    nodes, sizes, maps = unit.column("node").to_numpy(), unit.column("n").to_numpy(), unit.column("bits").to_pylist()
+    never, out = Settled(len(nodes)), set()
+    for at, marks in tiles:
+        guest = marks["guest"]
+        if len(at) < 2 or guest.all():
+            continue
+        order = np.lexsort((nodes[at], guest))
+        at, guest = at[order], guest[order]
+        size, bits, label = sizes[at], folded([maps[k] for k in at.tolist()]), np.arange(len(at))
+        for i in range(int((guest == 0).sum())):
+            others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            others = others[100 * np.minimum(size[others], size[i]) >= similar * np.maximum(size[others], size[i])]
+            others = never.left(at[i], others, at)
+            if len(others):
+                may = may_link(bits, size, i, others, similar)
+                never.settle(at[i], at[np.setdiff1d(others, may, assume_unique=True)])
+                met, first = np.unique(label[may], return_index=True)
+                out.update((int(nodes[at[i]]), int(nodes[at[j]])) for j in may[first].tolist())
+                label[np.isin(label, met)] = label[i]
+    return [(min(p), max(p)) for p in out]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
@@ -314,41 +353,57 @@ def lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def open_pairs(tile: pa.Table, similar: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """What a tile has left of different components that the bitmaps allow to be linked, asks against gives: the pairs
-    of nodes, or, where they are many, the members that have any."""
-    asks = tile.column("asks").to_numpy()
-    mine, rest = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
-    if not len(mine) or not len(rest):
-        return [], []
-    nodes, size, comp, guest = (tile.column(c).to_numpy() for c in ("node", "n", "comp", "guest"))
-    bits = folded(tile.column("bits").to_pylist())
-    pairs, members = [], set()
-    for i in mine.tolist():
-        others = rest[(comp[rest] != comp[i]) & ((guest[rest] == 0) | (guest[i] == 0))]
-        others = others[100 * np.minimum(size[others], size[i]) >= similar * np.maximum(size[others], size[i])]
-        if len(others) and len(others := may_link(bits, size, i, others, similar)):
-            members.add(i)
-            members.update(others.tolist())
-            if len(pairs) <= FEW * len(asks):
-                pairs += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in others.tolist()]
-    return (pairs, []) if len(pairs) <= FEW * len(asks) else ([], sorted(members))
-
-
-def exact_links(tile: pa.Table, similar: int) -> list[tuple[int, int]]:
-    """The links of a spanning forest between a tile's components."""
-    nodes, comp, asks = (tile.column(c).to_numpy() for c in ("node", "comp", "asks"))
-    sets, label = lists(tile.column("shingles")), comp.copy()
-    size = np.array([len(s) for s in sets], np.int64)
-    bits = folded([bitmap(s) for s in sets])
-    rest, out = np.flatnonzero(asks == 0), []
-    for i in np.flatnonzero(asks == 1).tolist():
-        others = rest[label[rest] != label[i]]
-        others = others[100 * np.minimum(size[others], size[i]) >= similar * np.maximum(size[others], size[i])]
-        for j in may_link(bits, size, i, others, similar).tolist() if len(others) else ():
-            if label[j] != label[i] and linked(sets[i], sets[j], similar):
-                out.append((int(nodes[i]), int(nodes[j])))
-                label[label == label[j]] = label[i]
+def open_pairs(unit: pa.Table, tiles: list, similar: int) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, dict[str, np.ndarray]]]:
+    """What each tile has left of different components that the bitmaps allow to be linked, asks against gives, and no
+    tile before it had: the pairs of nodes, or, where they are many, the members that have any, with their marks."""
+    nodes, sizes, comps = (unit.column(c).to_numpy() for c in ("node", "n", "comp"))
+    maps, seen = unit.column("bits").to_pylist(), Settled(len(nodes))
+    for at, marks in tiles:
+        asks, guest = marks["asks"], marks["guest"]
+        mine, rest = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
+        if not len(mine) or not len(rest):
+            continue
+        size, comp, bits = sizes[at], comps[at], None
+        pairs, members = [], set()
+        for i in mine.tolist():
+            others = rest[(comp[rest] != comp[i]) & ((guest[rest] == 0) | (guest[i] == 0))]
+            others = others[100 * np.minimum(size[others], size[i]) >= similar * np.maximum(size[others], size[i])]
+            others = seen.left(at[i], others, at)
+            if len(others):
+                bits = folded([maps[k] for k in at.tolist()]) if bits is None else bits
+                seen.settle(at[i], at[others])
+                others = may_link(bits, size, i, others, similar)
+            if len(others):
+                members.add(i)
+                members.update(others.tolist())
+                if len(pairs) <= FEW * len(asks):
+                    pairs += [(int(min(nodes[at[i]], nodes[at[j]])), int(max(nodes[at[i]], nodes[at[j]]))) for j in others.tolist()]
+        few = len(pairs) <= FEW * len(asks)
+        take = np.array([] if few else sorted(members), np.int64)
+        yield pairs if few else [], at[take], {c: x[take] for c, x in marks.items()}
+
+
+def exact_links(unit: pa.Table, tiles: list, similar: int) -> list[tuple[int, int]]:
+    """The links of a spanning forest between the components of a unit's tiles."""
+    nodes, label, sets = unit.column("node").to_numpy(), unit.column("comp").to_numpy().copy(), lists(unit.column("shingles"))
+    sizes, maps = np.array([len(s) for s in sets], np.int64), [bitmap(s) for s in sets]
+    seen, out = Settled(len(nodes)), []
+    for at, marks in tiles:
+        asks, size, bits = marks["asks"], sizes[at], None
+        rest = np.flatnonzero(asks == 0)
+        for i in np.flatnonzero(asks == 1).tolist():
+            others = rest[label[at[rest]] != label[at[i]]]
+            others = others[100 * np.minimum(size[others], size[i]) >= similar * np.maximum(size[others], size[i])]
+            others = seen.left(at[i], others, at)
+            if not len(others):
+                continue
+            bits = folded([maps[k] for k in at.tolist()]) if bits is None else bits
+            for j in may_link(bits, size, i, others, similar).tolist():
+                a, b = at[i], at[j]
+                if label[a] != label[b] and linked(sets[a], sets[b], similar):
+                    out.append((int(nodes[a]), int(nodes[b])))
+                    label[label == label[b]] = label[a]
+            seen.settle(at[i], at[others])  # joined or too unlike
     return out
 
 
@@ -367,7 +422,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
         rows = meeting(signed, classes, sets_of, similar, scratch)
         buckets = scratch.spill(shared_buckets(rows))
         rows = scratch.spill(skewed_join(rows, buckets, ["key"]).join(classes.select("node", F.col("n_shingles").alias("n")), "node"))
-        rows = scratch.spill(tiled(rows, similar))
+        rows = scratch.spill(tiled(rows, similar, scratch))
         bits = classes.select("node", "bits")
         links = scratch.spill(checked(scratch.spill(_forests(rows, bits, similar).distinct())))
         comps = components(links, scratch)
@@ -378,70 +433,78 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return _result(signed, classes, comps).select("doc_id", "n_shingles", "component_id")
 
 
-TILE = ["key", "band", "i", "j"]
+UNIT = ["head", "blocks", "part", "i", "j"]
+
+
+def _dealt(rows: DataFrame, columns: list[str], marks: list[str], wide: DataFrame) -> DataFrame:
+    """Units whole, one after another, in each partition: a row for each member, with its bits or set once, whatever the
+    number of its tiles, and with its tiles and the marks it has in them."""
+    members = rows.groupBy(*UNIT, "node", *columns).agg(F.collect_list(F.struct("key", "band", *marks)).alias("tiles"))
+    return members.join(wide, "node").repartition(*UNIT).sortWithinPartitions(*UNIT)
 
 
-def _streamed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Tiles whole, one after another, in each partition."""
-    return rows.select(*TILE, *columns).repartition(*TILE).sortWithinPartitions(*TILE)
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
 def _forests(rows: DataFrame, bits: DataFrame, similar: int) -> DataFrame:
     """u, v: the forest of each block of each tile, the tile's first member in it."""
-    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
-    placed = rows.withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    every = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("i"))  # the head, in every block
-    placed = placed.join(bits, "node").withColumn("i", F.explode(every)).withColumn("j", F.lit(0))
+    placed = rows.withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
+    placed = placed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("i"))  # the head, in every block
+    placed = placed.withColumn("i", F.explode(every)).withColumn("j", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in by_tile(batches, TILE):
-            found = forest(tile, similar)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["u", "v"])
+        for unit, tiles in by_unit(batches):
+            if found := forests(unit, tiles, similar):
+                yield _edges(found)
 
-    return _streamed(placed, ["node", "n", "guest", "bits"]).mapInArrow(run, "u long, v long")
+    return _dealt(placed, ["n"], ["guest"], bits).mapInArrow(run, "u long, v long")
 
 
 def _cross_links(rows: DataFrame, bits: DataFrame, comps: DataFrame, checked, sets_of, similar: int, scratch: Scratch) -> DataFrame:
     """Links between different components of a tile: members outside the first member's component ask all others."""
-    now = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("all", "head")
-    tiles = now.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min_by("comp", "node").alias("main"), F.count(F.lit(1)).alias("all"))
-    tiles = scratch.spill(tiles.filter("a < b").select("key", "band", "main", "all"))
-    held = scratch.spill(skewed_join(now, tiles, ["key", "band"]))
-    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
-    at = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
-    span = F.sequence(F.lit(0), blocks - 1)
+    now = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("all", "part")
+    tiles = now.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min_by("comp", "node").alias("main"), F.count(F.lit(1)).alias("all"), F.min("head").alias("head"))
+    tiles = scratch.spill(parted(scratch.spill(tiles.filter("a < b").drop("a", "b"))))
+    held = scratch.spill(skewed_join(now.drop("head"), tiles, ["key", "band"]).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")))
+    at = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")
+    span = F.sequence(F.lit(0), F.col("blocks") - 1)
     asks = held.filter("comp <> main").withColumn("i", at(1)).withColumn("j", F.explode(span)).withColumn("asks", F.lit(1))
     gives = held.withColumn("j", at(2)).withColumn("i", F.explode(span)).withColumn("asks", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema({"key": pa.int64(), "band": pa.int32(), "i": pa.int32(), "j": pa.int32(), "node": pa.int64(), "comp": pa.int64(), "asks": pa.int32(), "u": pa.int64(), "v": pa.int64()})
-        seen: set[tuple[int, int]] = set()  # of this task's tiles
-        for tile in by_tile(batches, TILE):
-            pairs, members = open_pairs(tile, similar)
-            fresh = [p for p in pairs if not (p in seen or seen.add(p))]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if fresh:
-                yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in fresh], schema=schema)
-            if members:
-                left = tile.select([*TILE, "node", "comp", "asks"]).take(pa.array(members, pa.int64())).combine_chunks()
-                left = left.append_column("u", pa.nulls(len(members), pa.int64())).append_column("v", pa.nulls(len(members), pa.int64()))
-                yield from left.cast(schema).to_batches()
-
-    left = "key long, band int, i int, j int, node long, comp long, asks int, u long, v long"
-    found = scratch.spill(_streamed(asks.unionByName(gives).join(bits, "node"), ["node", "n", "guest", "comp", "asks", "bits"]).mapInArrow(run, left))
+        seen: set[tuple[int, int]] = set()  # of this task's units
+        for unit, tiles in by_unit(batches):
+            for pairs, members, marks in open_pairs(unit, tiles, similar):
+                fresh = [p for p in pairs if not (p in seen or seen.add(p))]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if fresh:
+                    none = pa.nulls(len(fresh), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*[none.cast(t) for t in types], *_edges(fresh).columns], names=names)
+                if len(members):
+                    left = unit.select([*UNIT, "node", "comp"]).take(pa.array(members)).combine_chunks()
+                    none = pa.nulls(len(members), pa.int64())
+                    given = [*[left.column(c).chunk(0) for c in [*UNIT, "node", "comp"]], *[pa.array(marks[c]) for c in ("key", "band", "asks")]]
+                    yield pa.RecordBatch.from_arrays([*[c.cast(t) for c, t in zip(given, types, strict=True)], none, none], names=names)
+
+    names = [*UNIT, "node", "comp", "key", "band", "asks", "u", "v"]
+    types = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    left = "head long, blocks int, part int, i int, j int, node long, comp long, key long, band int, asks int, u long, v long"
+    found = scratch.spill(_dealt(asks.unionByName(gives), ["n", "comp"], ["guest", "asks"], bits).mapInArrow(run, left))
     few = checked(scratch.spill(found.filter("u is not null").select("u", "v").distinct()))
     members = found.filter("u is null").drop("u", "v")
     if members.isEmpty():
         return few
     sets = scratch.spill(sets_of(members.select("node").distinct()))
 
-    def link(tile: pa.Table) -> pa.Table:
-        found = exact_links(tile, similar)
-        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, tiles in by_unit(batches):
+            if found := exact_links(unit, tiles, similar):
+                yield _edges(found)
 
-    return few.unionByName(members.join(sets, "node").groupBy(*TILE).applyInArrow(link, "u long, v long"))
+    return few.unionByName(_dealt(members, ["comp"], ["asks"], sets).mapInArrow(link, "u long, v long"))
 
 
 def op12_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
