@@ -1,6 +1,8 @@
 """Rows, columns and roles on small pages."""
 
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyspark.operators.cluster import density_1d, density_blocks
 from tallyspark.operators.columns import assign, zones
 from tallyspark.operators.roles import debit_left_of_credit, heading_tokens, infer_roles, zone_texts
 from tallyspark.operators.rows import full_texts, gathered, merged_tokens, parts, row_tokens
+from tallyspark.plans.engine import StatementEngine
 from tallyspark.schemas import TOKENS, ZONES
 
 S = Settings()
@@ -93,6 +96,28 @@ def test_heading_in_two_bands(spark):
     assert {r["zone_text"] for r in zone_texts(m, bands).collect()} == {"debit"}
 
 
+def test_each_deal_is_made_once(spark, capsys):
+    """Whatever reads the rows of documents reads one shuffle of them: bands, headings and transactions alike."""
+    tokens = page(spark, [("Date", 0.08, 0.05, False, False)] + [("318.75", 0.9, 0.2 + i / 20, True, False) for i in range(4)])
+    for name, df in (("transactions", (rel := StatementEngine(S).relations(tokens)).transactions), ("manifests", rel.manifests)):
+        df.collect()
+        df.explain()
+        final = capsys.readouterr().out.split("== Initial Plan ==")[0]
+        assert len(re.findall(r"- Exchange hashpartitioning\(doc_id[^)]*\), REPARTITION_BY_COL", final)) == 2, name
+        assert "ReusedExchange" in final, name
+
+
+def test_roles_of_many_bands_cost_little(spark):
+    """The steps of the inference don't multiply: expressions copied into each other took minutes for these."""
+    bands = [(d, i, (i + 0.5) / 12, i / 12, (i + 1) / 12, 5, None) for d in range(300) for i in range(12)]
+    heads = [(d, 0, i, t, 0.95, 0.0, 0.0, 9.0, 9.0, 4.0, 4.0, (i + 0.5) / 12, 0.05, False, False) for d in range(300) for i, t in enumerate(("Date", "Details", "Debit", "Credit", "Balance"))]
+    tokens = merged_tokens(gathered(row_tokens(spark.createDataFrame(heads, TOKENS), S), S))
+    began = time.time()
+    found = infer_roles(spark.createDataFrame(bands, ZONES), tokens, S).filter("doc_id = 299").orderBy("column_id").collect()
+    assert [r["semantic_role"] for r in found[:5]] == ["date", "narration", "debit", "credit", "balance"] and all(r["semantic_role"] is None for r in found[5:])
+    assert time.time() - began < 60
+
+
 def test_swap(spark):
     bands = spark.createDataFrame([(1, 0, 0.3, 0.2, 0.4, 5, "credit"), (1, 1, 0.5, 0.45, 0.6, 5, "debit")], ZONES)
     assert [r["semantic_role"] for r in debit_left_of_credit(bands).orderBy("column_id").collect()] == ["debit", "credit"]
