@@ -11,9 +11,12 @@ from tallyspark.operators.cluster import density_1d, density_blocks
 from tallyspark.operators.columns import assign, zones
 from tallyspark.operators.roles import debit_left_of_credit, heading_tokens, infer_roles, zone_texts
 from tallyspark.operators.rows import full_texts, gathered, merged_tokens, parts, row_tokens
+from tallyspark.plans import catalog
 from tallyspark.plans.engine import StatementEngine
 from tallyspark.schemas import TOKENS, ZONES
 
+from .conftest import TABLES
+
 S = Settings()
 BANDS = [(0.08, 0.04, 0.15), (0.33, 0.2, 0.52), (0.61, 0.57, 0.68), (0.75, 0.7, 0.81), (0.9, 0.86, 0.97)]
 
@@ -161,3 +164,10 @@ def test_blocks_give_the_same_clusters(spark):
         wanted = sorted(map(str, density_1d(df, ["k"], "x", "i", 5.0, least, "c").collect()))
         assert sorted(map(str, density_blocks(df, ["k"], "x", "i", 5.0, least, "c", block).collect())) == wanted
     assert density_blocks(df.limit(0), ["k"], "x", "i", 5.0, 3, "c").count() == 0
+
+
+def test_warnings_and_counts_hold_no_transactions(spark, capsys):
+    """What a document's row tells needs no list of its transactions."""
+    for name in ("warnings", "result_document"):
+        catalog.queries()[name](spark, TABLES).explain()
+        assert "validation_status" not in capsys.readouterr().out, name
